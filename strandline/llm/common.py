@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.session import materialize
+from strandline.session import materialize, ship_package
 
 #: Words are maximal runs of anything outside 0x20 and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -14,6 +14,8 @@ BROADCAST_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the test tables; also makes sure that Python workers can import this package."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import exact, mixing, packing, sharding, tokenstore
+from strandline.llm import exact, jaccard, mixing, packing, sharding, substrings, tokenstore
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -10,5 +10,12 @@ QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_sharding": sharding.op4_sharding,
     "op7_token_output": tokenstore.op7_token_output,
+    "op8_substring_dedup": substrings.op8_substring_dedup,
+    "op10_jaccard_join": jaccard.op10_jaccard_join,
+}
+ORACLES = {
+    "op1_mix_sources": mixing.ORACLE,
+    "op2_exact_dedup": exact.ORACLE,
+    "op8_substring_dedup": substrings.ORACLE,
+    "op10_jaccard_join": jaccard.ORACLE,
 }
-ORACLES = {"op1_mix_sources": mixing.ORACLE, "op2_exact_dedup": exact.ORACLE}
