@@ -86,6 +86,21 @@ def mix_sources(docs: DataFrame, id_col="doc_id", source_col="source", text_col=
     return out.select("doc_id", "src", "size", F.col("source_size").cast("long"), F.col("target").cast("double"), copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+def take_mixed(docs: DataFrame, id_col="doc_id", source_col="source", text_col="text", weights=WEIGHTS, cap: int = CAP) -> DataFrame:
+    """The rows of `docs`, all columns, each as often as the mix takes it; texts don't travel where sources are few."""
+    names = docs.columns
+    rows = docs.select(F.col(source_col).alias("src"), word_count(F.col(text_col)).alias("size"), key_hash(id_col).alias("h"))
+    rows = materialize(rows, "sizes")
+    edges = _thresholds(rows, source_targets(rows.groupBy("src").agg(F.sum("size").alias("source_size")), weights, cap))
+    edges = maybe_broadcast(edges.select(F.col("src").alias("_src"), F.col("copies").alias("_copies"), F.col("prefix").alias("_prefix"), F.col("edge").alias("_edge")))
+    keyed = docs.withColumns({"_size": word_count(F.col(text_col)), "_h": key_hash(id_col)})
+    out = keyed.join(edges, F.col(source_col).eqNullSafe(F.col("_src")))
+    more = (F.col("_h") < F.col("_prefix")) | ((F.col("_h") == F.col("_prefix")) & F.col("_edge"))
+    times = (F.col("_copies") + F.when(more & (F.col("_size") > 0), 1).otherwise(0)).cast("int")
+    out = out.withColumn("_times", times).filter("_times > 0")
+    return out.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*names)
+
+
 def op1_mix_sources(spark, sf_dir):
     mixed = mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")

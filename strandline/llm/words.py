@@ -19,6 +19,9 @@ BLOCK = 1 << 20
 SLICE = 4 << 20
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
+#: Also splits words at ASCII punctuation.
+PLAIN = _SEP.copy()
+PLAIN[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = 0xD6E8FEB86659FD93 | 1
 
@@ -59,10 +62,10 @@ _TABLE_LOWER[65:91] = _TABLE[97:123]
 class Words:
     """The words of a slice of texts: doc (index in the slice), byte start and end, hash; and counts per text."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool) -> None:
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool, separators: np.ndarray = _SEP) -> None:
         self.data, self.bounds = data, bounds
         n = len(data)
-        inside = ~_SEP[data]
+        inside = ~separators[data]
         begins, ends = inside.copy(), inside.copy()
         if n:
             begins[1:] &= ~inside[:-1]
