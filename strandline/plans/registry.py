@@ -1,5 +1,6 @@
 """All queries of the engine's own operators, with their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = ""
+from strandline.plans import metrics  # noqa: F401  each module registers its queries
+from strandline.plans.base import ORACLES, QUERIES  # noqa: F401
+
+FLAGSHIP = "m8_breakdown"
