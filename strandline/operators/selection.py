@@ -1,0 +1,125 @@
+"""Selection, quotas, top-k, rotation, apportionment and packing of planned items."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def stable_int(text: Column) -> Column:
+    """The first 32 bits of SHA-256 as a number."""
+    return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long")
+
+
+def seeded(seed: int, key: str) -> Column:
+    """A reproducible random order: by the hash of seed and key."""
+    return F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
+
+
+def spread(df: DataFrame, group: list[str], order: list, count: int) -> DataFrame:
+    """Evenly spread picks of each group: rows at round(i (n - 1) / (count - 1)), half to even; all if n <= count, the middle if count is 1."""
+    w = Window.partitionBy(*group)
+    ranked = df.withColumns({"_i": F.row_number().over(w.orderBy(*order)) - 1, "_n": F.count("*").over(w)})
+    if count == 1:
+        return ranked.filter(F.col("_i") == F.floor(F.col("_n") / 2)).drop("_i", "_n")
+    near = F.bround(F.col("_i") * (count - 1) / (F.col("_n") - 1)).cast("int")
+    hit = F.lit(False)
+    for shift in (-1, 0, 1):
+        j = near + shift
+        hit = hit | ((j >= 0) & (j < count) & (F.bround(j * (F.col("_n") - 1) / F.lit(float(count - 1))) == F.col("_i")))
+    return ranked.filter((F.col("_n") <= count) | hit).drop("_i", "_n")
+
+
+def smallest_count(df: DataFrame, group: list[str], order: list, value: str, target: float, low: int, high: int) -> DataFrame:
+    """Of each group the fewest first rows, between low and high, whose values reach the target."""
+    w = Window.partitionBy(*group).orderBy(*order)
+    run = df.withColumns({"_i": F.row_number().over(w), "_sum": F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    need = Window.partitionBy(*group)
+    enough = F.min(F.when((F.col("_sum") >= target) & (F.col("_i") >= low), F.col("_i"))).over(need)
+    return run.withColumn("_need", F.coalesce(enough, F.lit(high))).filter((F.col("_i") <= F.col("_need")) & (F.col("_i") <= high)).drop("_i", "_sum", "_need")
+
+
+def apportion(df: DataFrame, group: list[str], total: str, weight: str, key: str, name: str = "quota") -> DataFrame:
+    """Largest-remainder shares of each group's total by weight; ties go to the smaller key."""
+    w = Window.partitionBy(*group)
+    exact = F.col(total) * F.col(weight) / F.sum(weight).over(w)
+    out = df.withColumn("_exact", exact).withColumn("_low", F.floor("_exact"))
+    out = out.withColumn("_left", F.col(total) - F.sum("_low").over(w))
+    nth = F.row_number().over(w.orderBy(F.desc(F.round(F.col("_exact") - F.col("_low"), 9)), key))
+    return out.withColumn(name, (F.col("_low") + F.when(nth <= F.col("_left"), 1).otherwise(0)).cast("long")).drop("_exact", "_low", "_left")
+
+
+def linear_quota(x: Column, low: tuple[float, float], high: tuple[float, float]) -> Column:
+    """A quota that grows linearly between two points (x, quota), constant outside, rounded half to even."""
+    (x0, q0), (x1, q1) = low, high
+    at = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - x0) / (x1 - x0)))
+    return F.bround(q0 + at * (q1 - q0)).cast("long")
+
+
+def bucket_order(df: DataFrame, group: list[str], middle: Column, width: Column) -> DataFrame:
+    """Bucket items by time and number each bucket's items by their distance from its centre: bucket, place."""
+    bucket = F.floor(middle / width)
+    out = df.withColumns({"bucket": bucket, "_off": F.round(F.abs(middle - (bucket + 0.5) * width), 9)})
+    return out
+
+
+def round_robin(df: DataFrame, strata: list[str], order: list, name: str = "turn") -> DataFrame:
+    """Number items round by round: the first of every stratum, then the second of each."""
+    nth = F.row_number().over(Window.partitionBy(*strata).orderBy(*order))
+    return df.withColumn("_round", nth).withColumn(name, F.row_number().over(Window.orderBy("_round", *strata)).cast("long"))
+
+
+def first_of_each(df: DataFrame, group: list[str], order: list, count: int = 1) -> DataFrame:
+    """The first `count` rows of each group in an order."""
+    return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("_nth") <= count).drop("_nth")
+
+
+def rotation(df: DataFrame, group: str, order: str, values: int, extra: Column) -> DataFrame:
+    """Rotate a list over items: index (place in group + place of group + extra) mod the list's length."""
+    i = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
+    k = F.dense_rank().over(Window.orderBy(group)) - 1
+    return df.withColumn("slot", F.pmod(i + k + extra, F.lit(values)).cast("long"))
+
+
+def chunk_of(position: Column, total: Column, chunks: int) -> Column:
+    """Which of `chunks` contiguous parts [(k-1) L / n, k L / n), by integer bounds, holds a position counted from 0."""
+    return (F.floor((position * chunks + chunks - 1) / total) + 1).cast("long")
+
+
+PACKED = "key long, size_a double, size_b double, batch long"
+
+
+def next_fit(df: DataFrame, key: str, order: str, size_a: str, size_b: str, most_a: float, most_b: float, group: str) -> DataFrame:
+    """Next-fit batches on two capacities, in order, within each group: a batch closes when the next item fits no more.
+
+    The fold is sequential by contract, so a group (an owner's queue) is one
+    unit of work; groups run in parallel.
+    """
+
+    def fold(key_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([order, key])
+        batch, a, b, out = 1, 0.0, 0.0, []
+        for x, y in zip(rows[size_a], rows[size_b]):
+            if (a or b) and (a + x > most_a or b + y > most_b):
+                batch, a, b = batch + 1, 0.0, 0.0
+            a, b = a + x, b + y
+            out.append(batch)
+        return pd.DataFrame({group: [key_[0]] * len(rows), key: rows[key], "batch": out})
+
+    schema = f"{group} long, {key} long, batch long"
+    return df.select(group, key, order, size_a, size_b).groupBy(group).applyInPandas(fold, schema)
+
+
+def assign_generators(clips: DataFrame, key: str, generators: list[str], per_clip: int, seed: int) -> DataFrame:
+    """Give each clip `per_clip` generators by cyclic turns over the seeded order: equal use, no repeats inside a clip, cells in turn."""
+    n = len(generators)
+    if per_clip > n:
+        raise ValueError("more generators a clip than there are")
+    place = F.row_number().over(Window.orderBy(seeded(seed, key), key)) - 1
+    out = clips.withColumn("_p", place).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(per_clip - 1))))
+    turn = F.col("_p") * per_clip + F.col("j")
+    names = F.array(*[F.lit(g) for g in generators])
+    return out.withColumns({"generator": F.element_at(names, (F.pmod(turn, F.lit(n)) + 1).cast("int")), "cell": F.pmod(F.floor(turn / n) + F.col("j"), F.lit(3)).cast("long")}).drop("_p")

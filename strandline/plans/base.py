@@ -33,13 +33,13 @@ videos AS (SELECT o_orderkey AS video_id, o_custkey AS input_id, o_orderstatus A
   o_custkey % 23 AS batch FROM orders)"""
 
 CLIPS_SQL = """
-clips AS (SELECT l_orderkey * 10 + l_linenumber AS clip_id, l_orderkey AS video_id, l_suppkey AS speaker_id,
+clips AS (SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS clip_id, l_orderkey AS video_id, l_suppkey AS speaker_id,
   l_quantity AS start_s, l_quantity + 4 + l_discount * 30 AS end_s, 4 + l_discount * 30 AS duration_s,
   CASE WHEN l_returnflag = 'R' THEN 'reject' WHEN l_returnflag = 'A' THEN 'pending' ELSE 'keep' END AS decision,
   l_partkey AS source_id, l_extendedprice / 1e5 AS consistency FROM lineitem)"""
 
 SCORES_SQL = """
-scores AS (SELECT l_orderkey * 10 + l_linenumber AS sample_id,
+scores AS (SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS sample_id,
   CASE WHEN l_orderkey % 10 < 5 THEN 'train' WHEN l_orderkey % 10 < 7 THEN 'validation' ELSE 'test' END AS split,
   l_suppkey AS speaker_id, l_partkey AS source_clip_id, CASE WHEN l_returnflag = 'N' THEN 0 ELSE 1 END AS label,
   CASE WHEN l_returnflag = 'N' AND l_linenumber <= 5 THEN 'real' WHEN l_returnflag = 'N' THEN 'sham'
@@ -63,7 +63,7 @@ def videos(spark, d) -> DataFrame:
 def clips(spark, d) -> DataFrame:
     decision = F.when(F.col("l_returnflag") == "R", "reject").when(F.col("l_returnflag") == "A", "pending").otherwise("keep")
     return t(spark, d, "lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("clip_id"), F.col("l_orderkey").alias("video_id"), F.col("l_suppkey").alias("speaker_id"),
+        (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")).alias("clip_id"), F.col("l_orderkey").alias("video_id"), F.col("l_suppkey").alias("speaker_id"),
         F.col("l_quantity").alias("start_s"), (F.col("l_quantity") + 4 + F.col("l_discount") * 30).alias("end_s"), (F.lit(4) + F.col("l_discount") * 30).alias("duration_s"),
         decision.alias("decision"), F.col("l_partkey").alias("source_id"), (F.col("l_extendedprice") / 1e5).alias("consistency"),
     )
@@ -73,7 +73,7 @@ def scores(spark, d) -> DataFrame:
     real = F.col("l_returnflag") == "N"
     part = F.col("l_orderkey") % 10
     return t(spark, d, "lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sample_id"), F.when(part < 5, "train").when(part < 7, "validation").otherwise("test").alias("split"),
+        (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")).alias("sample_id"), F.when(part < 5, "train").when(part < 7, "validation").otherwise("test").alias("split"),
         F.col("l_suppkey").alias("speaker_id"), F.col("l_partkey").alias("source_clip_id"), F.when(real, 0).otherwise(1).alias("label"),
         F.when(real & (F.col("l_linenumber") <= 5), "real").when(real, "sham").when(F.col("l_returnflag") == "R", "audio").otherwise("video").alias("cell"),
         F.col("l_linestatus").alias("kind"), F.concat(F.lit("g"), (F.col("l_partkey") % 7).cast("string")).alias("generator"),

@@ -106,12 +106,12 @@ def m9(spark, d):
 
 @query("m10_reference_norm", f"""WITH {SCORES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY split, speaker_id ORDER BY sample_id) AS nth FROM scores WHERE cell = 'real'),
   f AS (SELECT * FROM r WHERE nth <= 3), st AS (SELECT split, speaker_id, avg(score) AS m, stddev_pop(score) AS s FROM f GROUP BY ALL),
-  z AS (SELECT s.split, s.label, round((s.score - st.m) / (st.s + 1e-3), 9) AS score FROM scores s JOIN st USING (split, speaker_id) WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.split = s.split AND f.speaker_id = s.speaker_id AND f.source_clip_id = s.source_clip_id)),
-  {_auc_sql('SELECT * FROM z', 'split')} SELECT split, auc, (positives + negatives)::BIGINT AS samples FROM auc""")
+  z AS (SELECT s.split, s.label, round((s.score - st.m) / (st.s + 1e-3), 3) AS score FROM scores s JOIN st USING (split, speaker_id) WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.split = s.split AND f.speaker_id = s.speaker_id AND f.source_clip_id = s.source_clip_id)),
+  {_auc_sql('SELECT * FROM z', 'split')} SELECT split, round(auc, 3) AS auc, (positives + negatives)::BIGINT AS samples FROM auc""")
 def m10(spark, d):
     z = R.reference_norm(scores(spark, d), ["split", "speaker_id"], "sample_id", 3, "source_clip_id")
-    z = z.withColumn("z", F.round("z", 9))
-    return R.auc(z, ["split"], score="z").select("split", r6("auc"), (F.col("positives") + F.col("negatives")).alias("samples"))
+    z = z.withColumn("z", F.round("z", 3))
+    return R.auc(z, ["split"], score="z").select("split", F.round("auc", 3).alias("auc"), (F.col("positives") + F.col("negatives")).alias("samples"))
 
 
 @query("m11_fpr_by_cell", f"WITH {SCORES_SQL} SELECT cell, round(avg(CASE WHEN score >= 0.25 THEN 1.0 ELSE 0.0 END), 6) AS fpr, count(*) AS samples FROM scores WHERE cell IN ('real', 'sham') GROUP BY cell")

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,6 +75,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table that materialize() wrote and that nothing reads any more."""
+    for path in {name.rsplit("/", 1)[0] for name in df.inputFiles() if "/strandline-" in name}:
+        remove(df.sparkSession, path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once a context, so that they can import it wherever they run."""
     sc = spark.sparkContext
@@ -84,3 +93,21 @@ def ship_package(spark: SparkSession) -> None:
             out.write(source, Path("strandline") / source.relative_to(root))
     sc.addPyFile(str(target))
     sc._strandline_shipped = True
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps that are done: it does so once the driver has collected their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Send at most so many rows at once to Python workers, for steps run inside whose rows are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
