@@ -36,3 +36,54 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     found = stars.unionByName(roots)
     return found.unionByName(alone.distinct().join(found, "node", "left_anti"))
+
+
+#: Values that name nobody (fixed values).
+UNKNOWN = ("", "unknown", "nan", "none", "-1")
+
+
+def identity_list(value, sep: str = ";"):
+    """Trimmed, distinct, sorted identities of a separated text, without the values that name nobody."""
+    parts = F.transform(F.split(F.coalesce(value.cast("string"), F.lit("")), sep), lambda x: F.trim(x))
+    return F.array_sort(F.array_distinct(F.filter(parts, lambda x: ~F.lower(x).isin(*UNKNOWN))))
+
+
+def identity_edges(df: DataFrame, key: str, identities: dict) -> DataFrame:
+    """Edges (src, dst) from each row to its typed identity nodes; null and unknown identities make none."""
+    nodes = F.array(*[F.when(c.isNotNull() & ~F.lower(c.cast("string")).isin(*UNKNOWN), F.concat(F.lit(f"{kind}:"), c.cast("string"))) for kind, c in identities.items()])
+    own = F.concat(F.lit("row:"), F.lpad(F.col(key).cast("string"), 20, "0"))
+    return df.select(own.alias("src"), F.explode(F.array_compact(nodes)).alias("dst"))
+
+
+def identity_groups(df: DataFrame, key: str, identities: dict) -> DataFrame:
+    """Rows that share an identity, directly or through others, form a group: key, group_id (the smallest key in it)."""
+    found = connected_components(identity_edges(df, key, identities))
+    own = df.select(key, F.concat(F.lit("row:"), F.lpad(F.col(key).cast("string"), 20, "0")).alias("node"))
+    labelled = own.join(found, "node", "left").select(key, F.coalesce("component", "node").alias("component"))
+    return labelled.join(labelled.groupBy("component").agg(F.min(key).alias("group_id")), "component").select(key, "group_id")
+
+
+def leaking_groups(groups: DataFrame, rows: DataFrame, key: str, split: str) -> DataFrame:
+    """Groups whose rows are in more than one split."""
+    return groups.join(rows.select(key, split), key).groupBy("group_id").agg(F.countDistinct(split).alias("splits"), F.count("*").alias("rows")).filter("splits > 1")
+
+
+def allot(sizes: list[tuple], ratios: dict[str, float], locked: dict | None = None) -> dict:
+    """Greedy split of groups (id, size): largest first, each to the split that leaves the least squared distance to the targets.
+
+    Sizes, not rows, come to the driver; ties take the split declared first.
+    Locked groups keep their split and count toward it.
+    """
+    if set(ratios.values()) and abs(sum(ratios.values()) - 1) > 1e-9 or any(not 0 < r < 1 for r in ratios.values()):
+        raise ValueError("ratios must lie between 0 and 1 and add up to 1")
+    locked, total = locked or {}, sum(n for _, n in sizes)
+    target, have, out = {k: r * total for k, r in ratios.items()}, dict.fromkeys(ratios, 0), {}
+    for g, n in sizes:
+        if g in locked:
+            out[g] = locked[g]
+            have[locked[g]] += n
+    for g, n in sorted((x for x in sizes if x[0] not in locked), key=lambda x: (-x[1], str(x[0]))):
+        best = min(ratios, key=lambda k: (have[k] + n - target[k]) ** 2 - (have[k] - target[k]) ** 2)
+        out[g] = best
+        have[best] += n
+    return out
