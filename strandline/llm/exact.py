@@ -62,16 +62,16 @@ def drop_exact_copies(docs: DataFrame, id_col="doc_id", text_col="text") -> Data
     """The rows of `docs`, all columns, without the copies."""
     names = docs.columns
     verdict = exact_dedup(docs, id_col, text_col)
-    dropped = materialize(verdict.filter("NOT kept").select(F.col("doc_id").alias("_id"), "digest", F.col("keep_id").eqNullSafe(F.col("doc_id")).alias("_repeat")), "dropped")
-    gone = dropped.filter("NOT _repeat").select("_id", "digest")
-    repeats = dropped.filter("_repeat").select("_id", "digest").distinct()
+    dropped = materialize(verdict.filter("NOT kept").select(F.col("doc_id").alias("__gone_id"), "digest", F.col("keep_id").eqNullSafe(F.col("doc_id")).alias("__repeat")), "dropped")
+    gone = dropped.filter("NOT __repeat").select("__gone_id", "digest")
+    repeats = dropped.filter("__repeat").select("__gone_id", "digest").distinct()
     norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    keyed = docs.withColumn("_digest", F.sha2(norm, 256))
-    same = lambda side: keyed["_digest"].eqNullSafe(side["digest"]) & keyed[id_col].eqNullSafe(side["_id"])
+    keyed = docs.withColumn("__own_digest", F.sha2(norm, 256))
+    same = lambda side: keyed["__own_digest"].eqNullSafe(side["digest"]) & keyed[id_col].eqNullSafe(side["__gone_id"])
     gone = maybe_broadcast(gone.distinct())
     kept = keyed.join(gone, same(gone), "left_anti")
-    if not dropped.filter("_repeat").isEmpty():
-        once = kept.join(maybe_broadcast(repeats), same(repeats), "left_semi").dropDuplicates([id_col, "_digest"])
+    if not dropped.filter("__repeat").isEmpty():
+        once = kept.join(maybe_broadcast(repeats), same(repeats), "left_semi").dropDuplicates([id_col, "__own_digest"])
         kept = kept.join(maybe_broadcast(repeats), same(repeats), "left_anti").unionByName(once)
     return kept.select(*names)
 

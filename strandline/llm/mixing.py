@@ -92,13 +92,13 @@ def take_mixed(docs: DataFrame, id_col="doc_id", source_col="source", text_col="
     rows = docs.select(F.col(source_col).alias("src"), word_count(F.col(text_col)).alias("size"), key_hash(id_col).alias("h"))
     rows = materialize(rows, "sizes")
     edges = _thresholds(rows, source_targets(rows.groupBy("src").agg(F.sum("size").alias("source_size")), weights, cap))
-    edges = maybe_broadcast(edges.select(F.col("src").alias("_src"), F.col("copies").alias("_copies"), F.col("prefix").alias("_prefix"), F.col("edge").alias("_edge")))
-    keyed = docs.withColumns({"_size": word_count(F.col(text_col)), "_h": key_hash(id_col)})
-    out = keyed.join(edges, F.col(source_col).eqNullSafe(F.col("_src")))
-    more = (F.col("_h") < F.col("_prefix")) | ((F.col("_h") == F.col("_prefix")) & F.col("_edge"))
-    times = (F.col("_copies") + F.when(more & (F.col("_size") > 0), 1).otherwise(0)).cast("int")
-    out = out.withColumn("_times", times).filter("_times > 0")
-    return out.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*names)
+    edges = maybe_broadcast(edges.select(F.col("src").alias("__mix_src"), F.col("copies").alias("__mix_copies"), F.col("prefix").alias("__mix_prefix"), F.col("edge").alias("__mix_edge")))
+    keyed = docs.withColumns({"__mix_size": word_count(F.col(text_col)), "__mix_h": key_hash(id_col)})
+    out = keyed.join(edges, F.col(source_col).eqNullSafe(F.col("__mix_src")))
+    more = (F.col("__mix_h") < F.col("__mix_prefix")) | ((F.col("__mix_h") == F.col("__mix_prefix")) & F.col("__mix_edge"))
+    times = (F.col("__mix_copies") + F.when(more & (F.col("__mix_size") > 0), 1).otherwise(0)).cast("int")
+    out = out.withColumn("__mix_times", times).filter("__mix_times > 0")
+    return out.withColumn("__mix_nth", F.explode(F.sequence(F.lit(1), F.col("__mix_times")))).select(*names)
 
 
 def op1_mix_sources(spark, sf_dir):

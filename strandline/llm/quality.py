@@ -207,9 +207,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_co
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """The rows of `docs`, all columns, without those that the classifier rejects."""
-    gone = score_documents(docs, labels, id_col, text_col).filter("NOT keep").select(F.col("doc_id").alias("_gone"), F.col("tag").alias("_tag")).distinct()
+    gone = score_documents(docs, labels, id_col, text_col).filter("NOT keep").select(F.col("doc_id").alias("__gone_id"), F.col("tag").alias("__gone_tag")).distinct()
     gone = maybe_broadcast(materialize(gone, "rejected"))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")) & (F.xxhash64(text_col) == F.col("_tag")), "left_anti")
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone_id")) & (F.xxhash64(text_col) == F.col("__gone_tag")), "left_anti")
 
 
 def op9_quality(spark, sf_dir):

@@ -60,9 +60,9 @@ def lookup(spark, owners: list[int]) -> DataFrame:
 
 
 def assign_shards(docs: DataFrame, key_col: str = "doc_id", names: list[str] | None = None, slots: int = SLOTS) -> DataFrame:
-    """`docs` with the columns slot and shard, by a broadcast of the fixed-size table."""
+    """`docs` with the columns slot and shard (in place of any it had), by a broadcast of the fixed-size table."""
     owners = fill_table(names or [f"shard-{i:05d}" for i in range(SHARDS)], slots)
-    return docs.withColumn("slot", slot_of(F.col(key_col), slots)).join(F.broadcast(lookup(docs.sparkSession, owners)), "slot")
+    return docs.withColumn("slot", slot_of(F.col(key_col), slots)).drop("shard").join(F.broadcast(lookup(docs.sparkSession, owners)), "slot")
 
 
 def op4_sharding(spark, sf_dir):
