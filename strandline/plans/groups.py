@@ -45,11 +45,11 @@ def e6(spark, d):
     return out.agg(q("same", 0.05, "same_p5"), q("same", 0.5, "same_p50"), q("other", 0.5, "other_p50"), q("other", 0.95, "other_p95"))
 
 
-@query("e7_vector_moves", "WITH v AS (SELECT vec_id, label, i, embedding[i]::DOUBLE AS x FROM embeddings, range(1, 65) r(i)), m AS (SELECT label, i, x, 0 AS n FROM v UNION ALL SELECT label, i, -x, -1 FROM v WHERE vec_id % 100 = 7 UNION ALL SELECT (label + 1) % 10, i, x, 1 FROM v WHERE vec_id % 100 = 7) , s AS (SELECT label, i, sum(x) AS x FROM m GROUP BY ALL) SELECT s.label, round(sum(s.x), 3) AS total, (SELECT count(*) FROM embeddings e WHERE e.label = s.label) + (SELECT coalesce(sum(n), 0)::BIGINT FROM m WHERE m.label = s.label AND m.i = 1) AS n FROM s GROUP BY s.label")
+@query("e7_vector_moves", "WITH v AS (SELECT vec_id, label, i, embedding[i]::DOUBLE AS x FROM embeddings, range(1, 65) r(i)), m AS (SELECT label, i, x, 0 AS n FROM v UNION ALL SELECT label, i, -x, -1 FROM v WHERE label = 3 UNION ALL SELECT 4, i, x, 1 FROM v WHERE label = 3) , s AS (SELECT label, i, sum(x) AS x FROM m GROUP BY ALL) SELECT s.label, round(sum(s.x), 3) AS total, (SELECT count(*) FROM embeddings e WHERE e.label = s.label) + (SELECT coalesce(sum(n), 0)::BIGINT FROM m WHERE m.label = s.label AND m.i = 1) AS n FROM s GROUP BY s.label")
 def e7(spark, d):
     v = _vectors(spark, d)
-    moved = v.filter("vec_id % 100 = 7")
-    moves = moved.select("label", F.col("embedding").alias("vector"), F.lit(-1).alias("sign")).unionByName(moved.select(((F.col("label") + 1) % 10).alias("label"), F.col("embedding").alias("vector"), F.lit(1).alias("sign")))
+    moved = v.filter("label = 3")
+    moves = moved.select("label", F.col("embedding").alias("vector"), F.lit(-1).alias("sign")).unionByName(moved.select(F.lit(4).alias("label"), F.col("embedding").alias("vector"), F.lit(1).alias("sign")))
     out = E.move(E.centroids(v, "label", "embedding"), "label", moves)
     return out.select("label", F.round(F.aggregate("total", F.lit(0.0), lambda s, x: s + x), 3).alias("total"), "n")
 

@@ -271,10 +271,10 @@ def o7(spark, d):
     return clips(spark, d).filter("decision = 'keep'").select("speaker_id", "source_id").distinct()
 
 
-@query("o8_seen_generators", f"WITH {SCORES_SQL} SELECT DISTINCT generator, generator IN (SELECT generator FROM scores WHERE split = 'train' AND speaker_id < 10 AND label = 1 AND score > 0.55) AS seen FROM scores WHERE split = 'test'")
+@query("o8_seen_generators", f"WITH {SCORES_SQL} SELECT DISTINCT generator, generator IN (SELECT generator FROM scores WHERE split = 'train' AND label = 1 AND score3 > 1.045) AS seen FROM scores WHERE split = 'test'")
 def o8(spark, d):
     s = scores(spark, d)
-    seen = s.filter("split = 'train' AND speaker_id < 10 AND label = 1 AND score > 0.55").select("generator").distinct().withColumn("seen", F.lit(True))
+    seen = s.filter("split = 'train' AND label = 1 AND score3 > 1.045").select("generator").distinct().withColumn("seen", F.lit(True))
     return s.filter("split = 'test'").select("generator").distinct().join(F.broadcast(seen), "generator", "left").select("generator", F.coalesce("seen", F.lit(False)).alias("seen"))
 
 

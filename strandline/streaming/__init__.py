@@ -1 +1 @@
-
+"""Streaming additions: job records and scored frames as unbounded tables."""
