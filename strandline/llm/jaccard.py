@@ -22,7 +22,7 @@ the others; links join components; members of one component need no further
 comparison; then the members outside a key's largest component are compared
 in turn until each key's members that are not yet compared are of one
 component.  Pairs are first judged by sizes and by an upper bound on their
-overlap from 1024-bit parity maps, then by the whole sets.
+overlap from parity maps, then by the whole sets.
 
 Defined results: a null or blank text has an empty set and links with nothing;
 fewer words than a shingle make one shingle; rows with a null id take part,
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from strandline.llm import words
 from strandline.llm.common import maybe_broadcast, table
 from strandline.operators.graph import connected_components
-from strandline.session import materialize
+from strandline.session import batch_rows, discard, materialize, release
 
 SIZE = 5
 PERCENT = 80
@@ -52,7 +52,7 @@ PERCENT = 80
 FREQUENT, FREQUENT_MIN = 1 << 17, 16
 #: Keys with at most so many members have all their outsiders compared at once.
 SMALL_KEY = 32
-MAP_BITS = 1024
+MAP_BITS = 256
 _BUFFER = 2 << 20
 
 
@@ -61,10 +61,23 @@ def _node(shingles: np.ndarray) -> int | None:
 
 
 def _parity(shingles: np.ndarray) -> bytes:
-    odd = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % MAP_BITS, minlength=MAP_BITS) & 1
+    """For each class of hashes whether the set has an odd number of them; two to four classes a shingle."""
+    bits = max(MAP_BITS, 1 << int(2 * len(shingles) - 1).bit_length()) if len(shingles) else MAP_BITS
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _apart(x: bytes, y: bytes) -> int:
+    """Classes that differ in parity: no more than the shingles that only one of two sets has.  The longer map is folded."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) != len(b):
+        if len(a) > len(b):
+            a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+        else:
+            b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _batch(schema: str, *columns) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
     fields = [c.split(" ") for c in schema.split(", ")]
@@ -166,8 +179,7 @@ def _by_maps(percent: int):
             a, b, na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             if not len(a):
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(a), -1) for i in (4, 5))
-            apart = np.bitwise_count(x ^ y).sum(axis=1).astype(np.int64)
+            apart = np.array([_apart(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())], np.int64)
             keep = _linked((na + nb - apart) // 2, na, nb, percent)
             yield _batch("a long, b long", a[keep], b[keep])
 
@@ -214,7 +226,10 @@ class _Join:
         once = keyed.join(several, "node", "left").filter(F.col("rep").isNull() | F.col("doc_id").eqNullSafe(F.col("rep")))
         flat = once.select(F.explode("keys").alias("key"), "node", F.col("n").cast("int").alias("n"))
         shared = flat.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("members")).filter("pivot != last")
-        return materialize(flat.join(shared.drop("last"), "key"), "entries")
+        out = materialize(flat.join(shared.drop("last"), "key"), "entries")
+        del flat, shared, once, keyed
+        release(self.docs.sparkSession)
+        return out
 
     def compare(self, pairs: DataFrame) -> None:
         """Judge pairs (a, b) that weren't before, and keep those that link."""
@@ -225,14 +240,19 @@ class _Join:
         self.compared.append(pairs)
         meta = lambda x: self.nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("map").alias(f"m{x}"))
         judged = pairs.join(meta("a"), "a").join(meta("b"), "b").select("a", "b", "na", "nb", "ma", "mb")
-        judged = materialize(judged.mapInArrow(_by_maps(self.percent), "a long, b long"), "survivors")
+        with batch_rows(self.docs.sparkSession, 2000):
+            judged = materialize(judged.mapInArrow(_by_maps(self.percent), "a long, b long"), "survivors")
         wanted = judged.select(F.col("a").alias("node")).union(judged.select("b")).distinct()
         ids = maybe_broadcast(materialize(wanted.join(self.nodes, "node").select(F.col("rep").alias("id")).distinct(), "wanted"))
         texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
         sets = materialize(texts.mapInArrow(_sets(self.size), SETS).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
         side = lambda x: sets.select(F.col("node").alias(x), F.col("members").alias(f"s{x}"))
         whole = judged.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
-        self.links.append(materialize(whole.mapInArrow(_by_sets(self.percent), "a long, b long"), "links"))
+        with batch_rows(self.docs.sparkSession, 64):  # two whole sets a row
+            self.links.append(materialize(whole.mapInArrow(_by_sets(self.percent), "a long, b long"), "links"))
+        del whole, texts
+        discard(sets)
+        release(self.docs.sparkSession)
 
     def all_links(self) -> DataFrame:
         out = self.links[0]
@@ -286,9 +306,9 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text", size:
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """The rows of `docs`, all columns, with one document of each component: the one with the smallest id."""
     found = jaccard_components(docs, id_col, text_col)
-    gone = found.filter("node IS NOT NULL AND doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = found.filter("node IS NOT NULL AND doc_id != component_id").select(F.col("doc_id").alias("__gone_id")).distinct()
     gone = maybe_broadcast(materialize(gone, "gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(gone, F.col(id_col) == F.col("__gone_id"), "left_anti")
 
 
 def op10_jaccard_join(spark, sf_dir):
