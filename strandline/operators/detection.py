@@ -36,7 +36,8 @@ def match_proposals(proposals: DataFrame, truth: DataFrame, thresholds: list[flo
         return pd.DataFrame(out, columns=["threshold", key, "score", "seq", "hit"])
 
     schema = f"threshold double, {key} long, score double, seq long, hit boolean"
-    return proposals.groupBy(key).cogroup(truth.groupBy(key)).applyInPandas(run, schema)
+    own = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731  both may come from one table
+    return own(proposals).groupBy(key).cogroup(own(truth).groupBy(key)).applyInPandas(run, schema)
 
 
 def temporal_ap(hits: DataFrame, truths: int, key: str = "sample_id") -> DataFrame:

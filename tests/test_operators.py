@@ -10,6 +10,7 @@ from strandline.operators import detection as D
 from strandline.operators import graph as G
 from strandline.operators import intervals as I
 from strandline.operators import ranking as R
+from strandline.operators import segmentation as C
 from strandline.operators import selection as S
 from strandline.operators import series as T
 
@@ -133,3 +134,16 @@ def test_contracts(spark):
     assert {(r["k"], r["rule"]) for r in found.collect()} == {("b", "value"), ("../c", "path")}
     with pytest.raises(Q.ContractError):
         Q.enforce(found)
+
+
+def test_cut_windows(spark):
+    none = spark.createDataFrame([], "k long, a double, b double")
+    out = C.cut_windows(spark.createDataFrame([(1, 0.0, 20.0)], none.schema), none, "k", 4.0, 7.0).orderBy("a").collect()
+    assert (out[0]["a"], out[0]["b"]) == (0.0, 7.0) and all(4 - 1e-6 <= r["b"] - r["a"] <= 7 + 1e-6 for r in out)
+    pauses = spark.createDataFrame([(1, 4.9, 5.1), (1, 5.8, 6.2), (1, 6.4, 6.6)], none.schema)
+    assert C.cut_windows(spark.createDataFrame([(1, 0.0, 9.0)], none.schema), pauses, "k", 4.0, 7.0).orderBy("a").first()["b"] == 6.0
+
+
+def test_suppress(spark):
+    props = spark.createDataFrame([(1, 0.0, 1.0, 0.9), (1, 0.0, 1.1, 0.8), (1, 5.0, 6.0, 0.7)], "k long, a double, b double, score double")
+    assert sorted(r["score"] for r in C.suppress(props, "k", 0.7, 10).collect()) == [0.7, 0.9]
