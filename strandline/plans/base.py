@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.session import ship_package
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -22,6 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
