@@ -9,7 +9,7 @@ from strandline.operators import ranking as R
 from strandline.plans.base import SCORES_SQL, query, scores, t
 
 r6 = lambda c, name=None: F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name or c)
-TEST = F.col("split") == "test"
+TEST = "split = 'test'"
 
 
 def _auc_sql(rows: str, by: str = "", w: str = "1") -> str:
