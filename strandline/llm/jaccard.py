@@ -19,9 +19,10 @@ links.
 
 A key's members aren't paired with each other.  One member is compared with
 the others; links join components; members of one component need no further
-comparison; then the members outside a key's largest component are compared
-in turn until each key's members that are not yet compared are of one
-component.  Pairs are first judged by sizes and by an upper bound on their
+comparison.  Then, as long as a key's members that had no turn are of several
+components, some more of them are compared with those of other components.  Of
+keys with the same members one is worked on.
+Pairs are first judged by sizes and by an upper bound on their
 overlap from parity maps, then by the whole sets.
 
 Defined results: a null or blank text has an empty set and links with nothing;
@@ -50,8 +51,8 @@ SIZE = 5
 PERCENT = 80
 #: At most so many frequent shingles are listed (8 bytes each, sent to every worker); they only decide the order.
 FREQUENT, FREQUENT_MIN = 1 << 17, 16
-#: Keys with at most so many members have all their outsiders compared at once.
-SMALL_KEY = 32
+#: A key's members are compared in turns of 1, GROWTH, GROWTH**2, ... of them.
+GROWTH = 4
 MAP_BITS = 256
 _BUFFER = 2 << 20
 
@@ -201,7 +202,7 @@ def _by_sets(percent: int):
 
 
 class _Join:
-    """One run of the join: the tables it works on, and the pairs it has compared."""
+    """One run of the join: the tables it works on, and the links it has found."""
 
     def __init__(self, docs: DataFrame, size: int, percent: int) -> None:
         self.docs, self.size, self.percent = docs, size, percent
@@ -216,47 +217,61 @@ class _Join:
         order = np.argsort(known)
         classes = np.floor(np.log2(np.maximum(top["times"].to_numpy(np.float64), 1))).astype(np.int8)
         self.listed = spark.sparkContext.broadcast((known[order], classes[order]))
-        self.compared: list[DataFrame] = []
         self.links: list[DataFrame] = []
 
     def entries(self) -> DataFrame:
-        """key, node, n, pivot, members: the keys that several nodes have, with the smallest node of each."""
+        """key, node, n, pivot, members: the keys that several nodes have, with the smallest node of each.
+
+        Of keys with the same members (as the shingles of a shared passage have) one stays.
+        """
         keyed = self.docs.mapInArrow(_keys(self.size, self.percent, self.listed), KEYED)
         several = maybe_broadcast(self.nodes.filter("copies > 1").select("node", "rep"))
         once = keyed.join(several, "node", "left").filter(F.col("rep").isNull() | F.col("doc_id").eqNullSafe(F.col("rep")))
         flat = once.select(F.explode("keys").alias("key"), "node", F.col("n").cast("int").alias("n"))
         shared = flat.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("members")).filter("pivot != last")
-        out = materialize(flat.join(shared.drop("last"), "key"), "entries")
+        every = materialize(flat.join(shared.drop("last"), "key"), "entries")
         del flat, shared, once, keyed
         release(self.docs.sparkSession)
+        own = F.xxhash64("node")
+        marks = every.groupBy("key").agg(F.first("pivot").alias("pivot"), F.first("members").alias("members"), F.bit_xor(own).alias("x"), F.sum(F.shiftrightunsigned(own, 20).cast("decimal(20,0)")).alias("s"))
+        one = marks.groupBy("pivot", "members", "x", "s").agg(F.min("key").alias("key")).select("key")
+        out = materialize(every.join(one, "key", "left_semi"), "entries")
+        discard(every)
         return out
 
-    def compare(self, pairs: DataFrame) -> None:
-        """Judge pairs (a, b) that weren't before, and keep those that link."""
+    def compare(self, pairs: DataFrame) -> bool:
+        """Judge pairs (a, b) and keep those that link; whether any do."""
+        spark = self.docs.sparkSession
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        for done in self.compared:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        self.compared.append(pairs)
         meta = lambda x: self.nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("map").alias(f"m{x}"))
         judged = pairs.join(meta("a"), "a").join(meta("b"), "b").select("a", "b", "na", "nb", "ma", "mb")
-        with batch_rows(self.docs.sparkSession, 2000):
+        with batch_rows(spark, 2000):
             judged = materialize(judged.mapInArrow(_by_maps(self.percent), "a long, b long"), "survivors")
-        wanted = judged.select(F.col("a").alias("node")).union(judged.select("b")).distinct()
-        ids = maybe_broadcast(materialize(wanted.join(self.nodes, "node").select(F.col("rep").alias("id")).distinct(), "wanted"))
+        if judged.isEmpty():
+            return False
+        wanted = judged.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = materialize(wanted.join(self.nodes, "node").select("node", F.col("rep").alias("id")), "wanted")
+        ids = maybe_broadcast(wanted.select("id"))
         texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
-        sets = materialize(texts.mapInArrow(_sets(self.size), SETS).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+        sets = texts.mapInArrow(_sets(self.size), SETS).join(maybe_broadcast(wanted.select("node")), "node", "left_semi").dropDuplicates(["node"])
         side = lambda x: sets.select(F.col("node").alias(x), F.col("members").alias(f"s{x}"))
         whole = judged.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
-        with batch_rows(self.docs.sparkSession, 64):  # two whole sets a row
-            self.links.append(materialize(whole.mapInArrow(_by_sets(self.percent), "a long, b long"), "links"))
-        del whole, texts
-        discard(sets)
-        release(self.docs.sparkSession)
+        with batch_rows(spark, 64):  # two whole sets a row
+            found = materialize(whole.mapInArrow(_by_sets(self.percent), "a long, b long"), "links")
+        del whole, sets, texts
+        release(spark)
+        if found.isEmpty():
+            return False
+        self.links.append(found)
+        return True
+
+    def grouped(self) -> DataFrame:
+        """node, component of the nodes that links found so far join."""
+        return materialize(connected_components(self.all_links(), "a", "b"), "components")
 
     def all_links(self) -> DataFrame:
-        out = self.links[0]
-        for more in self.links[1:]:
+        out = self.docs.sparkSession.createDataFrame([], "a long, b long")
+        for more in self.links:
             out = out.unionByName(more)
         return out
 
@@ -266,28 +281,23 @@ class _Join:
         pivot_size = self.nodes.select(F.col("node").alias("pivot"), F.col("n").alias("m"))
         stars = entries.filter("node != pivot").select("pivot", "node", "n").distinct()
         self.compare(stars.join(pivot_size, "pivot").filter(fits).select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-        found = materialize(connected_components(self.all_links(), "a", "b"), "components")
+        found = self.grouped()
         live = entries.filter("members > 2 AND node != pivot").select("key", "node", "n").distinct()
         turn = 1
         while True:
             live = live.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-            tally = live.groupBy("key", "component").agg(F.count("*").alias("c"))
-            tally = tally.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("members"), F.count("*").alias("kinds")).filter("kinds > 1")
-            live = materialize(live.join(tally.drop("kinds"), "key"), "live")
-            outside = live.filter("component != main")
-            if outside.isEmpty():
+            open_ = live.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b").select("key")
+            live = materialize(live.join(open_, "key", "left_semi"), "live")
+            if live.isEmpty():
                 return found
-            few = outside.filter(F.col("members") <= SMALL_KEY).select("key", "node", "n", "component")
             nth = F.row_number().over(Window.partitionBy("key").orderBy("node"))  # Spark cuts such ranks before it shuffles
-            many = outside.filter(F.col("members") > SMALL_KEY).withColumn("nth", nth).filter(F.col("nth") <= turn)
-            chosen = materialize(few.unionByName(many.select(*few.columns)), "chosen")
+            chosen = materialize(live.withColumn("nth", nth).filter(F.col("nth") <= turn).drop("nth"), "chosen")
             left = chosen.select("key", F.col("node").alias("a"), F.col("n").alias("m"), F.col("component").alias("kind"))
             pairs = left.join(live, "key").filter((F.col("component") != F.col("kind")) & fits)
-            self.compare(pairs.select("a", F.col("node").alias("b")))
-            if not self.links[-1].isEmpty():
-                found = materialize(connected_components(self.all_links(), "a", "b"), "components")
+            if self.compare(pairs.select("a", F.col("node").alias("b"))):
+                found = self.grouped()
             live = live.select("key", "node", "n").join(chosen.select("key", "node"), ["key", "node"], "left_anti")
-            turn *= 2
+            turn *= GROWTH
 
 
 def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:

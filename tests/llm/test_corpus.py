@@ -144,11 +144,11 @@ def brute_components(rows, size=5):
     return sorted(((d, len(s), least.get(find(i)) if s else d) for i, ((d, *_), s) in enumerate(zip(rows, sets))), key=str)
 
 
-@pytest.mark.parametrize("frequent, small", [(16, 32), (2, 1)])
-def test_jaccard(docs, empty, monkeypatch, frequent, small):
+@pytest.mark.parametrize("frequent, growth", [(16, 4), (2, 2)])
+def test_jaccard(docs, empty, monkeypatch, frequent, growth):
     rows, df = docs
     monkeypatch.setattr(jaccard, "FREQUENT_MIN", frequent)
-    monkeypatch.setattr(jaccard, "SMALL_KEY", small)
+    monkeypatch.setattr(jaccard, "GROWTH", growth)
     assert listed(jaccard.jaccard_components(df), "doc_id", "n_shingles", "component_id") == brute_components(rows)
     assert jaccard.jaccard_components(empty).count() == 0
 
