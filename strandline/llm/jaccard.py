@@ -7,7 +7,8 @@ class, the rest by hash.  Two sets whose Jaccard similarity is at least t share
 * a shingle among the first n - ceil(t n) + 1 of each, and the first shingle
   they share in this order is there.  If it is a rare one, the single shingle
   is the index key;
-* if it is a frequent one, all they share are frequent.  Then the prefixes are
+* if it is a frequent one, all they share are frequent, and the prefix of each
+  set must hold a frequent one (else a set has no such keys).  Then the prefixes are
   extended to 0.4 n + 2 shingles (for t = 0.8): there the shared shingles
   outnumber the others of both sets together by two, so that some two shared
   frequent shingles are neighbours in both orders.  Neighbouring pairs of
@@ -147,8 +148,10 @@ def _keys(size: int, percent: int, listed):
                         rank = np.where(known[at] == s, classes[at], 0).astype(np.int8)
                     order = np.argsort(rank, kind="stable")  # s is sorted, so ties stay in hash order
                     rare = n - int(np.count_nonzero(rank))
-                    single = s[order[: min(rare, n - -(-percent * n // 100) + 1)]]
-                    extended = s[order[rare : min(n, (100 - percent) * 2 * n // 100 + 2)]]
+                    prefix = n - -(-percent * n // 100) + 1
+                    single = s[order[: min(rare, prefix)]]
+                    reach = min(n, (100 - percent) * 2 * n // 100 + 2) if rare < prefix else rare
+                    extended = s[order[rare:reach]]
                     pairs = words.mix(words.mix(extended[:-1]) + extended[1:]) if len(extended) > 1 else extended[:0]
                     for column, value in zip(out, (doc, _node(s), n, np.concatenate((single, pairs)).view(np.int64))):
                         column.append(value)
