@@ -365,7 +365,7 @@ def b8(spark, d):
 
 @query("b4_clip_bootstrap")
 def b4(spark, d):
-    return B.paired_delta(scores(spark, d), "source_clip_id", "score2", "score3", replicates=100)
+    return B.paired_delta(scores(spark, d), "source_clip_id", "score2", "score3", replicates=2000)
 
 
 @query("m24_real_alarm_summary", f"{SC} SELECT split, round(avg((score >= 0.3)::INT), 6) AS alarm_rate, count(*) AS real, round(count(*) FILTER (score >= 0.3) / (count(*) * 4.0 / 3600), 4) AS per_hour FROM scores WHERE label = 0 GROUP BY split")

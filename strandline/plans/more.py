@@ -216,4 +216,4 @@ def b3(spark, d):
     s = scores(spark, d).filter("split = 'test'")
     suppliers = t(spark, d, "supplier").select(F.col("s_suppkey").alias("speaker_id"), F.col("s_nationkey").alias("n"))
     groups = identity_groups(suppliers, "speaker_id", {"nation": F.col("n")})
-    return B.paired_delta(s.join(groups, "speaker_id"), "group_id", "score", "score2", replicates=100)
+    return B.paired_delta(s.join(groups, "speaker_id"), "group_id", "score", "score2")
