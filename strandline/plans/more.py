@@ -200,12 +200,7 @@ def i12(spark, d):
 
 @query("l9_proposals")
 def l9(spark, d):
-    f = frames(spark, d)
-    marks = [I.mask_to_spans(f, "sample_id", "frame", F.col("score") >= level, 0.2, F.col("score")).select("sample_id", "a", "b", "score") for level in (0.1, 0.2, 0.3, 0.5)]
-    every = marks[0]
-    for m in marks[1:]:
-        every = every.unionByName(m)
-    return G.suppress(every, "sample_id", 0.7, 10)
+    return G.proposals(frames(spark, d), "sample_id", "frame", "score", 0.2)
 
 
 @query("b3_component_bootstrap")
