@@ -240,22 +240,43 @@ def ts7(spark, d):
 LAG_SQL = """f AS (SELECT sample_id, frame, value - 50 AS x, lag(value - 50, 2) OVER (PARTITION BY sample_id ORDER BY frame) AS y FROM frames), p AS (SELECT a.sample_id, l AS lag, avg(a.x * b.y) AS score, count(*) AS n FROM f a, range(-5, 6) r(l), f b WHERE b.sample_id = a.sample_id AND b.frame = a.frame + l AND b.y IS NOT NULL GROUP BY ALL HAVING count(*) >= 10)"""
 
 
-@query("ts8_lag_profile", f"{FR}, {LAG_SQL} SELECT sample_id, arg_max(lag, struct_pack(s := round(score, 6), l := -lag)) AS lag, round(max(score) - median(score), 3) AS peak FROM p GROUP BY sample_id")
-def ts8(spark, d):
+LONG_LAG_SQL = LAG_SQL.replace("range(-5, 6)", "range(-15, 16)")
+
+
+def _lags(spark, d, most):
     w = Window.partitionBy("sample_id").orderBy("frame")
     f = frames(spark, d).select("sample_id", "frame", (F.col("value") - 50).alias("x")).withColumn("y", F.lag("x", 2).over(w))
-    profile = S.lag_profile(f.select("sample_id", "frame", "x"), f.filter("y IS NOT NULL").select("sample_id", "frame", "y"), "sample_id", "frame", "x", "y", 5, 10)
+    profile = S.lag_profile(f.select("sample_id", "frame", "x"), f.filter("y IS NOT NULL").select("sample_id", "frame", "y"), "sample_id", "frame", "x", "y", most, 10)
     return S.best_lag(profile.withColumn("score", F.round("score", 6)), "sample_id").select("sample_id", "lag", F.round("peak", 3).alias("peak"))
 
 
-@query("ts10_sync_summary", f"{FR}, {LAG_SQL}, b AS (SELECT sample_id, arg_max(lag, struct_pack(s := round(score, 6), l := -lag)) AS lag FROM p GROUP BY sample_id) SELECT sample_id % 10 AS video, count(*) AS curves, round(count(*) FILTER (abs(lag + 2) <= 1) / count(*), 6) AS agree, CASE WHEN count(*) < 3 THEN 'few' WHEN count(*) FILTER (abs(lag + 2) <= 1) / count(*) >= 0.5 THEN 'ok' ELSE 'unreliable' END AS status FROM b GROUP BY 1" .replace("lag + 2", "lag - 2"))
-def ts10(spark, d):
-    b = ts8(spark, d)
+def _sync(b):
     near = F.count_if(F.abs(F.col("lag") - 2) <= 1) / F.count("*")
     out = b.groupBy((F.col("sample_id") % 10).alias("video")).agg(F.count("*").alias("curves"), near.alias("r"))
     return out.select("video", "curves", F.round("r", 6).alias("agree"), F.when(F.col("curves") < 3, "few").when(F.col("r") >= 0.5, "ok").otherwise("unreliable").alias("status"))
 
 
+@query("ts8_lag_profile", f"{FR}, {LAG_SQL} SELECT sample_id, arg_max(lag, struct_pack(s := round(score, 6), l := -lag)) AS lag, round(max(score) - median(score), 3) AS peak FROM p GROUP BY sample_id")
+def ts8(spark, d):
+    """The window of five lags that the oracle SQL has; ts8_lag_profile_full has the operator's fifteen."""
+    return _lags(spark, d, 5)
+
+
+@query("ts10_sync_summary", f"{FR}, {LAG_SQL}, b AS (SELECT sample_id, arg_max(lag, struct_pack(s := round(score, 6), l := -lag)) AS lag FROM p GROUP BY sample_id) SELECT sample_id % 10 AS video, count(*) AS curves, round(count(*) FILTER (abs(lag + 2) <= 1) / count(*), 6) AS agree, CASE WHEN count(*) < 3 THEN 'few' WHEN count(*) FILTER (abs(lag + 2) <= 1) / count(*) >= 0.5 THEN 'ok' ELSE 'unreliable' END AS status FROM b GROUP BY 1" .replace("lag + 2", "lag - 2"))
+def ts10(spark, d):
+    return _sync(ts8(spark, d))
+
+
+@query("ts8_lag_profile_full", f"{FR}, {LONG_LAG_SQL} SELECT sample_id, arg_max(lag, struct_pack(s := round(score, 6), l := -lag)) AS lag, round(max(score) - median(score), 3) AS peak FROM p GROUP BY sample_id")
+def ts8_full(spark, d):
+    return _lags(spark, d, 15)
+
+
+@query("ts10_sync_summary_full", f"{FR}, {LONG_LAG_SQL}, b AS (SELECT sample_id, arg_max(lag, struct_pack(s := round(score, 6), l := -lag)) AS lag FROM p GROUP BY sample_id) SELECT sample_id % 10 AS video, count(*) AS curves, round(count(*) FILTER (abs(lag + 2) <= 1) / count(*), 6) AS agree, CASE WHEN count(*) < 3 THEN 'few' WHEN count(*) FILTER (abs(lag + 2) <= 1) / count(*) >= 0.5 THEN 'ok' ELSE 'unreliable' END AS status FROM b GROUP BY 1" .replace("lag + 2", "lag - 2"))
+def ts10_full(spark, d):
+    return _sync(ts8_full(spark, d))
+
+
 @query("ts13_shift", f"{FR} SELECT f.sample_id, f.frame, round(g.value, 5) AS moved, g.value IS NOT NULL AS has FROM frames f LEFT JOIN frames g ON g.sample_id = f.sample_id AND g.frame = f.frame - 3")
 def ts13(spark, d):
     return S.shift(frames(spark, d), "sample_id", "frame", "value", 3).select("sample_id", "frame", F.round("moved", 5).alias("moved"), "has")
