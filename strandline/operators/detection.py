@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.ranking import auc
+
 
 def match_proposals(proposals: DataFrame, truth: DataFrame, thresholds: list[float], key: str = "sample_id") -> DataFrame:
     """Per threshold and proposal whether it hits: best score first, each truth used once, the best overlap wins, a later truth on a tie.
@@ -49,3 +51,38 @@ def temporal_ap(hits: DataFrame, truths: int, key: str = "sample_id") -> DataFra
     ahead = Window.partitionBy("threshold").orderBy(F.desc("score"), key, "seq").rowsBetween(0, Window.unboundedFollowing)
     ranked = ranked.withColumn("envelope", F.max("precision").over(ahead))
     return ranked.groupBy("threshold").agg((F.sum(F.when(F.col("hit"), F.col("envelope")).otherwise(0.0)) / truths).alias("ap"), F.sum(F.col("hit").cast("long")).alias("matched"))
+
+
+def average_recall(proposals: DataFrame, truth: DataFrame, at: tuple[int, ...] = (1, 5, 10), key: str = "sample_id") -> DataFrame:
+    """One row: segments, and for each N the share of truths that one of their sample's first N proposals (by seq, from 0) meets, averaged over overlaps of 0.5, 0.55, ... 0.95; null without truth."""
+    levels = [x / 100 for x in range(50, 100, 5)]
+    t = truth.select(F.col(key).alias("_k"), F.col("a").alias("_a"), F.col("b").alias("_b"))
+    p = proposals.select(F.col(key).alias("_p"), "a", "b", "seq")
+    inter = F.greatest(F.lit(0.0), F.least("b", "_b") - F.greatest("a", "_a"))
+    overlap = inter / (F.col("b") - F.col("a") + F.col("_b") - F.col("_a") - inter)
+    pairs = t.join(p, F.col("_k") == F.col("_p"), "left").groupBy("_k", "_a", "_b").agg(*[F.max(F.when(F.col("seq") < n, overlap)).alias(f"_{n}") for n in at])
+    met = lambda n: sum(F.when(F.col(f"_{n}") >= x, 1).otherwise(0) for x in levels) / len(levels)
+    return pairs.agg(F.count("*").alias("segments"), *[F.avg(met(n)).alias(f"ar_{n}") for n in at])
+
+
+def localization(df: DataFrame, key: str, frame: str, inside: str, score: str, reach: int = 2) -> DataFrame:
+    """One row: means over the samples with frames inside and outside of AUC, top frame inside (the first of equal ones), and score within `reach` of the first or last inside frame and between."""
+    ends = df.groupBy(key).agg(F.min(F.when(F.col(inside), F.col(frame))).alias("_lo"), F.max(F.when(F.col(inside), F.col(frame))).alias("_hi"), F.every(inside).alias("_all"), F.max_by(inside, F.struct(F.col(score), -F.col(frame))).alias("_top"))
+    ends = ends.filter(F.col("_lo").isNotNull() & ~F.col("_all")).select(F.col(key).alias("_k"), "_lo", "_hi", "_top")
+    near = F.least(F.abs(F.col(frame) - F.col("_lo")), F.abs(F.col(frame) - F.col("_hi"))) <= reach
+    own = df.filter(inside).join(ends, F.col(key) == F.col("_k")).groupBy("_k", "_top").agg(F.avg(F.when(near, F.col(score))).alias("_edge"), F.avg(F.when(~near, F.col(score))).alias("_middle"))
+    ranked = auc(df.withColumn("_y", F.col(inside).cast("int")), [key], "_y", score)
+    return ranked.join(own, F.col(key) == F.col("_k")).agg(
+        F.avg("auc").alias("mean_auc"), F.count("*").alias("clips"), F.avg(F.col("_top").cast("int")).alias("top_inside"), F.avg("_edge").alias("edge"), F.avg("_middle").alias("middle")
+    )
+
+
+def localization_by(df: DataFrame, by: str, key: str, frame: str, inside: str, score: str) -> DataFrame:
+    """Per group, over the samples with cells inside and outside: their number, the AUC of all their cells, the mean of inside minus outside, the share with the top cell inside."""
+    clips = df.groupBy(by, key).agg(F.avg(F.when(F.col(inside), F.col(score))).alias("_in"), F.avg(F.when(~F.col(inside), F.col(score))).alias("_out"), F.max_by(inside, F.struct(F.col(score), -F.col(frame))).alias("_top")).filter("_in IS NOT NULL AND _out IS NOT NULL")
+    means = clips.groupBy(F.col(by).alias("_m")).agg(F.count("*").alias("clips"), F.avg(F.col("_in") - F.col("_out")).alias("lift"), F.avg(F.col("_top").cast("int")).alias("peak_rate"))
+    cells = df.join(clips.select(F.col(by).alias("_g"), F.col(key).alias("_k")), (F.col(by) == F.col("_g")) & (F.col(key) == F.col("_k")), "left_semi")
+    pooled = auc(cells.select(F.col(by).alias("_a"), F.col(inside).cast("int").alias("_y"), score), ["_a"], "_y", score)
+    every = df.select(by).distinct()
+    out = every.join(means, F.col(by) == F.col("_m"), "left").join(pooled, F.col(by) == F.col("_a"), "left")
+    return out.select(by, F.coalesce("clips", F.lit(0)).alias("clips"), F.col("auc").alias("cell_auc"), "lift", "peak_rate")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.operators import contracts as Q
@@ -10,8 +11,10 @@ from strandline.operators import graph as G
 from strandline.operators import intervals as I
 from strandline.operators import ranking as R
 from strandline.operators import resample as B
+from strandline.operators import segmentation as C
 from strandline.operators import vectors as E
 from strandline.plans.base import FRAMES_SQL, SCORES_SQL, frames, query, scores, t
+from strandline.session import materialize
 
 VEC = "v AS (SELECT vec_id, label, i, embedding[i]::DOUBLE AS x FROM embeddings, range(1, 65) r(i)), nv AS (SELECT vec_id, label, i, x / greatest(1e-8, sqrt(sum(x * x) OVER (PARTITION BY vec_id))) AS u FROM v)"
 CEN = "s AS (SELECT label AS owner, i, sum(x) AS s FROM v GROUP BY ALL), c AS (SELECT owner, i, s / greatest(1e-8, sqrt(sum(s * s) OVER (PARTITION BY owner))) AS c FROM s)"
@@ -214,13 +217,24 @@ def q10(spark, d):
 
 @query("m17_temporal_ap", None)
 def m17(spark, d):
-    f = frames(spark, d)
-    found = I.mask_to_spans(f, "sample_id", "frame", F.col("score") >= 0.3, 0.2, F.col("score")).withColumn("seq", F.col("run"))
-    truth = I.mask_to_spans(f, "sample_id", "frame", F.col("event_type").isin("click", "view"), 0.2, F.col("score")).select("sample_id", "a", "b")
-    hits = D.match_proposals(found.select("sample_id", "a", "b", "score", "seq"), truth, [0.5, 0.75, 0.95])
-    return D.temporal_ap(hits, truth.count()).select("threshold", F.round("ap", 6).alias("ap"), "matched")
+    f = frames(spark, d)  # spans in whole frames, where overlaps are exact
+    order = Window.partitionBy("sample_id").orderBy(F.desc("score"), F.desc("a"), F.desc("b"))
+    found = materialize(C.proposals(f, "sample_id", "frame", "score", 1.0).withColumn("seq", (F.row_number().over(order) - 1).cast("long")), "proposals")
+    truth = materialize(I.mask_to_spans(f, "sample_id", "frame", F.col("event_type").isin("click", "view"), 1.0, F.col("score")).select("sample_id", "a", "b"), "truth")
+    hits = D.match_proposals(found, truth, [0.5, 0.75, 0.95])
+    recall = D.average_recall(found, truth)
+    return D.temporal_ap(hits, truth.count()).crossJoin(recall).select("threshold", F.round("ap", 6).alias("ap"), "matched", "segments", *[F.round(f"ar_{n}", 6).alias(f"ar_{n}") for n in (1, 5, 10)])
 
 
 @query("m20_localization_by_type", f"WITH {FRAMES_SQL} SELECT event_type, round(avg(score) FILTER (valid) - avg(score) FILTER (NOT valid), 5) AS lift, count(*) AS cells FROM frames GROUP BY event_type")
 def m20(spark, d):
     return frames(spark, d).groupBy("event_type").agg(F.round(F.avg(F.when(F.col("valid"), F.col("score"))) - F.avg(F.when(~F.col("valid"), F.col("score"))), 5).alias("lift"), F.count("*").alias("cells"))
+
+
+@query("m20_localization_by_type_full", f"""WITH {FRAMES_SQL}, c AS (SELECT event_type, sample_id, avg(score) FILTER (valid) - avg(score) FILTER (NOT valid) AS lift, arg_max(valid, struct_pack(s := score, f := -frame)) AS top FROM frames GROUP BY ALL HAVING bool_or(valid) AND NOT bool_and(valid)),
+  g AS (SELECT event_type, score, count(*) FILTER (valid) AS pos, count(*) FILTER (NOT valid) AS neg FROM frames SEMI JOIN c USING (event_type, sample_id) GROUP BY ALL), b AS (SELECT *, sum(neg) OVER (PARTITION BY event_type ORDER BY score) - neg / 2.0 AS below FROM g),
+  a AS (SELECT event_type, sum(pos * below) / (sum(pos)::DOUBLE * sum(neg)) AS auc FROM b GROUP BY ALL), m AS (SELECT event_type, count(*) AS clips, avg(lift) AS lift, avg(top::INT) AS peak FROM c GROUP BY ALL)
+  SELECT e.event_type, coalesce(clips, 0) AS clips, round(auc::DOUBLE, 5) AS cell_auc, round(lift, 5) AS lift, round(peak, 5) AS peak_rate FROM (SELECT DISTINCT event_type FROM frames) e LEFT JOIN m USING (event_type) LEFT JOIN a USING (event_type)""")
+def m20_full(spark, d):
+    out = D.localization_by(frames(spark, d), "event_type", "sample_id", "frame", "valid", "score")
+    return out.select("event_type", "clips", *[F.round(c, 5).alias(c) for c in ("cell_auc", "lift", "peak_rate")])

@@ -312,3 +312,15 @@ def m16(spark, d):
 
     s = frames(spark, d).select("sample_id", F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("label"), F.round("score", 1).alias("score"))
     return R.auc(s, ["sample_id"]).agg(F.round(F.avg("auc"), 5).alias("mean_auc"), F.count("auc").alias("clips"))
+
+
+@query("m16_localization_full", f"""{FR}, s AS (SELECT sample_id, frame, event_type = 'purchase' AS own, round(score, 1) AS score FROM frames), g AS (SELECT sample_id, score, count(*) FILTER (own) AS pos, count(*) FILTER (NOT own) AS neg FROM s GROUP BY ALL),
+  c AS (SELECT *, sum(neg) OVER (PARTITION BY sample_id ORDER BY score) - neg / 2.0 AS below FROM g), a AS (SELECT sample_id, sum(pos * below) / (sum(pos)::DOUBLE * sum(neg)) AS auc FROM c GROUP BY ALL HAVING sum(pos) > 0 AND sum(neg) > 0),
+  e AS (SELECT sample_id, min(frame) FILTER (own) AS lo, max(frame) FILTER (own) AS hi, arg_max(own, struct_pack(s := score, f := -frame)) AS top FROM s GROUP BY ALL),
+  m AS (SELECT sample_id, any_value(top) AS top, avg(score) FILTER (least(abs(frame - lo), abs(frame - hi)) <= 2) AS edge, avg(score) FILTER (least(abs(frame - lo), abs(frame - hi)) > 2) AS middle FROM s JOIN e USING (sample_id) WHERE own GROUP BY ALL)
+  SELECT round(avg(auc), 5) AS mean_auc, count(*) AS clips, round(avg(top::INT), 5) AS top_inside, round(avg(edge), 5) AS edge, round(avg(middle), 5) AS middle FROM a JOIN m USING (sample_id)""")
+def m16_full(spark, d):
+    from strandline.operators import detection as D
+
+    s = frames(spark, d).select("sample_id", "frame", (F.col("event_type") == "purchase").alias("own"), F.round("score", 1).alias("score"))
+    return D.localization(s, "sample_id", "frame", "own", "score").select("clips", *[F.round(c, 5).alias(c) for c in ("mean_auc", "top_inside", "edge", "middle")])
