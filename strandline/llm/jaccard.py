@@ -317,11 +317,25 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text", size:
 
 
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """The rows of `docs`, all columns, with one document of each component: the one with the smallest id."""
-    found = jaccard_components(docs, id_col, text_col)
-    gone = found.filter("node IS NOT NULL AND doc_id != component_id").select(F.col("doc_id").alias("__gone_id")).distinct()
-    gone = maybe_broadcast(materialize(gone, "gone"))
-    return docs.join(gone, F.col(id_col) == F.col("__gone_id"), "left_anti")
+    """The rows of `docs`, all columns, with one row of each component: one with the smallest id; a null id loses to any.
+
+    Rows are told apart by a hash of id and text, so others that share an id
+    with one that goes stay, and of rows that repeat both one stays.
+    """
+    own = docs.withColumn("__row", F.xxhash64(F.col(id_col), F.col(text_col)))
+    found = jaccard_components(own, "__row", text_col).filter("node IS NOT NULL").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__component"))
+    found = materialize(found.groupBy("__row", "__component").agg(F.count("*").alias("__times")), "found")
+    several = found.groupBy("__component").agg(F.sum("__times").alias("rows")).filter("rows > 1").select("__component")
+    members = materialize(found.join(maybe_broadcast(several), "__component"), "members")
+    named = own.select("__row", F.col(id_col).alias("__id")).join(maybe_broadcast(members), "__row")
+    first = named.groupBy("__component").agg(F.min_by("__row", F.struct(F.col("__id").isNull(), "__id", "__row")).alias("__first"))
+    judged = materialize(members.join(maybe_broadcast(materialize(first, "first")), "__component"), "judged")
+    kept = own.join(maybe_broadcast(judged.filter("__row != __first").select("__row")), "__row", "left_anti")
+    repeats = judged.filter("__row = __first AND __times > 1").select("__row")
+    if not repeats.isEmpty():
+        repeats = maybe_broadcast(repeats)
+        kept = kept.join(repeats, "__row", "left_anti").unionByName(kept.join(repeats, "__row", "left_semi").dropDuplicates(["__row"]))
+    return kept.select(*docs.columns)
 
 
 def op10_jaccard_join(spark, sf_dir):
