@@ -15,7 +15,8 @@ from functools import lru_cache
 CACHE = 600_000
 #: Long texts are worked on in stretches of about so many characters, cut at a space.
 STRETCH = 1 << 20
-#: Characters that may be cut from the end of a piece after a letter: the pre-tokeniser starts a new token there.
+#: Characters that may be cut from the end of a piece after an ASCII letter: the pre-tokeniser starts a new token there.
+#: After other letters they may not, as normalised letters can end in a combining mark, which joins what follows.
 _TAIL = ".,;:!?#$%&*"
 
 
@@ -32,7 +33,7 @@ class PieceIds(dict):
 
     def __missing__(self, piece: str) -> bytes:
         stem = piece.rstrip(_TAIL)
-        if stem and stem != piece and stem[-1].isalpha():
+        if stem and stem != piece and stem[-1].isascii() and stem[-1].isalpha():
             ids = self[stem] + self[piece[len(stem) :]]
         else:
             ids = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(piece, add_special_tokens=False).ids)

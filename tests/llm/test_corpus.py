@@ -213,6 +213,20 @@ def test_piece_ids_equal_the_library():
         assert np.frombuffer(ids.encode(text), "<u4").tolist() == encode(text), text
 
 
+def test_piece_ids_round_combining_marks():
+    import unicodedata
+
+    ids = tokens.PieceIds(tokens.tokenizer_path("word_bpe_49k.json"))
+    encode("")
+    chars = [chr(c) for c in range(0x20, 0x3000)]
+    marks = [c for c in chars if unicodedata.combining(unicodedata.normalize("NFC", c.lower())[-1])]
+    texts = [head + mark + tail for mark in marks for tail in ".,;:!?#$%&*" for head in ("", "a")]
+    rng = random.Random(8)
+    texts += ["".join(rng.choice([rng.choice(marks), rng.choice(chars), rng.choice("abAZ.,!?$&*' \n\t")]) for _ in range(rng.randint(1, 12))) for _ in range(20_000)]
+    for text, want in zip(texts, encode.tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(ids.encode(text), "<u4").tolist() == want.ids, ascii(text)
+
+
 def test_packing(docs, empty):
     rows, df = docs
     capacity = 64
