@@ -18,13 +18,24 @@ So the keys of a set grow with its size only.  The list of frequent shingles
 is bounded (FREQUENT) and decides the order alone; any list gives the same
 links.
 
-A key's members aren't paired with each other.  One member is compared with
-the others; links join components; members of one component need no further
-comparison.  Then, as long as a key's members that had no turn are of several
-components, some more of them are compared with those of other components.  Of
-keys with the same members one is worked on.
-Pairs are first judged by sizes and by an upper bound on their
-overlap from parity maps, then by the whole sets.
+With each key goes the set's room there: how many shingles it can share at
+most if this key holds the first one shared (those from the key's place on, or
+the frequent ones).  Sets of n and m shingles that link share at least
+t / (1 + t) (n + m), so the room bounds a partner's size: `reach`.  Two members
+of a key are a candidate pair only if each is within the other's reach; a true
+link is within it at the key of the first shingle it shares.  Members that
+nobody in their key can reach leave it.
+
+A key's members aren't paired with each other.  The member whose shingles are
+the most common ones, as an unedited original's are, is compared with the
+others; links join components; members of one component need no further
+comparison.  Then, as long as a key's members that had no turn can reach some
+of another component (told by a profile of sizes, reaches and components, of
+bounded length), some more of them are compared with those.  Of keys with the
+same members the first in the order stands for all.  Near sets meet in many
+keys: the few that nodes name by hash are worked on first, and in other keys a
+pair that met in one of those isn't made again.  Pairs are judged by an upper
+bound on their overlap from parity maps, then by the whole sets.
 
 Defined results: a null or blank text has an empty set and links with nothing;
 fewer words than a shingle make one shingle; rows with a null id take part,
@@ -52,10 +63,15 @@ SIZE = 5
 PERCENT = 80
 #: At most so many frequent shingles are listed (8 bytes each, sent to every worker); they only decide the order.
 FREQUENT, FREQUENT_MIN = 1 << 17, 16
-#: A key's members are compared in turns of 1, GROWTH, GROWTH**2, ... of them.
-GROWTH = 4
+#: A key's members are compared in turns of GROWTH, GROWTH**2, ... of them, after the first.
+GROWTH = 8
+#: Each node names so many of its keys, by hash, to be worked on before all others.
+LEADS = 4
+#: A key's profile has a row for each class of sizes that differ by a factor of CLASS.
+CLASS = 1.02
 MAP_BITS = 256
-_BUFFER = 2 << 20
+#: Shingles that a task holds while it looks for frequent ones; texts that go to a Python worker at once.
+_BUFFER, _ROWS = 1 << 20, 1000
 
 
 def _node(shingles: np.ndarray) -> int | None:
@@ -126,18 +142,23 @@ def _describe(size: int):
     return run
 
 
-KEYED = "doc_id long, node long, n long, keys array<long>"
+KEYED = "doc_id long, node long, n int, score int, keys array<long>, reaches array<int>"
 
 
 def _keys(size: int, percent: int, listed):
-    """Index keys of every document's set under the order that the broadcast list of frequent shingles gives."""
+    """Index keys of every document's set under the order that the broadcast list of frequent shingles gives.
+
+    score: how common the set's shingles are, 0 to 2**15.  reaches: with each key the largest size of a partner.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, classes = listed.value
+        i64, i32 = pa.int64(), pa.int32()
+        kinds = (i64, i64, i32, i32, pa.list_(i64), pa.list_(i32))
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for first, w in words.slices(batch.column(1), lower=True):
-                out: list[list] = [[], [], [], []]
+                out: list[list] = [[] for _ in kinds]
                 for doc, s in zip(ids[first:], words.shingle_sets(w, size)):
                     n = len(s)
                     if not n:
@@ -150,12 +171,15 @@ def _keys(size: int, percent: int, listed):
                     rare = n - int(np.count_nonzero(rank))
                     prefix = n - -(-percent * n // 100) + 1
                     single = s[order[: min(rare, prefix)]]
-                    reach = min(n, (100 - percent) * 2 * n // 100 + 2) if rare < prefix else rare
-                    extended = s[order[rare:reach]]
+                    extend = min(n, (100 - percent) * 2 * n // 100 + 2) if rare < prefix else rare
+                    extended = s[order[rare:extend]]
                     pairs = words.mix(words.mix(extended[:-1]) + extended[1:]) if len(extended) > 1 else extended[:0]
-                    for column, value in zip(out, (doc, _node(s), n, np.concatenate((single, pairs)).view(np.int64))):
+                    room = np.concatenate((n - np.arange(len(single)), np.full(len(pairs), n - rare)))
+                    reach = room * (100 + percent) // percent - n
+                    score = int(rank.sum(dtype=np.int64) * 256 // n)
+                    for column, value in zip(out, (doc, _node(s), n, score, np.concatenate((single, pairs)).view(np.int64), reach.astype(np.int32))):
                         column.append(value)
-                yield _batch(KEYED, *out)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=[c.split()[0] for c in KEYED.split(", ")])
 
     return run
 
@@ -204,13 +228,21 @@ def _by_sets(percent: int):
     return run
 
 
+def _one_of_each(entries: DataFrame) -> DataFrame:
+    """key, pivot (score, node, n, reach of the member with the most common shingles): of keys with the same members the one with the largest reaches."""
+    own = F.xxhash64("node")
+    marks = entries.groupBy("key").agg(F.max(F.struct("score", "node", "n", "reach")).alias("pivot"), F.count("*").alias("members"), F.bit_xor(own).alias("x"), F.sum(F.shiftrightunsigned(own, 20).cast("decimal(20,0)")).alias("s"), F.sum("reach").alias("sum"))
+    return marks.filter("members > 1").groupBy("pivot.node", "members", "x", "s").agg(F.max(F.struct("sum", "key", "pivot")).alias("k")).select("k.key", "k.pivot")
+
+
 class _Join:
     """One run of the join: the tables it works on, and the links it has found."""
 
     def __init__(self, docs: DataFrame, size: int, percent: int) -> None:
         self.docs, self.size, self.percent = docs, size, percent
         spark = docs.sparkSession
-        described = materialize(docs.mapInArrow(_describe(size), DESCRIBED), "described")
+        with batch_rows(spark, _ROWS):
+            described = materialize(docs.mapInArrow(_describe(size), DESCRIBED), "described")
         self.rows = described.filter("token IS NULL").select("doc_id", "n", "node")
         nodes = described.filter("node IS NOT NULL").groupBy("node")
         self.nodes = materialize(nodes.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("map").alias("map"), F.count("*").alias("copies")), "nodes")
@@ -223,22 +255,24 @@ class _Join:
         self.links: list[DataFrame] = []
 
     def entries(self) -> DataFrame:
-        """key, node, n, pivot, members: the keys that several nodes have, with the smallest node of each.
+        """key, node, n, reach, score, and the pivot (score, node, n, reach) of each key that several nodes have.
 
-        Of keys with the same members (as the shingles of a shared passage have) one stays.
+        Of keys with the same members (as the shingles of a shared passage have) the first in the order stays:
+        there every member's reach is largest.
         """
-        keyed = self.docs.mapInArrow(_keys(self.size, self.percent, self.listed), KEYED)
+        spark = self.docs.sparkSession
+        with batch_rows(spark, _ROWS):
+            keyed = materialize(self.docs.mapInArrow(_keys(self.size, self.percent, self.listed), KEYED), "keyed")
         several = maybe_broadcast(self.nodes.filter("copies > 1").select("node", "rep"))
         once = keyed.join(several, "node", "left").filter(F.col("rep").isNull() | F.col("doc_id").eqNullSafe(F.col("rep")))
-        flat = once.select(F.explode("keys").alias("key"), "node", F.col("n").cast("int").alias("n"))
-        shared = flat.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("members")).filter("pivot != last")
-        every = materialize(flat.join(shared.drop("last"), "key"), "entries")
-        del flat, shared, once, keyed
-        release(self.docs.sparkSession)
-        own = F.xxhash64("node")
-        marks = every.groupBy("key").agg(F.first("pivot").alias("pivot"), F.first("members").alias("members"), F.bit_xor(own).alias("x"), F.sum(F.shiftrightunsigned(own, 20).cast("decimal(20,0)")).alias("s"))
-        one = marks.groupBy("pivot", "members", "x", "s").agg(F.min("key").alias("key")).select("key")
-        out = materialize(every.join(one, "key", "left_semi"), "entries")
+        flat = once.select("node", "n", "score", F.explode(F.arrays_zip("keys", "reaches")).alias("k")).select(F.col("k.keys").alias("key"), "node", "n", "score", F.col("k.reaches").alias("reach"))
+        shared = flat.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.min("n").alias("least"), F.max("reach").alias("most")).filter("first != last")
+        every = flat.join(shared.select("key", "least", "most"), "key").filter("least <= reach AND n <= most").drop("least", "most")
+        every = materialize(every, "entries")
+        del flat, shared, once
+        discard(keyed)
+        release(spark)
+        out = materialize(every.join(_one_of_each(every), "key"), "entries")
         discard(every)
         return out
 
@@ -268,40 +302,65 @@ class _Join:
         self.links.append(found)
         return True
 
-    def grouped(self) -> DataFrame:
-        """node, component of the nodes that links found so far join."""
-        return materialize(connected_components(self.all_links(), "a", "b"), "components")
-
-    def all_links(self) -> DataFrame:
-        out = self.docs.sparkSession.createDataFrame([], "a long, b long")
+    def group(self) -> None:
+        """found: node, component of the nodes that links join; the links give way to the stars they make."""
+        edges = self.docs.sparkSession.createDataFrame([], "a long, b long")
         for more in self.links:
-            out = out.unionByName(more)
-        return out
-
-    def components(self) -> DataFrame:
-        entries = self.entries()
-        fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * self.percent
-        pivot_size = self.nodes.select(F.col("node").alias("pivot"), F.col("n").alias("m"))
-        stars = entries.filter("node != pivot").select("pivot", "node", "n").distinct()
-        self.compare(stars.join(pivot_size, "pivot").filter(fits).select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-        found = self.grouped()
-        live = entries.filter("members > 2 AND node != pivot").select("key", "node", "n").distinct()
-        turn = 1
+            edges = edges.unionByName(more)
+        self.found = materialize(connected_components(edges, "a", "b"), "components")
+        for more in self.links:
+            discard(more)
+        self.links = [self.found.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))]
+
+    def reachable(self, live: DataFrame) -> DataFrame:
+        """`live` (key, node, n, reach, ...) with component: the members that can reach one of another component in their key."""
+        live = live.join(self.found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(CLASS))).cast("int").alias("class")
+        classes = live.groupBy("key", size).agg(F.min("n").alias("n"), F.max("reach").alias("reach"), F.min("component").alias("a"), F.max("component").alias("b"))
+        profile = classes.groupBy("key").agg(F.collect_list(F.struct("n", "reach", "a", "b")).alias("profile"), F.min("a").alias("a"), F.max("b").alias("b")).filter("a != b").select("key", "profile")
+        other = F.exists("profile", lambda p: (p["n"] <= F.col("reach")) & (p["reach"] >= F.col("n")) & ((p["a"] != F.col("component")) | (p["b"] != F.col("component"))))
+        return live.join(profile, "key").filter(other).drop("profile")
+
+    def settle(self, live: DataFrame, turn: int) -> None:
+        """Compare the members of each key in turns, the ones with the most common shingles first, until none can reach another component."""
         while True:
-            live = live.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-            open_ = live.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b").select("key")
-            live = materialize(live.join(open_, "key", "left_semi"), "live")
+            reached = materialize(self.reachable(live), "reached")
+            live = materialize(reached.join(_one_of_each(reached).select("key"), "key"), "live")
+            discard(reached)
             if live.isEmpty():
-                return found
-            nth = F.row_number().over(Window.partitionBy("key").orderBy("node"))  # Spark cuts such ranks before it shuffles
+                return
+            nth = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "node"))  # Spark cuts such ranks before it shuffles
             chosen = materialize(live.withColumn("nth", nth).filter(F.col("nth") <= turn).drop("nth"), "chosen")
-            left = chosen.select("key", F.col("node").alias("a"), F.col("n").alias("m"), F.col("component").alias("kind"))
-            pairs = left.join(live, "key").filter((F.col("component") != F.col("kind")) & fits)
-            if self.compare(pairs.select("a", F.col("node").alias("b"))):
-                found = self.grouped()
-            live = live.select("key", "node", "n").join(chosen.select("key", "node"), ["key", "node"], "left_anti")
+            left = chosen.select("key", F.col("node").alias("a"), F.col("n").alias("m"), F.col("reach").alias("far"), F.col("component").alias("kind"), F.col("done").alias("had"))
+            fits = F.expr("component != kind AND n <= far AND m <= reach AND NOT (a < node AND turned) AND NOT arrays_overlap(done, had)")
+            turned = live.join(chosen.select("key", "node", F.lit(True).alias("turned")), ["key", "node"], "left").withColumn("turned", F.coalesce("turned", F.lit(False)))
+            if self.compare(left.join(turned, "key").filter(fits).select("a", F.col("node").alias("b"))):
+                self.group()
+            live = live.drop("component").join(chosen.select("key", "node"), ["key", "node"], "left_anti")
             turn *= GROWTH
 
+    def components(self) -> DataFrame:
+        """node, component of all nodes that link with others."""
+        entries = self.entries()
+        stars = entries.filter("node != pivot.node AND n <= pivot.reach AND pivot.n <= reach")
+        self.compare(stars.select(F.col("pivot.node").alias("a"), F.col("node").alias("b")))
+        self.group()
+        left = entries.filter("node != pivot.node").select("key", "node", "n", "reach", "score")
+        left = materialize(self.reachable(left).drop("component"), "left")
+        place = F.struct(F.xxhash64("key").alias("h"), "key")
+        leads = left.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(place)), 1, LEADS).alias("k")).select(F.explode("k.key").alias("key")).distinct()
+        leads = materialize(leads, "leads")
+        first = materialize(left.join(leads, "key", "left_semi"), "first")
+        self.settle(first.withColumn("done", F.expr("CAST(array() AS array<long>)")), GROWTH)
+        done = first.groupBy("node").agg(F.collect_list("key").alias("done"))
+        rest = left.join(leads, "key", "left_anti").join(done, "node", "left").withColumn("done", F.coalesce("done", F.expr("CAST(array() AS array<long>)")))
+        rest = materialize(rest, "rest")
+        members = rest.groupBy("key").agg(F.count("*").alias("members"))
+        met = rest.select("key", F.explode("done").alias("d")).groupBy("key", "d").agg(F.count("*").alias("members"))
+        settled = met.join(members, ["key", "members"], "left_semi").select("key").distinct()
+        self.settle(rest.join(settled, "key", "left_anti"), GROWTH**4)  # few pairs are left here, so large turns are cheap
+        return self.found
+
 
 def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """One row per input row: doc_id, n_shingles, node (set id, null if empty), component_id."""

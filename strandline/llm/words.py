@@ -16,7 +16,7 @@ import pyarrow as pa
 
 U = np.uint64
 BLOCK = 1 << 20
-SLICE = 4 << 20
+SLICE = 2 << 20
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
 #: Also splits words at ASCII punctuation.
