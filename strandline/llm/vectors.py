@@ -5,9 +5,13 @@ by a hash.  In each shard a graph is built: greedy searches from the node
 nearest to the middle propose neighbours for each node; relaxed distance
 pruning drops a proposal that a nearer neighbour already covers (by the factor
 RELAX), so that edges stay diverse; edges are added both ways and pruned again
-where a node has too many.  Queries go in blocks to every shard of their
-dimension, a beam search walks the graph, and what it has met is ranked by the
-exact cosine in double precision.
+where a node has too many.  Queries go in blocks of bounded size (BLOCK_BYTES)
+to every shard of their dimension; shards stay where they are written.  A beam
+search walks the graph, what it has met is ranked by the exact cosine in double
+precision, and a task sends on the nearest that its shards gave each query.
+
+Vectors are scaled by the power of two next to their largest component, which
+changes no digit, so squares neither overflow nor vanish.
 
 Every row is indexed.  Vectors that are null, empty, zero, or hold null or
 non-finite components take no part.  Vectors of different length are never
@@ -21,18 +25,22 @@ other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import table
-from strandline.session import materialize
+from strandline.llm.common import maybe_broadcast, table
+from strandline.session import batch_rows, materialize
 
-SHARD, BLOCK = 4096, 1024
-DEGREE, BEAM, RELAX, TOP = 28, 64, 1.2, 5
-_WIDE = 4  # nodes that a beam search expands at once
+SHARD = 1024
+#: Queries are sent to the shards in blocks of so many bytes at most.
+BLOCK_BYTES = 8 << 20
+DEGREE, BEAM, SEARCH_BEAM, RELAX, TOP = 28, 48, 96, 1.2, 5
+_WIDE = 8  # nodes that a beam search expands at once
 
 
 def beam_search(unit: np.ndarray, edges: np.ndarray, entry: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +137,13 @@ def build_graph(unit: np.ndarray, degree: int = DEGREE, beam: int = BEAM, relax:
     return edges, entry
 
 
+def _scaled(raw: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, so that their largest component is between a half and one."""
+    return np.ldexp(raw, -np.frexp(np.abs(raw).max(axis=1, initial=0.0))[1][:, None])
+
+
 def _unit(raw: np.ndarray) -> np.ndarray:
+    """float32 rows of length one; of rows as _scaled() gives them."""
     return (raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
@@ -138,32 +152,41 @@ INDEX = "dim int, shard int, entry int, edges binary, raw binary, ids array<arra
 
 def _index_shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     raw = np.stack(rows["vector"].to_numpy()).astype(np.float64)
-    edges, entry = build_graph(_unit(raw))
+    edges, entry = build_graph(_unit(_scaled(raw)))
     return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "entry": [entry], "edges": [edges.tobytes()], "raw": [raw.tobytes()], "ids": [[list(map(int, x)) for x in rows["ids"]]]})
 
 
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "query_id long, query int, vec_id long, score double"
+
+
+def _search_shards(block, top: int):
+    """Search each shard of a task for the queries of a block, and give the nearest `top` of all shards of the task."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, vectors, dim = block.value
+        q = _scaled(np.frombuffer(vectors, np.float64).reshape(-1, dim))
+        unit, length = _unit(q), np.sqrt((q * q).sum(axis=1))
+        best: list[list] = [[] for _ in names]
+        for batch in batches:
+            for row in batch.to_pylist():
+                raw = _scaled(np.frombuffer(row["raw"], np.float64).reshape(-1, dim))
+                edges = np.frombuffer(row["edges"], np.int32).reshape(len(raw) + 1, -1)
+                graph, norm, sets = _unit(raw), np.sqrt((raw * raw).sum(axis=1)), row["ids"]
+                for at in range(0, len(q), 256):
+                    ids, _ = beam_search(graph, edges, row["entry"], unit[at : at + 256], min(SEARCH_BEAM, max(len(raw), 1)))
+                    for i, nodes in enumerate(ids, at):
+                        nodes = nodes[nodes >= 0]
+                        scores = raw[nodes] @ q[i] / (norm[nodes] * length[i])
+                        near = np.argsort(-scores, kind="stable")
+                        cut = scores[near[min(top, len(near) - 1)]] if len(near) else 0.0  # the query's own node may be among them
+                        hits = [(-s, v) for s, node in zip(scores.tolist(), nodes.tolist()) if s >= cut for v in sets[node] if v != names[i]]
+                        best[i] = sorted([*best[i], *hits])[:top]
+        rows = [(names[i], i, v, -s) for i, hits in enumerate(best) for s, v in hits]
+        columns = list(zip(*rows)) if rows else [()] * 4
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in FOUND.split(", ")])
 
-def _search_shard(key: tuple, queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-    empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
-    if not len(queries) or not len(index):
-        return empty
-    row = index.iloc[0]
-    raw = np.frombuffer(row["raw"], np.float64).reshape(-1, key[0])
-    edges = np.frombuffer(row["edges"], np.int32).reshape(len(raw) + 1, -1)
-    q = np.stack(queries["vector"].to_numpy()).astype(np.float64)
-    unit, length, q_length = _unit(raw), np.sqrt((raw * raw).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
-    out = []
-    names, sets = queries["query_id"].tolist(), [list(x) for x in row["ids"]]
-    for at in range(0, len(q), 256):
-        ids, _ = beam_search(unit, edges, int(row["entry"]), _unit(q[at : at + 256]), min(BEAM, max(len(raw), 1)))
-        for i, nodes in enumerate(ids, at):
-            nodes = nodes[nodes >= 0]
-            scores = raw[nodes] @ q[i] / (length[nodes] * q_length[i])
-            hits = [(-s, v) for s, node in zip(scores.tolist(), nodes.tolist()) for v in sets[node] if v != names[i]]
-            out += [(names[i], v, -s) for s, v in sorted(hits)[:TOP]]
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype(empty.dtypes.to_dict()) if out else empty
+    return run
 
 
 def valid_vectors(rows: DataFrame, id_col="vec_id", vector_col="embedding") -> DataFrame:
@@ -180,22 +203,36 @@ def build_index(rows: DataFrame, shard: int = SHARD, keep: int = TOP + 1) -> Dat
     nodes = nodes.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     nodes = materialize(nodes.withColumn("dim", F.size("vector")), "nodes")
     sizes = materialize(nodes.groupBy("dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards")), "shards")
-    dealt = nodes.join(F.broadcast(sizes), "dim").withColumn("shard", F.pmod(F.xxhash64("vector"), F.col("shards")).cast("int"))
+    dealt = nodes.join(maybe_broadcast(sizes), "dim").withColumn("shard", F.pmod(F.xxhash64("vector"), F.col("shards")).cast("int"))
+    spark = rows.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = dealt.repartition(max(1, min(sizes.agg(F.sum("shards")).first()[0] or 1, tasks)), "dim", "shard")  # a shard's graph takes long, so few share a task
     return materialize(dealt.select("dim", "shard", "vector", "ids").groupBy("dim", "shard").applyInPandas(_index_shard, INDEX), "index")
 
 
-def search(index: DataFrame, queries: DataFrame, block: int = BLOCK, top: int = TOP) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, block_bytes: int = BLOCK_BYTES, top: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, score of each query (vec_id, vector): the nearest found in all shards of its dimension."""
-    asked = queries.select(F.col("vec_id").alias("query_id"), "vector", F.size("vector").alias("dim"))
-    asked = materialize(asked.dropDuplicates(["query_id", "vector"]), "queries")
-    blocks = max(1, math.ceil(asked.count() / block))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    places = index.select(F.col("dim").alias("dim"), F.col("shard").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    sent = asked.join(places, ["dim", "block"])
-    graphs = index.select(*[F.col(c).alias(c) for c in index.columns], F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    keys = ["dim", "shard", "block"]
-    found = sent.groupBy(*keys).cogroup(graphs.groupBy(*keys)).applyInPandas(_search_shard, FOUND)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    spark = index.sparkSession
+    asked = queries.select(F.col("vec_id").alias("query_id"), "vector", F.size("vector").alias("dim")).dropDuplicates(["query_id", "vector"])
+    asked = materialize(asked, "queries")
+    found = None
+    for dim, n in sorted(map(tuple, asked.groupBy("dim").agg(F.count("*")).collect())):  # a row a dimension
+        blocks = max(1, math.ceil(n * dim * 8 / block_bytes))
+        own = asked.filter(F.col("dim") == dim).withColumn("block", F.pmod(F.xxhash64("query_id", "vector"), F.lit(blocks)).cast("int"))
+        for b in range(blocks):
+            part = own.filter(F.col("block") == b).orderBy("query_id", "vector").select("query_id", "vector").toArrow()  # a block's bytes at most, or near
+            names = part["query_id"].to_pylist()
+            if not names:
+                continue
+            vectors = np.asarray(part["vector"].combine_chunks().flatten(), np.float64)
+            block = spark.sparkContext.broadcast((names, vectors.tobytes(), dim))
+            hits = index.filter(F.col("dim") == dim).select("entry", "edges", "raw", "ids").mapInArrow(_search_shards(block, top), FOUND)
+            with batch_rows(spark, 8):  # a shard a row
+                hits = materialize(hits.withColumn("block", F.lit(b)).withColumn("dim", F.lit(dim)), "found")
+            found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    order = Window.partitionBy("dim", "block", "query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 

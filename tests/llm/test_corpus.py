@@ -348,6 +348,43 @@ def test_vectors(spark):
     assert vectors.search(vectors.build_index(none), none).count() == 0
 
 
+def test_extreme_vectors_and_clashing_names(spark):
+    pairs = {0: (1e-200, 2e-200), 1: (1e200, 1.0), 2: (3.0, 4.0), 3: (-2e-300, 1e-300), 4: (1e308, 1e308), 50: (5e-324, 1.0), 100: (1.0, 2.0)}
+    rows = [(i, [float(x) for x in v], 1, 2, 3, "x") for i, v in pairs.items()]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, shard int, dim int, query_id int, vector string")
+    df = vectors.valid_vectors(df)
+    got = vectors.search(vectors.build_index(df), df.filter("vec_id % 50 = 0")).collect()
+
+    def cosine(a, b):
+        (a, b), (c, d) = ([x / max(map(abs, v)) for x in v] for v in (pairs[a], pairs[b]))
+        return (a * c + b * d) / ((a * a + b * b) ** 0.5 * (c * c + d * d) ** 0.5)
+
+    for q in (0, 50, 100):
+        want = sorted((-round(cosine(q, i), 12), i) for i in pairs if i != q)[:5]
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert [s for s, _ in want] == [-round(s, 12) for _, _, s in mine] and len({i for _, i, _ in mine}) == 5
+
+
+def test_recall_over_shards_of_the_default_size(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(3500, 64))
+    base[:900] = base[0] + rng.normal(size=(900, 64)) * 0.05  # a tight cluster
+    rows = [(i, v.tolist()) for i, v in enumerate(base)]
+    df = vectors.valid_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    index = vectors.build_index(df)
+    assert index.count() == -(-3500 // vectors.SHARD)
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    hits = {}
+    for r in vectors.search(index, df.filter("vec_id % 50 = 0")).collect():
+        hits.setdefault(r["query_id"], set()).add(r["vec_id"])
+    found = 0
+    for q, mine in hits.items():
+        sims = unit @ unit[q]
+        sims[q] = -2
+        found += len(mine & set(np.argsort(-sims)[:5].tolist()))
+    assert len(hits) == 70 and found / 350 >= 0.9
+
+
 def quality_rows(n=600):
     rng = random.Random(9)
     rows, labels = [], []
