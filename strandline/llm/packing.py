@@ -1,14 +1,24 @@
-"""Best-fit packing of token pieces into sequences of fixed capacity, in bulk-synchronous steps.
-
-Pieces and gaps are ranged by size.  One step takes the longest pieces that
-are left and matches them with their successors among the gaps: the smallest
-gaps that hold them.  Pieces of one length, and gaps of one size, are
-interchangeable, so a step matches a whole run of equal pieces with a run of
-equal gaps; which piece gets which gap is settled by rank in its run.  The
-gaps shrink and the next step follows until no piece is left.  Only the runs
-(at most `capacity` lengths, and as many gap runs as steps have made) are
-swept on the driver: their number is bounded by the capacity, not by the rows.
-The rows are numbered, matched and placed on the executors.
+"""Best-fit packing of token pieces into sequences of fixed capacity, in bulk-synchronous rounds.
+
+Pieces of full length are sequences of their own.  For the others so many
+sequences are opened as their tokens need at least (or as there are pieces
+longer than half a sequence).  A round then
+
+1. sorts what is left, pieces by length and gaps by room, into ranges over the
+   cluster; ties are broken by number, so a hot length spreads over ranges;
+2. sweeps the ranges for successors: going up, a piece waits until a gap comes
+   that holds it, and a gap takes the longest piece that waits.  Claims of
+   several pieces on one gap are thus settled by rank.  The sweep needs no
+   single task: with +1 for a piece and -1 for a gap, running sums (carried over
+   ranges by one count for each range and size) give every row a level, and the
+   rows of one level, at most two for each size, are pairs of neighbours;
+3. places the pairs and lessens the room of their gaps.
+
+Rounds repeat until no piece is left; where none finds a gap, sequences are
+opened for the rest.  A round places one piece a sequence, so that the number of
+rounds is that of pieces in a sequence.  It is bounded for any input: of pieces
+shorter than 1 / TINY of the capacity all beyond KEEP a sequence are first laid
+into crates of at most twice that size, which are packed as pieces are.
 
 Defined results: a null or empty text is the closing id alone; a text longer
 than the capacity is cut into full pieces and a rest; rows with the same id
@@ -18,22 +28,20 @@ ignored.
 
 from __future__ import annotations
 
-import bisect
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import table
 from strandline.llm.tokens import piece_ids, tokenizer_path
-from strandline.session import materialize
+from strandline.session import batch_rows, discard, materialize
 
 CAPACITY = 2048
-#: Each length's rows are numbered in so many salted groups, so a hot length is no task's alone.
-SALTS = 128
+#: Pieces below 1 / TINY of the capacity go into crates where a sequence would get more than KEEP of them.
+TINY, KEEP = 32, 12
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -58,64 +66,88 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, pat
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES)
 
 
-def match_runs(lengths: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Best fit over runs: (length, first rank, number, first sequence, offset) for each run of pieces placed.
+def sweep(state: DataFrame) -> DataFrame:
+    """Match pieces (gap false, size: length) with gaps (gap true, size: room), best fit, one piece a gap.
 
-    Sequences are numbered from 0.  Longest pieces first, each into the
-    smallest gap that holds it; where none does, sequences are opened.
+    `state` (id, size, gap) comes back with mate and mate_size, null where a row has none.  Equal sizes match.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}  # size -> runs of sequences (first, number) with that much room
-    sizes: list[int] = []
-    placed: list[tuple[int, int, int, int, int]] = []
-    opened = 0
-
-    def give(size: int, first: int, number: int) -> None:
-        if size and number:
-            if size not in gaps:
-                gaps[size] = []
-                bisect.insort(sizes, size)
-            gaps[size].append((first, number))
-
-    for length in sorted(lengths, reverse=True):
-        left, rank = lengths[length], 0
-        while left:
-            at = bisect.bisect_left(sizes, length)
-            if at < len(sizes):
-                size = sizes[at]
-                first, number = gaps[size].pop()
-                if not gaps[size]:
-                    del gaps[size]
-                    sizes.pop(at)
-            else:
-                size, first, number = capacity, opened, -(-left // (capacity // length))
-                opened += number
-            take = min(left, number)
-            placed.append((length, rank, take, first, capacity - size))
-            give(size, first + take, number - take)
-            give(size - length, first, take)
-            left, rank = left - take, rank + take
-    return placed
+    order = ["size", "gap", "id"]
+    ranged = state.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ranged = materialize(ranged, "ranged")
+    part = F.shiftright("_at", 33).cast("int").alias("_part")
+    runs = ranged.groupBy("size", "gap", part).agg(F.count("*").alias("n"), F.min("_at").alias("_first"))  # two for each size, and one a range
+    step = F.when(F.col("gap"), -F.col("n")).otherwise(F.col("n"))
+    before = Window.orderBy("size", "gap", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_base", F.coalesce(F.sum(step).over(before), F.lit(0))).select("size", "gap", "_part", "_first", "_base")
+    nth = F.col("_at") - F.col("_first")
+    level = F.when(F.col("gap"), F.col("_base") - nth).otherwise(F.col("_base") + nth + 1)
+    levels = ranged.withColumn("_part", part).join(F.broadcast(runs), ["size", "gap", "_part"]).select("id", "size", "gap", level.alias("_level"))
+    w = Window.partitionBy("_level").orderBy("size", "gap")
+    beside = lambda f: f(F.struct("id", "size", "gap")).over(w)
+    mate = F.when(F.col("gap"), beside(F.lag)).otherwise(beside(F.lead))
+    out = levels.withColumn("_mate", mate).withColumn("_mate", F.when(F.col("_mate.gap") != F.col("gap"), F.col("_mate")))
+    out = materialize(out.select("id", "size", "gap", F.col("_mate.id").alias("mate"), F.col("_mate.size").alias("mate_size")), "swept")
+    discard(ranged)
+    return out
+
+
+def _crates(tiny: DataFrame, width: int) -> DataFrame:
+    """Lay short pieces (id, size) side by side: id, crate, place (offset in the crate); a crate is shorter than twice the width."""
+    order = ["size", "id"]
+    ranged = tiny.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ranged = materialize(ranged.withColumn("_part", F.shiftright("_at", 33).cast("int")), "tiny")
+    sums = ranged.groupBy("_part", "size").agg(F.count("*").alias("n"), F.min("_at").alias("_first"))  # one for each short size, and one a range
+    before = Window.orderBy("_part", "size").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_base", F.coalesce(F.sum(F.col("n") * F.col("size")).over(before), F.lit(0))).drop("n")
+    start = F.col("_base") + (F.col("_at") - F.col("_first")) * F.col("size")
+    laid = ranged.join(F.broadcast(sums), ["_part", "size"]).select("id", "size", start.alias("_start"), F.floor(start / width).alias("crate"))
+    return laid.withColumn("place", F.col("_start") - F.min("_start").over(Window.partitionBy("crate"))).select("id", "size", "crate", "place")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """`pieces` (with a column length between 1 and the capacity) with sequence_id and offset."""
     spark = pieces.sparkSession
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")
-    pieces = materialize(pieces.withColumn("_salt", salt), "pieces")
-    counts = pieces.groupBy("length", "_salt").agg(F.count("*").alias("n")).collect()  # capacity * SALTS rows at most
-    shifts, totals = [], {}
-    for length, s, n in sorted(map(tuple, counts)):
-        shifts.append((length, s, totals.get(length, 0)))
-        totals[length] = totals.get(length, 0) + n
-    if not totals:
-        return pieces.drop("_salt").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
-    inside = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", *([] if "ids_crc32" not in pieces.columns else ["ids_crc32"]))) - 1
-    shift = F.broadcast(spark.createDataFrame(shifts, "length long, _salt int, _shift long"))
-    ranked = pieces.withColumn("_inside", inside).join(shift, ["length", "_salt"]).withColumn("_rank", F.col("_inside") + F.col("_shift"))
-    runs = F.broadcast(spark.createDataFrame(match_runs(totals, capacity), "_len long, _from long, _number long, _first long, offset long"))
-    out = ranked.join(runs, (F.col("length") == F.col("_len")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_from") + F.col("_number")))
-    out = out.withColumn("sequence_id", F.col("_first") + F.col("_rank") - F.col("_from"))
-    return out.drop("_salt", "_inside", "_shift", "_rank", "_len", "_from", "_number", "_first")
+    with batch_rows(spark, 1000):
+        pieces = materialize(pieces.withColumn("_id", F.monotonically_increasing_id()), "pieces")
+    size = F.col("length").cast("int").alias("size")
+    width = max(1, capacity // TINY)
+    short = (F.col("length") < width) & (F.col("length") < capacity)
+    tokens, tiny, large = pieces.filter(F.col("length") < capacity).agg(F.sum("length"), F.count_if(short), F.count_if(F.col("length") * 2 > capacity)).first()
+    opening = max(-(-(tokens or 0) // capacity), large or 0)
+    items = pieces.filter(F.col("length") < capacity).select(F.col("_id").alias("id"), size)
+    laid = None
+    if tiny > KEEP * opening:
+        share = F.lit(round(KEEP * opening / tiny * 2**20))
+        loose = (F.col("size") >= width) | (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share)
+        laid = materialize(_crates(items.filter(~loose), width), "crates")
+        crates = laid.groupBy("crate").agg(F.sum("size").cast("int").alias("size")).select((-F.col("crate") - 1).alias("id"), "size")
+        items = items.filter(loose).unionByName(crates)
+    state = items.withColumn("gap", F.lit(False))
+    opened, placed = 0, None
+    left, rest = items.agg(F.count("*"), F.min("size")).first()
+    while left:
+        if opening:
+            fresh = spark.range(opened, opened + opening).select("id", F.lit(capacity).alias("size"), F.lit(True).alias("gap"))
+            state, opened = state.unionByName(fresh), opened + opening
+        swept = sweep(state)
+        matched, room = F.col("mate").isNotNull(), F.col("size") - F.coalesce("mate_size", F.lit(0))
+        pairs = swept.filter(~F.col("gap") & matched).select("id", F.col("mate").alias("sequence"), (F.lit(capacity) - F.col("mate_size")).cast("long").alias("offset"))
+        placed = pairs if placed is None else placed.unionByName(pairs)
+        loose = ~F.col("gap") & ~matched
+        left, rest, longest, widest = swept.agg(F.count_if(loose), F.min(F.when(loose, F.col("size"))), F.max(F.when(loose, F.col("size"))), F.max(F.when(F.col("gap"), room))).first()
+        opening = 0
+        if left and longest > widest:  # what no gap can hold now, none will
+            tokens, large = swept.filter(loose & (F.col("size") > widest)).agg(F.sum("size"), F.count_if(F.col("size") * 2 > capacity)).first()
+            opening = max(-(-tokens // capacity), large)
+        state = swept.filter(loose | (F.col("gap") & (room >= F.lit(rest)))).select("id", F.when(F.col("gap"), room).otherwise(F.col("size")).alias("size"), "gap")
+    whole = pieces.filter(F.col("length") >= capacity).select(F.col("_id").alias("id"), (F.col("_id") * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    if placed is not None:
+        placed = placed.select("id", (F.col("sequence") * 2 + 1).alias("sequence_id"), "offset")
+        whole = whole.unionByName(placed.filter("id >= 0"))
+        if laid is not None:
+            inside = placed.filter("id < 0").select((-F.col("id") - 1).alias("crate"), "sequence_id", "offset")
+            whole = whole.unionByName(laid.join(inside, "crate").select("id", "sequence_id", (F.col("offset") + F.col("place")).alias("offset")))
+    return pieces.join(whole.withColumnRenamed("id", "_id"), "_id").drop("_id")
 
 
 def op3_best_fit_packing(spark, sf_dir):

@@ -117,10 +117,23 @@ def test_exact(docs, empty):
 def test_exact_beyond_the_broadcast_bound(docs, monkeypatch):
     rows, df = docs
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(exact, "small", lambda df, rows=0: False)
+    monkeypatch.setattr(exact, "maybe_broadcast", lambda df: df)
     assert exact.exact_dedup(df).filter("kept").count() == len({(t or "").translate(LOWER) for _, t, *_ in rows})
 
 
+@pytest.mark.parametrize("bits", [(22, 24), (6, 6)])
+def test_refinement_settles_rows_step_by_step(spark, monkeypatch, bits):
+    monkeypatch.setattr(exact, "LENGTH_BITS", bits[0])
+    monkeypatch.setattr(exact, "PREFIX_BITS", bits[1])
+    long = "x" * 100
+    rows = [(1, "alone"), (2, long + "a"), (3, long + "b"), (4, "y" + long), (5, "Same"), (6, "sAME"), (7, None), (8, ""), (9, "z" * 300)]
+    got = {r["doc_id"]: r["candidate"] for r in exact.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    must, may = {2, 3, 5, 6, 7, 8}, {1, 4, 9}
+    assert {k for k, v in got.items() if v} >= must and (bits[0] == 6 or not any(got[k] for k in may))
+    kept = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {1: (1, 1), 2: (2, 1), 3: (3, 1), 4: (4, 1), 5: (6, 2), 6: (6, 2), 7: (8, 2), 8: (8, 2), 9: (9, 1)}
+
+
 def brute_components(rows, size=5):
     sets = []
     for d, t, *_ in rows:
@@ -249,22 +262,39 @@ def test_packing(docs, empty):
     assert packing.pack(packing.token_pieces(empty, capacity), capacity).count() == 0
 
 
-def test_match_runs_is_best_fit():
+def test_sweep_matches_successors_by_rank(spark):
     rng = random.Random(6)
-    for _ in range(20):
-        lengths = {n: rng.randint(1, 30) for n in rng.sample(range(1, 101), 30)}
-        runs = packing.match_runs(lengths, 100)
-        room = {}
-        count = dict.fromkeys(lengths, 0)
-        for length, rank, number, first, offset in runs:
-            assert rank == count[length]
-            count[length] += number
-            for s in range(first, first + number):
-                assert room.get(s, 0) == offset
-                room[s] = offset + length
-                assert room[s] <= 100
-        assert count == lengths
-        assert len(room) <= 1.25 * sum(k * v for k, v in lengths.items()) / 100 + 2
+    for trial in range(4):
+        rows = [(i, rng.choice([3, 3, 5, 8, rng.randint(1, 40)]), False) for i in range(60)] + [(i, rng.randint(1, 30 + 10 * trial), True) for i in range(45)]
+        waiting, want = [], {}
+        for i, size, gap in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+            if not gap:
+                waiting.append((i, size))
+            elif waiting:
+                want[i] = waiting.pop()
+        got = packing.sweep(spark.createDataFrame(rows, "id long, size int, gap boolean").repartition(3)).collect()
+        mates = {r["id"]: (r["mate"], r["mate_size"]) for r in got if r["gap"] and r["mate"] is not None}
+        back = {r["mate"]: r["id"] for r in got if not r["gap"] and r["mate"] is not None}
+        assert len(got) == 105 and {g: s for g, (_, s) in mates.items()} == {g: s for g, (_, s) in want.items()}
+        assert back == {g: m for g, (m, _) in mates.items()} and len(set(back.values())) == len(back)
+
+
+def test_packing_of_many_short_and_many_long_pieces(spark):
+    rng = random.Random(3)
+    for sizes in ([rng.randint(1, 3) for _ in range(900)] + [90] * 3, [rng.randint(51, 60) for _ in range(40)] + [100] * 9, [1] * 2000, [100] * 30, [rng.randint(1, 100) for _ in range(300)]):
+        df = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "doc_id long, length long")
+        by, got = {}, packing.pack(df, 100).collect()
+        for r in got:
+            by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        for parts in by.values():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+            assert at <= 100
+        least = max(-(-sum(sizes) // 100), sum(n > 50 for n in sizes))
+        assert len(got) == len(sizes) and len(by) <= 1.1 * least + 2
+
 
 
 def test_sharding(docs, spark):
