@@ -11,17 +11,24 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-#: Pieces kept by a worker; beyond that the cache starts anew, so its memory is bounded.
-CACHE = 600_000
-#: Long texts are worked on in stretches of about so many characters, cut at a space.
-STRETCH = 1 << 20
+import numpy as np
+
+#: Pieces kept by a worker in each of two generations, so that memory is bounded: once the young one is full the old one goes.
+CACHE = 500_000
+#: Long texts are worked on in stretches of about so many characters, cut at a space; so many pieces are encoded in one call.
+STRETCH, CALL = 1 << 20, 4096
 #: Characters that may be cut from the end of a piece after an ASCII letter: the pre-tokeniser starts a new token there.
 #: After other letters they may not, as normalised letters can end in a combining mark, which joins what follows.
 _TAIL = ".,;:!?#$%&*"
 
 
+def _parts(piece: str) -> tuple[str, str]:
+    stem = piece.rstrip(_TAIL)
+    return (stem, piece[len(stem) :]) if stem and stem[-1].isascii() and stem[-1].isalpha() else (piece, "")
+
+
 class PieceIds(dict):
-    """Piece -> its ids as little-endian 32-bit bytes; missing pieces are encoded when asked for."""
+    """Piece -> its ids as little-endian 32-bit bytes; pieces that are missing are encoded many at once.  Only memory depends on the generations."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -30,20 +37,33 @@ class PieceIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self[""] = b""
+        self.old: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> bytes:
-        stem = piece.rstrip(_TAIL)
-        if stem and stem != piece and stem[-1].isascii() and stem[-1].isalpha():
-            ids = self[stem] + self[piece[len(stem) :]]
-        else:
-            ids = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(piece, add_special_tokens=False).ids)
-        self[piece] = ids
-        return ids
+    def learn(self, pieces) -> None:
+        old, unknown = self.old, []
+        for piece in pieces:
+            known = old.get(piece)
+            if known is None:
+                unknown.append(piece)
+            else:
+                self[piece] = known
+        parts = {piece: _parts(piece) for piece in unknown}
+        new = [x for x in {x for pair in parts.values() for x in pair} if x not in self]
+        for at in range(0, len(new), CALL):
+            some = new[at : at + CALL]
+            coded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            first = np.cumsum([0, *(len(x) + 1 for x in some)])
+            raw = np.array(coded.ids, "<u4").tobytes()
+            cut = (4 * np.searchsorted(np.array([a for a, _ in coded.offsets], np.int64), first)).tolist()
+            for x, a, b in zip(some, cut, cut[1:]):
+                self[x] = raw[a:b]
+        for piece, (stem, tail) in parts.items():
+            if tail:
+                self[piece] = self[stem] + self[tail]
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text as little-endian 32-bit bytes; null counts as empty."""
-        if len(self) > CACHE:
-            self.clear()
         out, at = [], 0
         text = text or ""
         while at < len(text):
@@ -51,7 +71,15 @@ class PieceIds(dict):
             if end - at > STRETCH:
                 cut = text.find(" ", at + STRETCH)
                 end = end if cut < 0 else cut
-            out.append(b"".join(map(self.__getitem__, text[at:end].replace("\n", " ").split(" "))))
+            if len(self) > CACHE:
+                self.old = dict(self)
+                self.clear()
+                self[""] = b""
+            pieces = text[at:end].replace("\n", " ").split(" ")
+            missing = [p for p in set(pieces) if p not in self]
+            if missing:
+                self.learn(missing)
+            out.append(b"".join(map(self.__getitem__, pieces)))
             at = end
         return b"".join(out) if len(out) != 1 else out[0]
 
