@@ -6,17 +6,24 @@ keys wherever they stand, and about one key in sixteen words is new.
 
 1. Keys that documents share are found by one aggregate over (key, document).
 2. Consecutive windows with one shared key make a segment.  Equal segments are
-   one reference text, with the smallest document id that has it.
-3. The references of a key are a shard.  Its suffix automaton holds for every
-   state the smallest id among the references it occurs in; the shard's texts
-   are streamed through it, and the matching statistics at 50 words give for
-   each window the smallest document that holds it.  An automaton serves the
-   key's texts alone, so it goes with them to their task; nothing of unbounded
-   size is broadcast.  A shard of one text needs none: its windows' smallest
-   document is the text's.  A shard above SHARD_WORDS words (a passage that
-   stands in very many different contexts) is settled by aggregating its
-   windows' hashes instead, which no single task has to hold.
-4. The spans whose windows start in a smaller document are removed.
+   one reference text, with the smallest document id that has it; in all other
+   documents the whole segment goes.
+3. The references of a key are dealt into shards of about SHARD_WORDS words.  A
+   shard's suffix automaton holds for every state the smallest id among the
+   references it occurs in.  The key's references, in parts of the same size,
+   are streamed through each of its shards' automata: matching statistics at 50
+   words give the windows that a smaller document holds, word by word.  A shard
+   goes to the tasks that stream its own key's texts only; so much as one shard
+   and one part is in a task, and nothing of unbounded size is broadcast.  A key
+   with one reference needs no automaton.
+4. Of a key with several shards (a passage that stands in very many different
+   contexts) the references are first cut down to runs of windows whose hash
+   two of them have.  What is left repeats, so step 2 is done once more; the
+   contexts, which made the references differ, are gone.  Hashes only leave
+   out what nothing can match; automata decide.
+5. The spans whose windows start in a smaller document are removed.
+
+Equal segments are told by 128-bit hashes of their words.
 
 Defined results: a null or blank text has no words; documents with a null id
 are left as they are and remove nothing; rows with the same id don't remove
@@ -34,11 +41,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import words
-from strandline.llm.common import table
-from strandline.session import materialize
+from strandline.llm.common import maybe_broadcast, table
+from strandline.session import batch_rows, materialize
 
 WINDOW, GRAM = 50, 20
-#: Words of a shard that one automaton takes; larger shards are aggregated by window.
+#: Words of a reference shard, and of what a task streams through its automaton.
 SHARD_WORDS = 60_000
 #: Windows in one segment at most; a longer run of one key is cut into several segments.
 SEGMENT = 2048
@@ -134,7 +141,7 @@ def _arrays(names, kinds, rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
 
-I64, I32, TEXT = pa.int64(), pa.int32(), pa.string()
+I64, I32, TEXT, RAW = pa.int64(), pa.int32(), pa.string(), pa.binary()
 
 
 def _doc_keys(size: int, gram: int):
@@ -150,7 +157,8 @@ def _doc_keys(size: int, gram: int):
     return run
 
 
-SEGMENTS = "key long, sid long, doc_id long, tag long, first int, n int, text string"
+SEGMENTS = "key long, sid binary, doc_id long, tag long, first int, n int, text string"
+_SEGMENT_KINDS = (I64, RAW, I64, I64, I32, I32, TEXT)
 
 
 def _segments(size: int, gram: int):
@@ -177,72 +185,102 @@ def _segments(size: int, gram: int):
                         for s in range(a, b, SEGMENT):
                             n = min(SEGMENT, b - s)
                             text = w.text(place[s], place[s] + n + size - 1)
-                            name = (int(key[a]), xxhash.xxh3_64_intdigest(text) - (1 << 63))
+                            name = (int(key[a]), xxhash.xxh3_128_digest(text))
                             rows.append((*name, ids[first + d], tags[first + d], int(place[s] - w.first[d]), n, None if name in told else text.decode()))
                             if len(told) < 1 << 20:
                                 told.add(name)
-                yield _arrays([c.split()[0] for c in SEGMENTS.split(", ")], (I64, I64, I64, I64, I32, I32, TEXT), rows)
+                yield _arrays([c.split()[0] for c in SEGMENTS.split(", ")], _SEGMENT_KINDS, rows)
 
     return run
 
 
+SPANS = "key long, sid binary, spans array<struct<begin:int,stop:int>>"
+
+
+def _below(least: list, doc: int, size: int) -> list[dict]:
+    """The spans of words in windows that a document smaller than doc holds."""
+    out, start = [], None
+    for j, smallest in enumerate([*least, None]):
+        gone = smallest is not None and smallest < doc
+        if gone and start is None:
+            start = j
+        elif not gone and start is not None:
+            out.append({"begin": start, "stop": j - 1 + size})
+            start = None
+    return out
+
+
 def _shards(size: int):
-    """Rows come sorted by key; each key's texts make an automaton and are streamed through it."""
+    """Rows come sorted by key, shard, part and role; a shard's references make an automaton and the part's texts are streamed through it.
 
-    def settle(rows: list) -> list:
-        codes: dict = {}
-        texts = [[codes.setdefault(x, len(codes)) for x in text.split(" ")] for _, _, text, _ in rows]
-        automaton = SuffixAutomaton()
-        for (_, _, _, doc), text in zip(rows, texts):
-            automaton.add(text, doc)
-        automaton.finish()
-        return [(key, sid, automaton.statistics(text, size)) for (key, sid, _, _), text in zip(rows, texts)]
+    Roles: 0 reference, 1 text, 2 both (of a key with one shard, whose rows are held until the automaton is whole).
+    """
+    names, kinds = ["key", "sid", "spans"], (I64, RAW, pa.list_(pa.struct([("begin", I32), ("stop", I32)])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, out = [], []
-        names, kinds = ["key", "sid", "least"], (I64, I64, pa.list_(I64))
+        at, held, out = None, [], []
+        automaton, codes, whole = SuffixAutomaton(), {}, False
+
+        def stream(key, sid, text, doc):
+            nonlocal whole
+            if not whole:
+                automaton.finish()
+                whole = True
+            spans = _below(automaton.statistics([codes.get(x, -1) for x in text.split(" ")], size), doc, size)
+            if spans:
+                out.append((key, sid, spans))
+
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and held[0][0] != row[0]:
-                    out += settle(held)
-                    held = []
-                held.append(row)
+            for key, shard, part, role, sid, text, doc in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != (key, shard, part):
+                    for row in held:
+                        stream(*row)
+                    at, held = (key, shard, part), []
+                    automaton, codes, whole = SuffixAutomaton(), {}, False
+                if role != 1:
+                    automaton.add([codes.setdefault(x, len(codes)) for x in text.split(" ")], doc)
+                if role == 1:
+                    stream(key, sid, text, doc)
+                elif role == 2:
+                    held.append((key, sid, text, doc))
                 if len(out) >= 2000:
                     yield _arrays(names, kinds, out)
                     out = []
-        yield _arrays(names, kinds, out + (settle(held) if held else []))
+        for row in held:
+            stream(*row)
+        yield _arrays(names, kinds, out)
 
     return run
 
 
-def _text_windows(size: int):
-    """Hashes of the windows of large shards' texts, where automata would not fit a task."""
+def _window_hashes(size: int):
+    """Hash of every window of each reference."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                key, sid, text, doc = row
-                parts = text.encode().split(b" ")
-                rows = [(key, sid, doc, i, int.from_bytes(xxhash.xxh3_64_digest(b" ".join(parts[i : i + size])), "little", signed=True)) for i in range(len(parts) - size + 1)]
-                yield _arrays(["key", "sid", "doc_id", "nth", "hash"], (I64, I64, I64, I32, I64), rows)
+            keys, sids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for first, w in words.slices(batch.column(2)):
+                value, at = words.windows(w, size)
+                doc = w.doc[at]
+                rows = [pa.array([keys[first + d] for d in doc.tolist()], I64), pa.array([sids[first + d] for d in doc.tolist()], RAW), pa.array((at - w.first[doc]).astype(np.int32)), pa.array(value.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(rows, names=["key", "sid", "nth", "hash"])
 
     return run
 
 
-def _spans(size: int):
+def _trim(size: int):
+    """The runs of the windows `nth` (sorted) of each segment, as segments of their own."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, tag, first, least in zip(*(c.to_pylist() for c in batch.columns)):
-                start = None
-                for j, smallest in enumerate([*least, None]):
-                    gone = smallest is not None and smallest < doc
-                    if gone and start is None:
-                        start = j
-                    elif not gone and start is not None:
-                        rows.append((doc, tag, first + start, first + j - 1 + size))
-                        start = None
-            yield _arrays(["doc_id", "tag", "begin", "stop"], (I64, I64, I32, I32), rows)
+            for key, doc, tag, first, text, nth in zip(*(c.to_pylist() for c in batch.columns)):
+                parts, nth = text.split(" "), np.array(nth)
+                ends = np.flatnonzero(np.concatenate((np.diff(nth) != 1, [True])))
+                for a, b in zip(np.concatenate(([0], ends[:-1] + 1)).tolist(), ends.tolist()):
+                    words_ = " ".join(parts[nth[a] : nth[b] + size])
+                    rows.append((key, xxhash.xxh3_128_digest(words_.encode()), doc, tag, int(first + nth[a]), b - a + 1, words_))
+            yield _arrays([c.split()[0] for c in SEGMENTS.split(", ")], _SEGMENT_KINDS, rows)
 
     return run
 
@@ -265,33 +303,65 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _arrays([c.split()[0] for c in KEPT.split(", ")], (I64, I64, I64, TEXT), rows)
 
 
+def _references(segments: DataFrame) -> DataFrame:
+    """key, sid, text, least (the smallest document that has it), n, of the distinct segments of keys."""
+    return segments.groupBy("key", "sid").agg(F.max("text").alias("text"), F.min("doc_id").alias("least"), F.max("n").alias("n"))
+
+
+def _whole(segments: DataFrame, references: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Spans of the segments that a smaller document has too, and the segments that none has (key, sid, doc_id, tag, first)."""
+    here = segments.select("key", "sid", "doc_id", "tag", "first", "n").join(references.select("key", "sid", "least"), ["key", "sid"])
+    gone = here.filter("least < doc_id").select("doc_id", "tag", F.col("first").alias("begin"), (F.col("first") + F.col("n") + size - 1).alias("stop"))
+    return gone, here.filter("least = doc_id").select("key", "sid", "doc_id", "tag", "first")
+
+
+def _matched(references: DataFrame, size: int) -> DataFrame:
+    """key, sid, spans: the windows of each reference that a smaller document holds, by the automata of its key's shards."""
+    keys = references.groupBy("key").agg(F.count("*").alias("texts"), F.sum(F.col("n") + size - 1).alias("words")).filter("texts > 1")
+    shards = F.ceil(F.col("words") / SHARD_WORDS).cast("int")
+    rows = references.join(keys.select("key", shards.alias("shards")), "key")
+    own, every = F.pmod(F.xxhash64("sid"), F.col("shards")).cast("int"), F.sequence(F.lit(0), F.col("shards") - 1)
+    columns = [F.col(c) for c in ("sid", "text", "least")]
+    one = rows.filter("shards = 1").select("key", F.lit(0).alias("shard"), F.lit(0).alias("part"), F.lit(2).alias("role"), *columns)
+    several = rows.filter("shards > 1").withColumn("own", own).withColumn("other", F.explode(every))
+    refs = several.select("key", F.col("own").alias("shard"), F.col("other").alias("part"), F.lit(0).alias("role"), *columns)
+    texts = several.select("key", F.col("other").alias("shard"), F.col("own").alias("part"), F.lit(1).alias("role"), *columns)
+    dealt = one.unionByName(refs).unionByName(texts).repartition("key", "shard", "part").sortWithinPartitions("key", "shard", "part", "role")
+    return dealt.mapInArrow(_shards(size), SPANS)
+
+
 def repeated_spans(docs: DataFrame, size: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, tag, spans (array of word ranges begin, stop) of `docs` (doc_id, tag, text) that smaller documents hold too."""
+    spark = docs.sparkSession
     numbered = docs.filter("doc_id IS NOT NULL")
-    keyed = numbered.mapInArrow(_doc_keys(size, gram), "doc_id long, tag long, keys array<long>")
-    flat = materialize(keyed.select(F.explode("keys").alias("key"), "doc_id", "tag"), "keys")
-    shared = flat.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a != b").select("key")
-    lists = flat.join(shared, "key").groupBy("doc_id", "tag").agg(F.collect_list("key").alias("keys"))
-    segments = numbered.join(lists, ["doc_id", "tag"]).select("doc_id", "tag", "text", "keys").mapInArrow(_segments(size, gram), SEGMENTS)
-    segments = materialize(segments, "segments")
-    texts = segments.groupBy("key", "sid").agg(F.max("text").alias("text"), F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    texts = materialize(texts, "texts")
-    keys = texts.groupBy("key").agg(F.count("*").alias("texts"), F.sum(F.col("n") + size - 1).alias("words")).filter("texts > 1")
-    many = materialize(texts.join(keys, "key"), "shards")
-    automata = many.filter(F.col("words") <= SHARD_WORDS).select("key", "sid", "text", "doc_id")
-    automata = automata.repartition("key").sortWithinPartitions("key").mapInArrow(_shards(size), "key long, sid long, least array<long>")
-    hashed = many.filter(F.col("words") > SHARD_WORDS).select("key", "sid", "text", "doc_id")
-    hashed = hashed.mapInArrow(_text_windows(size), "key long, sid long, doc_id long, nth int, hash long")
-    hashed = materialize(hashed, "windows")
-    smallest = hashed.groupBy("hash").agg(F.min("doc_id").alias("least"))
-    hashed = hashed.join(smallest, "hash").groupBy("key", "sid").agg(F.sort_array(F.collect_list(F.struct("nth", "least"))).alias("w"))
-    hashed = hashed.select("key", "sid", F.col("w.least").alias("least"))
-    settled = materialize(automata.unionByName(hashed), "settled")
-    here = segments.select("key", "sid", "doc_id", "tag", "first", "n")
-    alone = texts.join(keys.select("key"), "key", "left_anti").select("key", "sid", F.col("doc_id").alias("least"))
-    whole = here.join(alone, ["key", "sid"]).filter("least < doc_id").select("doc_id", "tag", F.col("first").alias("begin"), (F.col("first") + F.col("n") + size - 1).alias("stop"))
-    part = here.join(settled, ["key", "sid"]).select("doc_id", "tag", "first", "least").mapInArrow(_spans(size), "doc_id long, tag long, begin int, stop int")
-    return whole.unionByName(part).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
+    with batch_rows(spark, 1000):
+        keyed = numbered.mapInArrow(_doc_keys(size, gram), "doc_id long, tag long, keys array<long>")
+        flat = materialize(keyed.select(F.explode("keys").alias("key"), "doc_id", "tag"), "keys")
+        shared = flat.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a != b").select("key")
+        lists = flat.join(shared, "key").groupBy("doc_id", "tag").agg(F.collect_list("key").alias("keys"))
+        segments = numbered.join(lists, ["doc_id", "tag"]).select("doc_id", "tag", "text", "keys").mapInArrow(_segments(size, gram), SEGMENTS)
+        segments = materialize(segments, "segments")
+        references = materialize(_references(segments), "references")
+        gone, first = _whole(segments, references, size)
+        first = materialize(first, "first")
+        large = references.groupBy("key").agg(F.count("*").alias("texts"), F.sum(F.col("n") + size - 1).alias("words")).filter((F.col("texts") > 1) & (F.col("words") > SHARD_WORDS))
+        large = maybe_broadcast(materialize(large.select("key"), "large"))
+        wide = materialize(references.join(large, "key", "left_semi"), "wide")
+        hashes = materialize(wide.select("key", "sid", "text").mapInArrow(_window_hashes(size), "key long, sid binary, nth int, hash long"), "windows")
+        name = F.xxhash64("sid")
+        again = hashes.groupBy("key", "hash").agg(F.min(name).alias("a"), F.max(name).alias("b")).filter("a != b").select("key", "hash")
+        nth = hashes.join(again, ["key", "hash"]).groupBy("key", "sid").agg(F.sort_array(F.collect_list("nth")).alias("nth"))
+        cut = first.join(wide.select("key", "sid", "text"), ["key", "sid"]).join(nth, ["key", "sid"]).select("key", "doc_id", "tag", "first", "text", "nth")
+        cut = materialize(cut.mapInArrow(_trim(size), SEGMENTS), "cut")
+        cut_references = materialize(_references(cut), "references")
+        cut_gone, cut_first = _whole(cut, cut_references, size)
+        rest = references.join(large, "key", "left_anti").unionByName(cut_references)
+        spans = materialize(_matched(rest, size), "spans")
+    first = first.join(large, "key", "left_anti").unionByName(cut_first)
+    part = first.join(spans, ["key", "sid"]).select("doc_id", "tag", "first", F.explode("spans").alias("s"))
+    part = part.select("doc_id", "tag", (F.col("first") + F.col("s.begin")).alias("begin"), (F.col("first") + F.col("s.stop")).alias("stop"))
+    found = gone.unionByName(cut_gone).unionByName(part)
+    return found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", size: int = WINDOW, gram: int = GRAM) -> DataFrame:
