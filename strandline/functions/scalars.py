@@ -76,3 +76,84 @@ def error_kind(message: Column) -> Column:
     """Triage of an error text by the first known part it holds; unknown errors stop the run."""
     m = F.lower(message)
     return F.when(m.contains("face"), "no_face").when(m.contains("memory"), "memory").when(m.contains("timeout"), "timeout").otherwise("stop")
+
+
+def draft_gate(height: Column, fps: Column, has_audio: Column, least_height: int = 480, least_fps: float = 24.0) -> Column:
+    """Whether a draft is tall and fast enough and has sound; what is unknown doesn't pass."""
+    return F.coalesce((height >= least_height) & (fps >= least_fps) & has_audio, F.lit(False))
+
+
+def chosen_formats(formats: Column) -> Column:
+    """Of a list of formats (vcodec, acodec, width, height, language, ...; "none" or null for what one lacks) in order of preference:
+
+    largest_side (the shorter side of the largest picture), vertical (of that
+    one), video and audio (the first with a picture, and with sound), tracks
+    (distinct languages, an unknown one included, of formats with sound alone; null without any).
+    """
+    has = lambda c: F.coalesce(c, F.lit("none")) != "none"
+    side = lambda f: F.least(F.coalesce(f["width"], F.lit(0)), F.coalesce(f["height"], F.lit(0)))
+    pictures = F.filter(formats, lambda f: has(f["vcodec"]))
+    sounds = F.filter(formats, lambda f: ~has(f["vcodec"]) & has(f["acodec"]))
+    best = F.array_max(F.transform(pictures, side))
+    largest = F.get(F.filter(pictures, lambda f: side(f) == best), F.lit(0))
+    audio = F.filter(formats, lambda f: has(f["acodec"]))
+    return F.struct(
+        best.alias("largest_side"), (F.coalesce(largest["height"], F.lit(0)) > F.coalesce(largest["width"], F.lit(0))).alias("vertical"),
+        F.get(pictures, F.lit(0)).alias("video"), F.get(audio, F.lit(0)).alias("audio"),
+        F.when(F.size(sounds) > 0, F.size(F.array_distinct(F.transform(sounds, lambda f: f["language"])))).alias("tracks"),
+    )
+
+
+def synchronised_real(label: Column, control: Column, diagnostic: Column, status: Column) -> Column:
+    """A real row that is no control or diagnostic and whose sync, where reviewed, was found to match."""
+    unset = lambda c: c.isNull() | (c == "")
+    return F.coalesce((label == 0) & unset(control) & ~F.coalesce(diagnostic, F.lit(False)) & (F.coalesce(status, F.lit("reviewed_match")) == "reviewed_match"), F.lit(False))
+
+
+def known_mismatch(label: Column, control: Column, spans: Column) -> Column:
+    """The spans out of sync of a real row: none for a plain one that names none; null where they are unknown, and for others."""
+    plain = control.isNull() | (control == "")
+    return F.when(label == 0, F.coalesce(spans, F.when(plain, F.slice(spans, 1, 0)), F.when(plain, F.from_json(F.lit("[]"), "array<struct<a:double,b:double>>"))))
+
+
+def edited_words(phrase: Column, swaps: dict[str, str], numbers: list[str], seed: Column) -> Column:
+    """text and kind of a phrase (words in lower case, one space apart) after one edit, or nulls if none fits.
+
+    The longest phrase of `swaps` that occurs is replaced where it stands
+    first; else the first number, in digits, moves by a drawn step, or, in words,
+    gives way to another drawn one.  Draws follow from the hash of the seed.
+    """
+    drawn = F.conv(F.substring(F.sha2(seed.cast("string"), 256), 1, 8), 16, 10).cast("long")
+    padded = F.concat(F.lit(" "), phrase, F.lit(" "))
+    text, kind = F.lit(None).cast("string"), F.lit(None).cast("string")
+    words = F.split(phrase, " ")
+    is_number = lambda w: w.rlike("^[0-9]{1,15}$") | w.isin(*numbers)
+    at = F.array_position(F.transform(words, is_number), F.lit(True)).cast("int")
+    word = F.get(words, at - 1)
+    steps = F.array(*[F.lit(x) for x in (-3, -2, -1, 1, 2, 3, 5, 10)])
+    moved = F.abs(word.try_cast("long") + F.get(steps, F.pmod(drawn, F.lit(8)).cast("int"))).cast("string")
+    others = F.array_except(F.array(*[F.lit(n) for n in numbers]), F.array(word))
+    other = F.get(others, F.pmod(drawn, F.greatest(F.size(others), F.lit(1))).cast("int"))
+    new = F.when(word.rlike("^[0-9]+$"), moved).otherwise(other)
+    text = F.when(at > 0, F.array_join(F.concat(F.slice(words, 1, F.greatest(at - 1, F.lit(0))), F.array(new), F.slice(words, at + 1, F.size(words))), " "))
+    kind = F.when(at > 0, F.lit("number"))
+    for old in sorted(swaps, key=lambda x: (len(x), x)):  # the longest is asked last, so it decides
+        place = F.instr(padded, f" {old} ")
+        swapped = F.trim(F.concat(F.substr(padded, F.lit(1), place), F.lit(swaps[old]), F.substr(padded, place + len(old) + 1)))
+        text = F.when(place > 0, swapped).otherwise(text)
+        kind = F.when(place > 0, F.lit(f"swap:{old}->{swaps[old]}")).otherwise(kind)
+    return F.struct(text.alias("text"), kind.alias("kind"))
+
+
+def training_cost(samples: Column, batch: Column, step_s: Column, seeds: Column, train: float = 1.0, evaluate: float = 1.0) -> Column:
+    """steps of an epoch, epoch_s (its steps trained once and evaluated twice, `train` and `evaluate` times a step's seconds), hours over all seeds."""
+    steps = F.ceil(samples / batch).cast("long")
+    epoch = steps * step_s * (train + 2 * evaluate)
+    return F.struct(steps.alias("steps"), epoch.alias("epoch_s"), (epoch * seeds / 3600).alias("hours"))
+
+
+def sync_verdict(decision: Column, flags: Column, status: Column, reject: tuple[str, ...] = ("bad",)) -> Column:
+    """decision and flags of a clip after its video's sync status: a bad one rejects it, anything but ok adds a flag."""
+    state = F.coalesce(status, F.lit("unmeasured"))
+    added = F.when(state != "ok", F.concat(F.lit("sync_"), state))
+    return F.struct(F.when(state.isin(*reject), "reject").otherwise(decision).alias("decision"), F.concat_ws(",", F.when(flags != "", flags), added).alias("flags"))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.ranking import auc
+from strandline.operators.ranking import auc, highest_after, running
+from strandline.session import materialize
 
 
 def match_proposals(proposals: DataFrame, truth: DataFrame, thresholds: list[float], key: str = "sample_id") -> DataFrame:
@@ -86,3 +87,76 @@ def localization_by(df: DataFrame, by: str, key: str, frame: str, inside: str, s
     every = df.select(by).distinct()
     out = every.join(means, F.col(by) == F.col("_m"), "left").join(pooled, F.col(by) == F.col("_a"), "left")
     return out.select(by, F.coalesce("clips", F.lit(0)).alias("clips"), F.col("auc").alias("cell_auc"), "lift", "peak_rate")
+
+
+def temporal_report(proposals: DataFrame, truth: DataFrame, threshold: float, key: str = "sample_id", short: float = 1.0) -> DataFrame:
+    """One row: segments, ap, matched, mean_tiou, start_mae, end_mae, short_recall of proposals (key, a, b, score) against truth (key, a, b).
+
+    In each sample proposals come best score first (then earliest); each takes
+    the unused truth it overlaps most, the later one on a tie, and hits if that
+    overlap reaches the threshold.  Precision is interpolated over the global
+    ranking.  Truths of at most `short` seconds make the short recall.  Samples
+    without truth count only if the truth table names them (with null spans).
+    All but the counts are null without truth, means without a hit.
+    """
+
+    def run(name: tuple, p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        spans = sorted((x, y) for x, y in zip(t["a"], t["b"]) if x == x and y == y)
+        free, out = list(range(len(spans))), []
+        if len(t):
+            for a, b, score in p.sort_values(["score", "a", "b"], ascending=[False, True, True])[["a", "b", "score"]].itertuples(index=False):
+                def overlap(i: int) -> float:
+                    inter = max(0.0, min(b, spans[i][1]) - max(a, spans[i][0]))
+                    return inter / max(1e-9, b - a + spans[i][1] - spans[i][0] - inter)
+
+                best = max(free, key=lambda i: (overlap(i), i), default=None)
+                hit = best is not None and overlap(best) >= threshold
+                row = (overlap(best), abs(a - spans[best][0]), abs(b - spans[best][1]), spans[best][1] - spans[best][0] <= short) if hit else (None, None, None, False)
+                if hit:
+                    free.remove(best)
+                out.append((name[0], score, len(out), hit, *row))
+        return pd.DataFrame(out, columns=[key, "score", "seq", "hit", "tiou", "start_error", "end_error", "short"])
+
+    schema = f"{key} long, score double, seq long, hit boolean, tiou double, start_error double, end_error double, short boolean"
+    own = lambda df: df.select(F.col(key).alias(key), *[F.col(c).cast("double").alias(c) for c in df.columns if c != key])
+    hits = materialize(own(proposals).groupBy(key).cogroup(own(truth).groupBy(key)).applyInPandas(run, schema), "hits")
+    total = truth.filter("a IS NOT NULL").agg(F.count("*").alias("segments"), F.count_if(F.col("b") - F.col("a") <= short).alias("_short"))
+    ranked = running(hits.select(ranked_score(key).alias("_at"), F.col("hit").cast("int").alias("_tp"), F.lit(1).alias("_one")), [], "_at", {"tp": "_tp", "n": "_one"}, descending=True)
+    precision = ranked.select("_at", "_tp", (F.col("tp") / F.col("n")).alias("_p"))
+    later = highest_after(precision, "_at", "_p")
+    ap = later.agg(F.sum(F.when(F.col("_tp") == 1, F.col("_top")).otherwise(0.0)).alias("_sum"))
+    means = hits.agg(F.count_if("hit").alias("matched"), F.avg("tiou").alias("mean_tiou"), F.avg("start_error").alias("start_mae"), F.avg("end_error").alias("end_mae"), F.count_if(F.col("hit") & F.col("short")).alias("_hits"))
+    out = total.crossJoin(F.broadcast(ap)).crossJoin(F.broadcast(means))
+    return out.select("segments", F.when(F.col("segments") > 0, F.coalesce("_sum", F.lit(0.0)) / F.col("segments")).alias("ap"), "matched", "mean_tiou", "start_mae", "end_mae", F.when(F.col("_short") > 0, F.col("_hits") / F.col("_short")).alias("short_recall"))
+
+
+def ranked_score(key: str) -> Column:
+    """A value that orders proposals over all samples: by score, then the smaller key, then the earlier in its sample."""
+    return F.struct("score", (-F.col(key)).alias("k"), (-F.col("seq")).alias("s"))
+
+
+def frame_head(heads: dict[str, str], task: str) -> Column:
+    """The frame scores that speak for a task: the column `score` if the model has one, else the first head of the task; for "ai" the larger of its visual and audio heads; else null.
+
+    heads: the model's columns of frame scores (arrays) and their tasks.
+    """
+    if "score" in heads:
+        return F.col("score")
+    own = [h for h, t in heads.items() if t == task]
+    parts = own[:1] or ([h for h, t in heads.items() if t in ("visual", "audio")] if task == "ai" else [])
+    if not parts:
+        return F.lit(None).cast("array<double>")
+    out = F.col(parts[0])
+    for other in parts[1:]:
+        out = F.zip_with(out, F.col(other), lambda x, y: F.greatest(x, y))
+    return out
+
+
+def flat_report(df: DataFrame, condition: str, score: str, real: Column, threshold: float, label: str = "label", prefix: str = "validation") -> DataFrame:
+    """name, value: for each condition of positives the AUC against the real rows, for each other one the share at or above the threshold."""
+    kinds = df.filter(F.col(label) == 1).select(F.col(condition).alias("_c")).distinct()
+    reals = df.filter(real).select(score, F.lit(0).alias("_y")).crossJoin(F.broadcast(kinds))
+    fakes = df.filter(F.col(label) == 1).select(score, F.lit(1).alias("_y"), F.col(condition).alias("_c"))
+    curves = auc(reals.unionByName(fakes), ["_c"], "_y", score).select(F.concat(F.lit(f"{prefix}_auc/"), "_c").alias("name"), F.col("auc").alias("value"))
+    alarms = df.filter(F.col(label) == 0).groupBy(condition).agg(F.avg((F.col(score) >= threshold).cast("int")).alias("value"))
+    return curves.unionByName(alarms.select(F.concat(F.lit(f"{prefix}_false_alarm/"), condition).alias("name"), "value"))

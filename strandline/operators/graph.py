@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.session import materialize
+from strandline.session import discard, materialize
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -27,7 +27,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, e = e, materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(before)
         row = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(row) == state:
             break
@@ -68,22 +69,89 @@ def leaking_groups(groups: DataFrame, rows: DataFrame, key: str, split: str) ->
     return groups.join(rows.select(key, split), key).groupBy("group_id").agg(F.countDistinct(split).alias("splits"), F.count("*").alias("rows")).filter("splits > 1")
 
 
-def allot(sizes: list[tuple], ratios: dict[str, float], locked: dict | None = None) -> dict:
+def allot(sizes: list[tuple], ratios: dict[str, float], locked: dict | None = None, least_groups: int = 3) -> dict:
     """Greedy split of groups (id, size): largest first, each to the split that leaves the least squared distance to the targets.
 
     Sizes, not rows, come to the driver; ties take the split declared first.
-    Locked groups keep their split and count toward it.
+    Locked groups keep their split and count toward it; a group locked to
+    several (a set) joins what was kept apart and is refused, and so are fewer
+    than `least_groups` groups where nothing is locked.  Once as many groups
+    are left as splits are empty, they go to those.
     """
-    if set(ratios.values()) and abs(sum(ratios.values()) - 1) > 1e-9 or any(not 0 < r < 1 for r in ratios.values()):
+    if any(not 0 < r < 1 for r in ratios.values()) or abs(sum(ratios.values()) - 1) > 1e-9:
         raise ValueError("ratios must lie between 0 and 1 and add up to 1")
     locked, total = locked or {}, sum(n for _, n in sizes)
-    target, have, out = {k: r * total for k, r in ratios.items()}, dict.fromkeys(ratios, 0), {}
-    for g, n in sizes:
-        if g in locked:
-            out[g] = locked[g]
-            have[locked[g]] += n
-    for g, n in sorted((x for x in sizes if x[0] not in locked), key=lambda x: (-x[1], str(x[0]))):
-        best = min(ratios, key=lambda k: (have[k] + n - target[k]) ** 2 - (have[k] - target[k]) ** 2)
-        out[g] = best
-        have[best] += n
+    if sizes and len(sizes) < least_groups and not locked:
+        raise ValueError(f"at least {least_groups} independent groups are needed")
+    off, out = {k: -r * total for k, r in ratios.items()}, {}
+    filled: set = set()
+
+    def place(group, size, split) -> None:
+        off[split] += size
+        out[group] = split
+        if size:
+            filled.add(split)
+
+    for group, size in sizes:
+        if group in locked:
+            held = locked[group] if isinstance(locked[group], set) else {locked[group]}
+            if len(held) > 1:
+                raise ValueError(f"group {group} joins splits that were kept apart: {sorted(held)}")
+            place(group, size, *held)
+    free = sorted((x for x in sizes if x[0] not in locked), key=lambda x: (-x[1], str(x[0])))
+    for left, (group, size) in zip(range(len(free), 0, -1), free):
+        empty = [k for k in ratios if k not in filled]
+        place(group, size, min(empty if len(empty) == left else ratios, key=lambda k: size * (size + 2 * off[k])))
     return out
+
+
+def allot_by_kind(groups: list[tuple], targets: dict[str, dict[str, int]], weight: float | None = None) -> dict:
+    """Greedy split of groups (id, members of each kind, weight) by targets of members of each kind in each split.
+
+    Largest groups first, then heaviest, then by id.  A group goes where the
+    squared distances to the targets grow least; of equals, where the splits'
+    shares of the weight stay nearest to their shares of the members.
+    """
+    people = max(1, sum(sum(kinds.values()) for _, kinds, _ in groups))
+    weight = sum(w for *_, w in groups) if weight is None else weight
+    missing = {s: dict(t) for s, t in targets.items()}
+    short = {s: weight * sum(t.values()) / people for s, t in targets.items()}
+    out = {}
+    for group, kinds, w in sorted(groups, key=lambda g: (-sum(g[1].values()), -g[2], str(g[0]))):
+        grown = {s: (sum(n * (n - 2 * missing[s].get(k, 0)) for k, n in kinds.items()), w * (w - 2 * short[s])) for s in targets}
+        split = min(targets, key=grown.__getitem__)
+        for k, n in kinds.items():
+            missing[split][k] = missing[split].get(k, 0) - n
+        short[split] -= w
+        out[group] = split
+    return out
+
+
+def form_parts(groups: list[tuple], per_kind: dict[str, int], targets: dict[str, dict[str, int]], first_part: int = 1) -> tuple[dict, list]:
+    """Frozen parts of whole groups (id, members of each kind, weight, first review): group -> (part, split), and the groups left over.
+
+    A part takes groups in order of first review, skipping those that don't
+    fit, until each kind has exactly its number; where that can't be reached no
+    part is made and what is left stays for a later run.
+    """
+    if any(sum(t.get(k, 0) for t in targets.values()) != n for k, n in per_kind.items()):
+        raise ValueError("the targets of the splits must add up to the members of a part, for each kind")
+    waiting, out, part = sorted(groups, key=lambda g: (g[3], str(g[0]))), {}, first_part
+    while True:
+        room, taken = dict(per_kind), []
+        for g in waiting:
+            if any(room.values()) and all(n <= room.get(k, 0) for k, n in g[1].items()):
+                taken.append(g)
+                room = {k: n - g[1].get(k, 0) for k, n in room.items()}
+        if any(room.values()) or not taken:
+            return out, [g[0] for g in waiting]
+        splits = allot_by_kind([g[:3] for g in taken], targets)
+        out.update({g: (part, s) for g, s in splits.items()})
+        waiting, part = [g for g in waiting if g[0] not in splits], part + 1
+
+
+def split_registry(groups: DataFrame, rows: DataFrame, group: str, split: str) -> DataFrame:
+    """split, groups, rows, members (its groups in order) of an assignment of groups to splits."""
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    joined = groups.join(sizes, group, "left")
+    return joined.groupBy(split).agg(F.count("*").alias("groups"), F.sum(F.coalesce("_n", F.lit(0))).alias("rows"), F.array_sort(F.collect_list(group)).alias("members"))

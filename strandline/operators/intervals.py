@@ -44,15 +44,23 @@ def contained(inner: Column, outer: Column, slack: float = 1e-6) -> Column:
     return F.forall(inner, lambda i: F.exists(outer, lambda o: (i["a"] >= o["a"] - slack) & (i["b"] <= o["b"] + slack)))
 
 
-def cell_targets(df: DataFrame, key: str, spans: str, duration: str, step: float) -> DataFrame:
-    """Covered share of each grid cell, clipped to [0, 1]; -1 throughout where the spans are unknown; the last cell ends with the duration."""
+def cell_targets(df: DataFrame, key: str, spans: str | list[str], duration: str, step: float) -> DataFrame:
+    """Covered share of each grid cell, clipped to [0, 1]; -1 throughout where the spans are unknown; the last cell ends with the duration.
+
+    One column of spans gives key, cell, target; several give a column of targets each, under their names.
+    """
     n = F.greatest(F.lit(1), F.ceil(F.round(F.col(duration) / step, 9))).cast("int")
     cells = df.withColumn("cell", F.explode(F.sequence(F.lit(0), n - 1)))
     low = F.col("cell") * F.lit(step)
     high = F.least(low + step, F.col(duration))
-    covered = F.aggregate(spans, F.lit(0.0), lambda acc, s: acc + F.greatest(F.lit(0.0), F.least(s["b"], high) - F.greatest(s["a"], low)))
-    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), covered / F.greatest(high - low, F.lit(1e-9))))
-    return cells.select(key, F.col("cell").cast("long").alias("cell"), F.when(F.col(spans).isNull(), F.lit(-1.0)).otherwise(share).alias("target"))
+
+    def target(kind: str) -> Column:
+        covered = F.aggregate(kind, F.lit(0.0), lambda acc, s: acc + F.greatest(F.lit(0.0), F.least(s["b"], high) - F.greatest(s["a"], low)))
+        share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), covered / F.greatest(high - low, F.lit(1e-9))))
+        return F.when(F.col(kind).isNull(), F.lit(-1.0)).otherwise(share)
+
+    targets = [target(spans).alias("target")] if isinstance(spans, str) else [target(k).alias(k) for k in spans]
+    return cells.select(key, F.col("cell").cast("long").alias("cell"), *targets)
 
 
 def runs(df: DataFrame, key: str, frame: str, keep: Column) -> DataFrame:
@@ -126,3 +134,8 @@ def word_spans(df: DataFrame, key: str, at: str, a: str, b: str, low: float, hig
     y = df.select(key, F.col(at).alias("last"), F.col(b).alias("b"))
     length = F.col("b") - F.col("a")
     return x.join(y, key).filter((F.col("first") <= F.col("last")) & (length >= low) & (length <= high))
+
+
+def frame_targets(df: DataFrame, key: str, kinds: list[str], duration: str, fps: int = 25) -> DataFrame:
+    """key, cell (frame), and for each kind of spans the covered share of the frame, -1 where its spans are unknown."""
+    return cell_targets(df, key, kinds, duration, 1 / fps)

@@ -39,6 +39,31 @@ def running(df: DataFrame, by: list[str], order: str, sums: dict[str, str], desc
     return out.drop("_range", *[f"_b_{n}" for n in sums])
 
 
+def highest_after(df: DataFrame, order: str, value: str, name: str = "_top") -> DataFrame:
+    """`df` with the largest value at a row or at rows that come after it in descending order, over distinct values of `order`.
+
+    Beyond _WHOLE rows, rows are dealt into ranges, and each takes the largest value of the ranges after it, which are one row a range.
+    """
+    if df.limit(_WHOLE + 1).count() <= _WHOLE:
+        return df.withColumn(name, F.max(value).over(Window.orderBy(F.asc(order)).rowsBetween(Window.unboundedPreceding, 0)))
+    dealt = materialize(df.repartitionByRange(F.asc(order)).withColumn("_range", F.spark_partition_id()), "highest")
+    tops = dealt.groupBy("_range").agg(F.max(value).alias("_m"))
+    tops = tops.select("_range", F.max("_m").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    inside = F.max(value).over(Window.partitionBy("_range").orderBy(F.asc(order)).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.join(F.broadcast(tops), "_range").withColumn(name, F.greatest(inside, "_before")).drop("_range", "_before")
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """`df` with rows numbered from 1 in a total order; beyond _WHOLE rows in ranges, one count of which is carried on."""
+    if df.limit(_WHOLE + 1).count() <= _WHOLE:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    dealt = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "numbered")
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    counts = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.join(F.broadcast(counts), "_range").withColumn(name, (inside + F.col("_before")).cast("long")).drop("_range", "_before")
+
+
 def by_score(df: DataFrame, by: list[str], label: str = "label", score: str = "score", weight: str | None = None) -> DataFrame:
     """One row for each group and distinct score: pos, neg (sums of weight, or counts)."""
     w = F.col(weight).cast("double") if weight else F.lit(1).cast("long")
@@ -198,3 +223,39 @@ def weights_by_group(df: DataFrame, group: str, item: str) -> DataFrame:
     n = df.groupBy(group).agg(F.countDistinct(item).alias("items"))
     kinds = n.agg((F.max("items") == F.min("items")).alias("_same"))
     return n.crossJoin(F.broadcast(kinds)).withColumn("weight", F.when(~F.col("_same"), 1.0 / F.col("items"))).drop("_same")
+
+
+def confusion_by(df: DataFrame, dims: list[str], threshold: float, label: str = "label", score: str = "score") -> DataFrame:
+    """dim, value, confusion counts and rates at a threshold of each group's positives against all negatives, which are counted once."""
+    hit = F.col(score) >= threshold
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("dim"), F.col(c).cast("string").alias("value")) for c in dims]))
+    fakes = df.filter(F.col(label) == 1).select(pairs.alias("g"), hit.alias("_h")).groupBy("g.dim", "g.value").agg(F.count_if("_h").alias("tp"), F.count_if(~F.col("_h")).alias("fn"))
+    reals = df.filter(F.col(label) == 0).agg(F.count_if(hit).alias("fp"), F.count_if(~hit).alias("tn"))
+    share = lambda a, *all_: a / F.greatest(F.lit(1), sum(all_[1:], all_[0]))
+    tp, fn, fp, tn = (F.col(c) for c in ("tp", "fn", "fp", "tn"))
+    out = fakes.crossJoin(F.broadcast(reals))  # one row
+    return out.withColumns({"recall": share(tp, tp, fn), "precision": share(tp, tp, fp), "false_alarm": share(fp, fp, tn), "accuracy": share(tp + tn, tp, fn, fp, tn)})
+
+
+def flattened(df: DataFrame, keys: list[str], report: str, levels: list[str]) -> DataFrame:
+    """A table of keys, one column for each level of nested maps, and value."""
+    out = df.select(*keys, F.col(report).alias("value"))
+    for at, level in enumerate(levels):
+        out = out.select(*keys, *levels[:at], F.explode("value").alias(level, "value"))
+    return out
+
+
+def extracts(df: DataFrame, key: str, threshold: float, label: str = "label", score: str = "score", bins: int = 20) -> DataFrame:
+    """kind, x, y for a report: points of roc and pr, histogram bins, confusion (x: 2 * label + predicted), first example of each label."""
+    k = curve(df, [], label, score)
+    d = lambda kind, x, y: [F.lit(kind).alias("kind"), x.cast("double").alias("x"), y.cast("double").alias("y")]
+    parts = [k.select(*d("roc", F.col("fp") / F.col("n"), F.col("tp") / F.col("p"))), k.select(*d("pr", F.col("tp") / F.col("p"), F.col("tp") / (F.col("tp") + F.col("fp"))))]
+    rows = df.filter(usable(score))
+    box, cell = F.least(F.lit(bins - 1), F.floor(F.col(score) * bins)), F.col(label) * 2 + (F.col(score) >= threshold).cast("int")
+    for kind, of in (("bin", box), ("confusion", cell)):
+        parts.append(rows.groupBy(of.alias("_x")).agg(F.count("*").alias("_y")).select(*d(kind, F.col("_x"), F.col("_y"))))
+    parts.append(rows.groupBy(F.col(label).alias("_x")).agg(F.min(key).alias("_y")).select(*d("example", F.col("_x"), F.col("_y"))))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out

@@ -124,3 +124,49 @@ def quietest(df: DataFrame, key: str, frame: str, value: str, size: int) -> Data
     w = Window.partitionBy(key).orderBy(frame).rowsBetween(0, size - 1)
     out = df.withColumns({"_rms": F.sqrt(F.avg(F.col(value) * F.col(value)).over(w)), "_n": F.count("*").over(w)}).filter(F.col("_n") == size)
     return out.groupBy(key).agg(F.min(F.struct(F.round("_rms", 6).alias("rms"), F.col(frame).alias("start"))).alias("b")).select(key, "b.start", "b.rms")
+
+
+def timeline_state(df: DataFrame, key: str, frame: str, at: str, digits: int = 6) -> DataFrame:
+    """key, state of each series: start (its first time isn't 0), step (its steps differ), or ok; and step, its length."""
+    steps = df.select(key, at, (F.col(at) - F.lag(at).over(Window.partitionBy(key).orderBy(frame))).alias("_s"))
+    out = steps.groupBy(key).agg(F.min(at).alias("_first"), (F.max("_s") - F.min("_s")).alias("_spread"), F.avg("_s").alias("step"))
+    state = F.when(F.col("_first") != 0, "start").when(F.round(F.coalesce("_spread", F.lit(0.0)), digits) > 0, "step").otherwise("ok")
+    return out.select(key, state.alias("state"), "step")
+
+
+def blocks(df: DataFrame, key: str, at: str, value: str, size: int) -> DataFrame:
+    """key, block, samples: the series in blocks of `size` places from 0 on; places without a sample are 0, and so is the rest of the last block."""
+    held = df.groupBy(key, F.floor(F.col(at) / size).alias("block")).agg(F.map_from_entries(F.collect_list(F.struct(F.pmod(F.col(at), F.lit(size)).cast("int"), F.col(value).cast("double")))).alias("_v"))
+    ends = df.groupBy(key).agg(F.max(F.floor(F.col(at) / size)).alias("_end"))
+    grid = ends.select(key, F.explode(F.sequence(F.lit(0).cast("long"), "_end")).alias("block"))
+    places = F.sequence(F.lit(0), F.lit(size - 1))
+    return grid.join(held, [key, "block"], "left").select(key, "block", F.transform(places, lambda i: F.coalesce(F.try_element_at("_v", i), F.lit(0.0))).alias("samples"))
+
+
+def aligned(first: DataFrame, second: DataFrame, key: str, frame: str, valid: str) -> DataFrame:
+    """Two series of a sample (frames from 0) cut to the shorter one: the columns of both, valid where both are."""
+    length = lambda df: df.groupBy(key).agg(F.max(frame).alias("_n"))
+    least = length(first).unionByName(length(second)).groupBy(key).agg(F.min("_n").alias("_n"), F.count("*").alias("_c")).filter("_c = 2").drop("_c")
+    other = second.withColumnRenamed(valid, "_valid")
+    out = first.join(least, key).filter(F.col(frame) <= F.col("_n")).drop("_n").join(other, [key, frame], "left")
+    return out.withColumn(valid, F.col(valid) & F.coalesce("_valid", F.lit(False))).drop("_valid")
+
+
+def scene_changes(df: DataFrame, key: str, frame: str, histogram: str, every: int, least: float) -> DataFrame:
+    """key, frame, similarity of each sampled frame (every `every`-th) whose histogram correlates less than `least` with the one sampled before."""
+    w = Window.partitionBy(key).orderBy(frame)
+    sampled = df.filter(F.col(frame) % every == 0).select(key, frame, F.col(histogram).cast("array<double>").alias("_h"))
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x) / F.size(c)
+    centred = sampled.withColumn("_h", F.transform("_h", lambda x: x - mean(F.col("_h")))).withColumn("_p", F.lag("_h").over(w)).filter("_p IS NOT NULL")
+    product = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    spread = F.sqrt(product("_h", "_h") * product("_p", "_p"))
+    similarity = F.when(spread > 0, product("_h", "_p") / spread).otherwise(F.lit(1.0))
+    return centred.select(key, frame, similarity.alias("similarity")).filter(F.col("similarity") < least)
+
+
+def replaced(df: DataFrame, segments: DataFrame, key: str, frame: str, value: str) -> DataFrame:
+    """The series with the frames of each sample's segment (key, a, b, donor) taken from the donor's same frames, where it has them; replaced says which."""
+    donors = df.select(F.col(key).alias("donor"), F.col(frame), F.col(value).alias("_v"))
+    out = df.join(segments.select(key, "a", "b", "donor"), key, "left").join(donors, ["donor", frame], "left")
+    here = F.col(frame).between(F.col("a"), F.col("b")) & F.col("_v").isNotNull()
+    return out.withColumns({"replaced": F.coalesce(here, F.lit(False)), value: F.when(here, F.col("_v")).otherwise(F.col(value))}).drop("a", "b", "donor", "_v")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.ranking import numbered
+
 
 def conditional_rollup(df: DataFrame, by: list[str], sums: dict[str, Column], hits: dict[str, Column]) -> DataFrame:
     """Rows, sums and conditional counts of each group; a sum over nothing is 0, a null condition doesn't count."""
@@ -57,8 +59,7 @@ def register(existing: DataFrame, incoming: DataFrame, key: str, fixed: list[str
 def next_keys(df: DataFrame, existing: DataFrame, key: str, order: list, prefix: str = "spk_", width: int = 4) -> DataFrame:
     """Number rows after the largest existing number and make padded ids of the numbers."""
     top = existing.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    nth = F.row_number().over(Window.orderBy(*order))
-    out = df.crossJoin(F.broadcast(top)).withColumn(key, (F.col("_top") + nth).cast("long")).drop("_top")
+    out = numbered(df, order, "_nth").crossJoin(F.broadcast(top)).withColumn(key, (F.col("_top") + F.col("_nth")).cast("long")).drop("_top", "_nth")
     return out.withColumn(f"{key}_id", F.concat(F.lit(prefix), F.lpad(F.col(key).cast("string"), width, "0")))
 
 
@@ -117,3 +118,70 @@ def latest_complete(runs: DataFrame, key: str, complete: str, epochs: str) -> Da
 def missing_combinations(left: DataFrame, right: DataFrame, done: DataFrame) -> DataFrame:
     """All combinations of two small declared lists that aren't done."""
     return left.crossJoin(F.broadcast(right)).join(done, [*left.columns, *right.columns], "left_anti")
+
+
+def ordered_distinct(df: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Per group the distinct values in the order in which they come first."""
+    first = df.groupBy(*by, value).agg(F.min(F.struct(*order)).alias("_o"))
+    return first.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", value))), lambda x: x[value]).alias(name))
+
+
+def lock_history(locks: DataFrame, clip: str, split: str, part: str, upto: int) -> tuple[DataFrame, DataFrame]:
+    """The split of each clip of earlier parts (below `upto`) on which all locks agree, and problems: clips with several splits, earlier parts without a lock."""
+    old = locks.filter(F.col(part) < upto)
+    agreed = old.groupBy(clip).agg(F.min(split).alias(split), F.min(part).alias(part), F.countDistinct(split).alias("_n"))
+    torn = agreed.filter("_n > 1").select(F.lit("splits").alias("problem"), F.col(clip).cast("string").alias("what"))
+    every = locks.sparkSession.range(1, upto).select(F.col("id").alias(part))
+    gaps = every.join(old.select(part).distinct(), part, "left_anti").select(F.lit("part").alias("problem"), F.col(part).cast("string").alias("what"))
+    return agreed.filter("_n = 1").drop("_n"), torn.unionByName(gaps)
+
+
+def held_locks(runs: DataFrame, key: str, order: list[str], stamp: str) -> DataFrame:
+    """`runs` with accepted: whether a run's stamp is that of its key's first run, which locks the key."""
+    first = F.first(stamp).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return runs.withColumn("accepted", F.col(stamp).eqNullSafe(first))
+
+
+def merge_owners(owners: DataFrame, merges: DataFrame, key: str, total: str, n: str, lists: list[str], review: str) -> DataFrame:
+    """Owners after merges (key, into): vectors and numbers summed, lists united and sorted; an owner that took others and was done is pending again.
+
+    A merge into one that is itself merged is followed to its end beforehand by the caller.
+    """
+    target = owners.join(merges.select(F.col(key).alias("_from"), F.col("into").alias("_into")), F.col(key) == F.col("_from"), "left")
+    rows = target.withColumn("_own", F.col("_into").isNull()).withColumn("_to", F.coalesce("_into", key))
+    sums = rows.select("_to", F.posexplode(total).alias("_i", "_x")).groupBy("_to", "_i").agg(F.sum("_x").alias("_x"))
+    sums = sums.groupBy("_to").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda x: x["_x"]).alias(total))
+    rest = rows.groupBy("_to").agg(
+        F.sum(n).alias(n), *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in lists],
+        F.max(F.when(F.col("_own"), F.col(review))).alias("_review"), F.count_if(~F.col("_own")).alias("_took"),
+    )
+    state = F.when((F.col("_took") > 0) & (F.col("_review") == "done"), "pending").otherwise(F.col("_review"))
+    return rest.join(sums, "_to").select(F.col("_to").alias(key), total, n, *lists, state.alias(review))
+
+
+def attach(sources: list[tuple[str, DataFrame]], key: str, strict: bool = True) -> DataFrame:
+    """Rows of all sources with their source's name; a key that comes from several raises, or (not strict) is marked `shared`."""
+    out = None
+    for name, rows in sources:
+        rows = rows.withColumn("source", F.lit(name))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    shared = out.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(key)
+    if strict:
+        if not shared.isEmpty():
+            raise ValueError("keys come from several sources: " + ", ".join(str(r[0]) for r in shared.orderBy(key).limit(5).collect()))
+        return out
+    return out.join(shared.withColumn("shared", F.lit(True)), key, "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
+
+
+def finalize(plan: DataFrame, records: DataFrame, review: DataFrame, key: str, rows: str, row_key: str, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """Rows of a finished plan, and its problems (problem, what).
+
+    Each planned key needs a record; a record's array of rows is exploded; rows
+    whose review (row_key, decision) says reject go; the others must keep all rules.
+    """
+    missing = plan.join(records.select(key), key, "left_anti").select(F.lit("missing").alias("problem"), F.col(key).cast("string").alias("what"))
+    flat = records.join(plan.select(key), key, "left_semi").select(key, F.explode(rows).alias("_r")).select(key, "_r.*")
+    kept = flat.join(review.filter("decision = 'reject'").select(row_key), row_key, "left_anti")
+    broken = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in rules.items()]))
+    bad = kept.select(F.explode(broken).alias("problem"), F.col(row_key).cast("string").alias("what"))
+    return kept, missing.unionByName(bad)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -65,6 +67,72 @@ def consistency(df: DataFrame, key: str, vector: str, of: DataFrame) -> DataFram
     return joined.groupBy(key).agg(F.min(dot(F.col("_u"), F.col("centroid"))).alias("consistency"))
 
 
+class Centroids:
+    """Vector sums under numbers that never change, compared by cosine all at once; sums that gave way count as far off."""
+
+    def __init__(self, width: int) -> None:
+        self.total, self.scale, self.used = np.zeros((8, width)), np.ones(8), 0
+
+    def open(self, vector: np.ndarray) -> int:
+        if self.used == len(self.total):
+            self.total, self.scale = np.vstack((self.total, np.zeros_like(self.total))), np.concatenate((self.scale, np.ones_like(self.scale)))
+        self.used += 1
+        self.put(self.used - 1, vector)
+        return self.used - 1
+
+    def put(self, at: int, total: np.ndarray) -> None:
+        self.total[at], self.scale[at] = total, max(1e-8, float(np.sqrt(total @ total)))
+
+    def close(self, at: int) -> None:
+        self.total[at], self.scale[at] = 0.0, np.inf
+
+    def cosines(self, vectors: np.ndarray) -> np.ndarray:
+        """Cosine of unit vectors with each sum, -2 with those that gave way."""
+        out = vectors @ (self.total[: self.used] / self.scale[: self.used, None]).T
+        out[..., np.isinf(self.scale[: self.used])] = -2.0
+        return out
+
+
+def _join_close(sums: Centroids, threshold: float) -> None:
+    """Join the closest two sums until none are within the threshold, from a heap of close pairs; a changed sum makes its pairs stale."""
+    age, heap = [0] * sums.used, []
+
+    def offer(at: int, others: range) -> None:
+        near = sums.cosines(sums.total[at] / sums.scale[at])
+        for other in others:
+            if other != at and near[other] >= threshold:
+                a, b = min(at, other), max(at, other)
+                heapq.heappush(heap, (-near[other], a, b, age[a], age[b]))
+
+    for at in range(sums.used):
+        offer(at, range(at))
+    while heap:
+        _, a, b, *seen = heapq.heappop(heap)
+        if seen == [age[a], age[b]]:
+            sums.put(a, sums.total[a] + sums.total[b])
+            sums.close(b)
+            age[a], age[b] = age[a] + 1, age[b] + 1
+            offer(a, range(sums.used))
+
+
+def cluster(vectors: np.ndarray, threshold: float) -> np.ndarray:
+    """Cluster of each vector, numbered from 0 by size: leaders in order, close centroids joined, each vector to the nearest centroid."""
+    unit = vectors / np.maximum(1e-8, np.linalg.norm(vectors, axis=1, keepdims=True))
+    sums = Centroids(unit.shape[1])
+    for v in unit:
+        near = sums.cosines(v)
+        if len(near) and near.max() >= threshold:
+            at = int(near.argmax())
+            sums.put(at, sums.total[at] + v)
+        else:
+            sums.open(v)
+    _join_close(sums, threshold)
+    names, own, count = np.unique(sums.cosines(unit).argmax(axis=1), return_inverse=True, return_counts=True)
+    place = np.empty(len(names), np.int64)
+    place[np.lexsort((names, -count))] = np.arange(len(names))
+    return place[own]
+
+
 def leader_clusters(df: DataFrame, group: str, key: str, vector: str, threshold: float) -> DataFrame:
     """Leader clustering of each group's vectors in key order, merging of close centroids, and a last reassignment.
 
@@ -74,29 +142,7 @@ def leader_clusters(df: DataFrame, group: str, key: str, vector: str, threshold:
 
     def run(name: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(key)
-        x = np.stack(rows["vector"].to_numpy()).astype(float)
-        x /= np.maximum(1e-8, np.linalg.norm(x, axis=1, keepdims=True))
-        sums: list[np.ndarray] = []
-        for v in x:
-            near = [float(v @ s) / max(1e-8, float(np.linalg.norm(s))) for s in sums]
-            at = int(np.argmax(near)) if near else -1
-            if at >= 0 and near[at] >= threshold:
-                sums[at] = sums[at] + v
-            else:
-                sums.append(v.copy())
-        merged = True
-        while merged and len(sums) > 1:
-            c = np.stack(sums)
-            c /= np.maximum(1e-8, np.linalg.norm(c, axis=1, keepdims=True))
-            sim = c @ c.T - 2 * np.eye(len(c))
-            i, j = divmod(int(np.argmax(sim)), len(c))
-            merged = bool(sim[i, j] >= threshold)
-            if merged:
-                sums[min(i, j)] = sums[i] + sums[j]
-                sums.pop(max(i, j))
-        c = np.stack(sums)
-        label = np.argmax(x @ (c / np.maximum(1e-8, np.linalg.norm(c, axis=1, keepdims=True))).T, axis=1)
-        order = {int(v): n for n, v in enumerate(sorted(set(label), key=lambda v: (-int((label == v).sum()), int(v))))}
-        return pd.DataFrame({group: [name[0]] * len(rows), key: rows[key], "cluster": [order[int(v)] for v in label]})
+        found = cluster(np.stack(rows["vector"].to_numpy()).astype(float), threshold)
+        return pd.DataFrame({group: [name[0]] * len(rows), key: rows[key], "cluster": found})
 
     return df.select(group, key, F.col(vector).cast("array<double>").alias("vector")).groupBy(group).applyInPandas(run, f"{group} long, {key} long, cluster long")

@@ -10,6 +10,7 @@ from strandline.operators import intervals as I
 from strandline.operators import ranking as R
 from strandline.operators import resample as B
 from strandline.operators import selection as S
+from strandline.operators import series as E
 from strandline.operators import tables as T
 from strandline.plans.base import CLIPS_SQL, FRAMES_SQL, SCORES_SQL, VIDEOS_SQL, clips, frames, query, scores, t, videos
 from strandline.sources import manifests
@@ -130,7 +131,7 @@ def s4(spark, d):
     return o.crossJoin(F.broadcast(mean)).agg(F.max("o_totalprice").alias("top"), F.count_if(F.col("o_totalprice") > F.col("m")).alias("above"))
 
 
-@query("s8_union_parts", f"{SC} SELECT generator AS dataset_part, count(*) AS n FROM scores GROUP BY generator")
+@query("s8_union_parts", f"{SC} SELECT generator AS dataset_part, count(DISTINCT sample_id) AS n FROM scores GROUP BY generator")
 def s8(spark, d):
     s = scores(spark, d).withColumn("sha256", F.sha2(F.col("sample_id").cast("string"), 256))
     parts = [(g, s.filter(F.col("generator") == g).dropDuplicates(["sample_id"])) for g in (f"g{i}" for i in range(7))]
@@ -144,10 +145,10 @@ def s12(spark, d):
     return manifests.layered([a, b], "k")
 
 
-@query("s19_search_dedupe", "SELECT text AS title, min(doc_id) AS first FROM documents WHERE NOT regexp_matches(text, 'Licensed|token') GROUP BY text")
+@query("s19_search_dedupe", "SELECT text AS title, arg_min(doc_id, struct_pack(q := source, i := doc_id)) AS first, min(source) AS query FROM documents WHERE NOT regexp_matches(text, 'Licensed|token') AND source IS NOT NULL GROUP BY text")
 def s19(spark, d):
-    rows = t(spark, d, "documents").filter(~F.col("text").rlike("Licensed|token"))
-    return S.first_of_each(rows, ["text"], ["doc_id"]).select(F.col("text").alias("title"), F.col("doc_id").alias("first"))
+    rows = t(spark, d, "documents").filter(~F.col("text").rlike("Licensed|token") & F.col("source").isNotNull())
+    return S.first_of_each(rows, ["text"], ["source", "doc_id"]).select(F.col("text").alias("title"), F.col("doc_id").alias("first"), F.col("source").alias("query"))
 
 
 @query("s21_retry_list", "SELECT c_custkey AS id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
@@ -196,9 +197,8 @@ def j18(spark, d):
   e AS (SELECT *, max(tp / n) OVER (ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS env, sum(label) OVER () AS p FROM r) SELECT round(sum(CASE WHEN label = 1 THEN env / p ELSE 0 END), 5) AS ap, count(*) AS n FROM e""")
 def w5(spark, d):
     s = scores(spark, d).filter("split = 'test'").select("sample_id", "label", "score3")
-    order = Window.orderBy(F.desc("score3"), "sample_id")
-    r = s.withColumns({"tp": F.sum("label").over(order.rowsBetween(Window.unboundedPreceding, 0)), "n": F.row_number().over(order)}).withColumn("pr", F.col("tp") / F.col("n"))
-    e = r.withColumn("env", F.max("pr").over(Window.orderBy("n").rowsBetween(0, Window.unboundedFollowing)))
+    r = R.running(s.select(F.struct("score3", (-F.col("sample_id")).alias("i")).alias("at"), "label", F.lit(1).alias("one")), [], "at", {"tp": "label", "n": "one"}, descending=True)
+    e = R.highest_after(r.withColumn("pr", F.col("tp") / F.col("n")), "at", "pr", "env")
     return e.agg(F.round(F.sum(F.when(F.col("label") == 1, F.col("env")).otherwise(0.0)) / F.sum("label"), 5).alias("ap"), F.count("*").alias("n"))
 
 
@@ -247,22 +247,31 @@ def x10(spark, d):
     return r.groupBy("sample_id").agg(F.max("n").alias("longest"), (F.max("n") >= 3).alias("tripped"))
 
 
-@query("x8_finalize", f"{SC} SELECT s.split, s.cell, count(*) AS n FROM scores s LEFT JOIN labels l ON l.doc_id = s.source_clip_id WHERE coalesce(l.quality, 1) = 1 GROUP BY ALL")
+@query("x8_finalize", f"""{SC}, k AS (SELECT s.split, s.cell, s.score FROM (SELECT DISTINCT * FROM scores) s LEFT JOIN labels l ON l.doc_id = s.source_clip_id WHERE coalesce(l.quality, 1) = 1)
+  SELECT 'row' AS what, split || '/' || cell AS name, count(*) AS n FROM k GROUP BY ALL UNION ALL SELECT 'problem', 'range', count(*) FILTER (score > 0.55) FROM k""")
 def x8(spark, d):
-    decided = t(spark, d, "labels").select(F.col("doc_id").alias("source_clip_id"), "quality")
-    return scores(spark, d).join(decided, "source_clip_id", "left").filter(F.coalesce("quality", F.lit(1)) == 1).groupBy("split", "cell").agg(F.count("*").alias("n"))
+    s = scores(spark, d).distinct()
+    row = F.struct("sample_id", "split", "cell", "score", "source_clip_id")
+    records = s.groupBy("speaker_id").agg(F.collect_list(row).alias("rows"))
+    decided = t(spark, d, "labels").filter("quality = 0").select(F.col("doc_id").alias("source_clip_id"), F.lit("reject").alias("decision")).distinct()
+    kept, problems = T.finalize(records.select("speaker_id"), records, decided, "speaker_id", "rows", "source_clip_id", {"range": F.col("score") <= 0.55})
+    counts = kept.groupBy(F.concat_ws("/", "split", "cell").alias("name")).agg(F.count("*").alias("n")).select(F.lit("row").alias("what"), "name", "n")
+    return counts.unionByName(problems.groupBy(F.col("problem").alias("name")).agg(F.count("*").alias("n")).select(F.lit("problem").alias("what"), "name", "n"))
 
 
-@query("x12_attach_caches", "SELECT k, count(*) AS copies FROM (SELECT s_suppkey AS k FROM supplier UNION ALL SELECT c_custkey FROM customer) GROUP BY k HAVING count(*) > 1")
+@query("x12_attach_caches", "WITH a AS (SELECT s_suppkey AS k, 'suppliers' AS source FROM supplier UNION ALL SELECT c_custkey, 'customers' FROM customer) SELECT k, source, count(*) OVER (PARTITION BY k) > 1 AS shared FROM a")
 def x12(spark, d):
-    both = t(spark, d, "supplier").select(F.col("s_suppkey").alias("k")).unionByName(t(spark, d, "customer").select(F.col("c_custkey").alias("k")))
-    return both.groupBy("k").agg(F.count("*").alias("copies")).filter("copies > 1")
+    sources = [("suppliers", t(spark, d, "supplier").select(F.col("s_suppkey").alias("k"))), ("customers", t(spark, d, "customer").select(F.col("c_custkey").alias("k")))]
+    return T.attach(sources, "k", strict=False)
 
 
-@query("u1_lock_history", "SELECT l_orderkey AS clip, max(l_returnflag) AS split FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag) = 1")
+@query("u1_lock_history", """WITH l AS (SELECT l_orderkey AS clip, l_returnflag AS split, l_orderkey % 4 + 1 AS part FROM lineitem WHERE l_orderkey % 4 <> 1), o AS (SELECT * FROM l WHERE part < 4), g AS (SELECT clip, count(DISTINCT split) AS n, min(split) AS split FROM o GROUP BY clip)
+  SELECT 'split/' || split AS what, count(*) AS n FROM g WHERE n = 1 GROUP BY 1 UNION ALL SELECT 'problem/splits', count(*) FROM g WHERE n > 1 UNION ALL SELECT 'problem/part', count(*) FROM (SELECT unnest(range(1, 4)) AS p EXCEPT SELECT part FROM o)""")
 def u1(spark, d):
-    rows = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("clip")).agg(F.max("l_returnflag").alias("split"), F.countDistinct("l_returnflag").alias("n"))
-    return rows.filter("n = 1").drop("n")
+    locks = t(spark, d, "lineitem").filter("l_orderkey % 4 != 1").select(F.col("l_orderkey").alias("clip"), F.col("l_returnflag").alias("split"), (F.col("l_orderkey") % 4 + 1).alias("part"))
+    agreed, problems = T.lock_history(locks, "clip", "split", "part", 4)
+    names = agreed.select(F.concat(F.lit("split/"), "split").alias("what")).unionByName(problems.select(F.concat(F.lit("problem/"), "problem").alias("what")))
+    return names.groupBy("what").agg(F.count("*").alias("n"))
 
 
 @query("u3_effective_lag", "SELECT event_type, sum(CASE WHEN coalesce(st, 'unmeasured') IN ('ok', 'few') THEN lag ELSE 0 END)::BIGINT AS lags FROM (SELECT event_type, event_id % 7 AS lag, CASE event_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'few' WHEN 2 THEN 'bad' END AS st FROM events) GROUP BY event_type")
@@ -293,23 +302,28 @@ def u9(spark, d):
     return n.select("sample_id", F.when(F.col("longest") > 3, "run").when(F.col("bad") > 0.3 * F.col("n"), "bad").otherwise("ok").alias("verdict"))
 
 
-@query("u14_video_summaries", f"{C} SELECT video_id, round(sum(duration_s), 3) AS speech_s, count(*) AS inspected, count(*) FILTER (decision = 'keep') AS accepted, count(*) FILTER (decision = 'reject') AS rejected FROM clips GROUP BY video_id")
+@query("u14_video_summaries", f"{C}, p AS (SELECT video_id, sum(duration_s) AS s, count(*) AS n, count(*) FILTER (decision = 'keep') AS k, count(*) FILTER (decision = 'reject') AS r, count(*) FILTER (decision = 'pending') AS w FROM clips GROUP BY video_id) SELECT video_id, round(s, 3) AS speech_s, n AS inspected, k AS accepted, concat_ws(',', CASE WHEN w > 0 THEN 'pending=' || w END, CASE WHEN r > 0 THEN 'reject=' || r END) AS rejected, greatest(1, least(6, floor(s / 10)))::BIGINT AS quota FROM p")
 def u14(spark, d):
-    out = T.conditional_rollup(clips(spark, d), ["video_id"], {"s": F.col("duration_s")}, {"accepted": F.col("decision") == "keep", "rejected": F.col("decision") == "reject"})
-    return out.select("video_id", F.round("s", 3).alias("speech_s"), F.col("rows").alias("inspected"), "accepted", "rejected")
+    c = clips(spark, d)
+    reasons = c.filter("decision != 'keep'").groupBy("video_id", "decision").agg(F.count("*").alias("n")).groupBy("video_id").agg(F.map_from_entries(F.collect_list(F.struct("decision", "n"))).alias("rejected"))
+    out = T.conditional_rollup(c, ["video_id"], {"s": F.col("duration_s")}, {"accepted": F.col("decision") == "keep"}).join(reasons, "video_id", "left")
+    shown = F.coalesce(F.array_join(F.transform(F.array_sort(F.map_entries("rejected")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ","), F.lit(""))
+    return out.select("video_id", F.round("s", 3).alias("speech_s"), F.col("rows").alias("inspected"), "accepted", shown.alias("rejected"), F.greatest(F.lit(1), F.least(F.lit(6), F.floor(F.col("s") / 10))).cast("long").alias("quota"))
 
 
 @query("u19_speaker_index", f"{SC} SELECT DISTINCT speaker_id, dense_rank() OVER (ORDER BY speaker_id) - 1 AS i FROM scores WHERE split = 'train'")
 def u19(spark, d):
     s = scores(spark, d).filter("split = 'train'").select("speaker_id").distinct()
-    return s.withColumn("i", (F.row_number().over(Window.orderBy("speaker_id")) - 1).cast("long"))
+    return R.numbered(s, [F.col("speaker_id")], "i").withColumn("i", F.col("i") - 1)
 
 
-@query("u20_aligned_series", f"{FR}, l AS (SELECT sample_id, least(count(*) FILTER (event_type <> 'x'), 60) AS n FROM frames GROUP BY sample_id) SELECT f.sample_id, bool_and(valid) AS valid, count(*) AS frames FROM frames f JOIN l USING (sample_id) WHERE frame < n GROUP BY f.sample_id")
+@query("u20_aligned_series", f"""{FR}, b AS (SELECT sample_id, frame, value AS other, event_id % 7 <> 0 AS ok FROM frames WHERE frame < 30 + sample_id), n AS (SELECT sample_id, least(max(a.frame), (SELECT max(b.frame) FROM b WHERE b.sample_id = a.sample_id)) AS n FROM frames a GROUP BY sample_id)
+  SELECT a.sample_id, count(*) AS frames, count(*) FILTER (a.valid AND b.ok) AS valid, round(sum(other), 3) AS other FROM frames a JOIN n USING (sample_id) JOIN b ON b.sample_id = a.sample_id AND b.frame = a.frame WHERE a.frame <= n GROUP BY a.sample_id""")
 def u20(spark, d):
     f = frames(spark, d)
-    n = f.groupBy("sample_id").agg(F.least(F.count("*"), F.lit(60)).alias("n"))
-    return f.join(n, "sample_id").filter("frame < n").groupBy("sample_id").agg(F.bool_and("valid").alias("valid"), F.count("*").alias("frames"))
+    other = f.filter(F.col("frame") < 30 + F.col("sample_id")).select("sample_id", "frame", F.col("value").alias("other"), (F.col("event_id") % 7 != 0).alias("valid"))
+    out = E.aligned(f.select("sample_id", "frame", "valid"), other, "sample_id", "frame", "valid")
+    return out.groupBy("sample_id").agg(F.count("*").alias("frames"), F.count_if("valid").alias("valid"), F.round(F.sum("other"), 3).alias("other"))
 
 
 @query("u21_padded_series", f"{FR}, m AS (SELECT max(frame) AS m FROM frames), g AS (SELECT DISTINCT sample_id, x.i FROM frames, m, range(0, 1000) x(i) WHERE x.i <= m) SELECT g.sample_id, count(*) AS length, count(f.frame) AS present FROM g LEFT JOIN frames f ON f.sample_id = g.sample_id AND f.frame = g.i GROUP BY g.sample_id")
@@ -320,28 +334,34 @@ def u21(spark, d):
     return grid.join(f.select("sample_id", "frame", F.lit(1).alias("p")), ["sample_id", "frame"], "left").groupBy("sample_id").agg(F.count("*").alias("length"), F.count("p").alias("present"))
 
 
-@query("u23_report_extracts", f"{SC} SELECT label, min(sample_id) AS first, count(*) FILTER (score >= 0.25) AS hits, count(*) AS n FROM scores WHERE split = 'validation' GROUP BY label")
+@query("u23_report_extracts", f"""{SC}, v AS (SELECT * FROM scores WHERE split = 'validation'), g AS (SELECT score, sum(label) AS pos, sum(1 - label) AS neg FROM v GROUP BY score), k AS (SELECT score, sum(pos) OVER o AS tp, sum(neg) OVER o AS fp, sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM g WINDOW o AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING))
+  SELECT 'roc' AS kind, round((fp / n)::DOUBLE, 6) AS x, round((tp / p)::DOUBLE, 6) AS y FROM k UNION ALL SELECT 'pr', round((tp / p)::DOUBLE, 6), round((tp / (tp + fp))::DOUBLE, 6) FROM k
+  UNION ALL SELECT 'bin', least(19, floor(score * 20))::DOUBLE, count(*)::DOUBLE FROM v GROUP BY 2 UNION ALL SELECT 'confusion', (label * 2 + (score >= 0.25)::INT)::DOUBLE, count(*)::DOUBLE FROM v GROUP BY 2 UNION ALL SELECT 'example', label::DOUBLE, min(sample_id)::DOUBLE FROM v GROUP BY label""")
 def u23(spark, d):
-    return scores(spark, d).filter("split = 'validation'").groupBy("label").agg(F.min("sample_id").alias("first"), F.count_if(F.col("score") >= 0.25).alias("hits"), F.count("*").alias("n"))
+    return R.extracts(scores(spark, d).filter("split = 'validation'"), "sample_id", 0.25).select("kind", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@query("u27_cost_model", "SELECT event_type, ceil(count(*) / 64.0)::BIGINT AS steps, round((ceil(count(*) / 64.0) * avg(value) / 1000 * 3)::DOUBLE, 4) AS epoch_s FROM events GROUP BY event_type")
+@query("u27_cost_model", "WITH m AS (SELECT event_type, count(*) AS n, 16 * (min(event_id) % 4 + 1) AS batch, avg(value) / 1000 AS step_s, count(DISTINCT user_id) AS seeds FROM events GROUP BY event_type) SELECT event_type, ceil(n / batch)::BIGINT AS steps, round(ceil(n / batch) * step_s * (3 + 2 * 1)::DOUBLE, 4) AS epoch_s, round(ceil(n / batch) * step_s * 5 * seeds / 3600, 5) AS hours FROM m")
 def u27(spark, d):
-    steps = F.ceil(F.count("*") / 64.0)
-    return t(spark, d, "events").groupBy("event_type").agg(steps.alias("steps"), F.round(steps * F.avg("value") / 1000 * 3, 4).alias("epoch_s"))
+    m = t(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), (16 * (F.min("event_id") % 4 + 1)).alias("batch"), (F.avg("value") / 1000).alias("step_s"), F.countDistinct("user_id").alias("seeds"))
+    cost = X.training_cost(F.col("n"), F.col("batch"), F.col("step_s"), F.col("seeds"), train=3.0, evaluate=1.0)
+    return m.select("event_type", cost["steps"].alias("steps"), F.round(cost["epoch_s"], 4).alias("epoch_s"), F.round(cost["hours"], 5).alias("hours"))
 
 
-@query("ts11_sync_flags", "SELECT o_orderkey AS clip, concat_ws(',', CASE WHEN o_orderstatus = 'P' THEN 'pending' END, CASE WHEN o_totalprice > 200000 THEN 'large' END) AS flags FROM orders")
+@query("ts11_sync_flags", f"{C}, {VIDEOS_SQL} SELECT clip_id, CASE WHEN status = 'P' THEN 'reject' ELSE decision END AS decision, CASE WHEN status = 'P' THEN 'sync_bad' WHEN status = 'O' THEN 'sync_unmeasured' ELSE '' END AS flags FROM clips LEFT JOIN videos USING (video_id)")
 def ts11(spark, d):
-    return t(spark, d, "orders").select(F.col("o_orderkey").alias("clip"), F.concat_ws(",", F.when(F.col("o_orderstatus") == "P", "pending"), F.when(F.col("o_totalprice") > 200000, "large")).alias("flags"))
+    status = videos(spark, d).select("video_id", F.when(F.col("status") == "P", "bad").when(F.col("status") == "F", "ok").alias("sync"))
+    joined = clips(spark, d).join(status, "video_id", "left")
+    flagged = X.sync_verdict(F.col("decision"), F.lit(""), F.col("sync"))
+    return joined.select("clip_id", flagged["decision"].alias("decision"), flagged["flags"].alias("flags"))
 
 
-@query("ts14_segment_replacement", f"{FR} SELECT f.sample_id, f.frame, round(CASE WHEN f.frame BETWEEN 5 AND 14 THEN coalesce(g.value, f.value) ELSE f.value END, 5) AS value FROM frames f LEFT JOIN frames g ON g.sample_id = f.sample_id + 1 AND g.frame = f.frame")
+@query("ts14_segment_replacement", f"{FR}, s AS (SELECT DISTINCT sample_id, sample_id % 5 + 3 AS a, sample_id % 5 + 12 AS b, sample_id + 1 AS donor FROM frames) SELECT f.sample_id, f.frame, round(CASE WHEN f.frame BETWEEN a AND b THEN coalesce(g.value, f.value) ELSE f.value END, 5) AS value, f.frame BETWEEN a AND b AND g.value IS NOT NULL AS replaced FROM frames f JOIN s USING (sample_id) LEFT JOIN frames g ON g.sample_id = s.donor AND g.frame = f.frame")
 def ts14(spark, d):
-    f = frames(spark, d)
-    other = f.select((F.col("sample_id") - 1).alias("sample_id"), "frame", F.col("value").alias("o"))
-    value = F.when(F.col("frame").between(5, 14), F.coalesce("o", "value")).otherwise(F.col("value"))
-    return f.join(other, ["sample_id", "frame"], "left").select("sample_id", "frame", F.round(value, 5).alias("value"))
+    f = frames(spark, d).select("sample_id", "frame", "value")
+    k = F.col("sample_id") % 5
+    segments = f.select("sample_id").distinct().select("sample_id", (k + 3).alias("a"), (k + 12).alias("b"), (F.col("sample_id") + 1).alias("donor"))
+    return E.replaced(f, segments, "sample_id", "frame", "value").select("sample_id", "frame", F.round("value", 5).alias("value"), "replaced")
 
 
 @query("ts22_audio_validity", f"{FR} SELECT sample_id, frame // 10 AS block, avg(valid::INT) >= 0.95 AS ok FROM frames GROUP BY ALL")
@@ -374,9 +394,11 @@ def m24(spark, d):
     return scores(spark, d).filter("label = 0").groupBy("split").agg(F.round(F.avg(hit.cast("double")), 6).alias("alarm_rate"), F.count("*").alias("real"), F.round(F.count_if(hit) / (F.count("*") * 4.0 / 3600), 4).alias("per_hour"))
 
 
-@query("k10_batch_links", f"{V} SELECT batch, count(*) AS videos, round(sum(duration_s) / 60, 1) AS minutes, min(upload_date) AS oldest FROM videos GROUP BY batch")
+@query("k10_batch_links", f"{V} SELECT batch, video_id, 'https://video.example/' || video_id AS link, upload_date, round(duration_s / 60, 1) AS minutes FROM videos JOIN customer ON c_custkey = input_id")
 def k10(spark, d):
-    return videos(spark, d).groupBy("batch").agg(F.count("*").alias("videos"), F.round(F.sum("duration_s") / 60, 1).alias("minutes"), F.min("upload_date").alias("oldest"))
+    inputs = t(spark, d, "customer").select(F.col("c_custkey").alias("input_id"))
+    joined = videos(spark, d).join(inputs, "input_id")
+    return joined.select("batch", "video_id", F.concat(F.lit("https://video.example/"), F.col("video_id").cast("string")).alias("link"), "upload_date", F.round(F.col("duration_s") / 60, 1).alias("minutes"))
 
 
 @query("streaming_file_sink", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators import selection as S
 from strandline.operators import tables as T
+from strandline.operators.ranking import numbered
 from strandline.plans.base import CLIPS_SQL, SCORES_SQL, VIDEOS_SQL, clips, query, scores, t, videos
 
 V, C = f"WITH {VIDEOS_SQL}", f"WITH {CLIPS_SQL}"
@@ -301,7 +302,7 @@ def w13(spark, d):
 def w14(spark, d):
     c = t(spark, d, "customer").select(F.col("c_custkey").alias("id"))
     total = c.agg(F.count("*").alias("l"))
-    ranked = c.withColumn("i", F.row_number().over(Window.orderBy("id")) - 1).crossJoin(F.broadcast(total))
+    ranked = numbered(c, [F.col("id")], "i").withColumn("i", F.col("i") - 1).crossJoin(F.broadcast(total))
     bounds = F.sequence(F.lit(1), F.lit(7))
     inside = F.filter(bounds, lambda k: (F.col("i") >= F.floor((k - 1) * F.col("l") / 7)) & (F.col("i") < F.floor(k * F.col("l") / 7)))
     return ranked.select("id", inside[0].cast("long").alias("chunk"))

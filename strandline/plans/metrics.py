@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.operators import ranking as R
@@ -169,9 +168,8 @@ def m22(spark, d):
   SELECT round((fp / n)::DOUBLE, 6) AS fpr, round((tp / p)::DOUBLE, 6) AS tpr, score FROM x WHERE (i - 1) % greatest(1, c // 20) = 0 OR i = c""")
 def m27(spark, d):
     k = R.curve(scores(spark, d).filter(TEST))
-    w = Window.orderBy(F.desc("score"))
     total = k.agg(F.count("*").alias("c"))
-    x = k.withColumn("i", F.row_number().over(w)).crossJoin(F.broadcast(total))
+    x = R.numbered(k, [F.desc("score")], "i").crossJoin(F.broadcast(total))
     x = x.filter(((F.col("i") - 1) % F.greatest(F.lit(1), F.floor(F.col("c") / 20)) == 0) | (F.col("i") == F.col("c")))
     return x.select(r6(F.col("fp") / F.col("n"), "fpr"), r6(F.col("tp") / F.col("p"), "tpr"), "score")
 

@@ -6,21 +6,27 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.operators import contracts as Q
+from strandline.operators import graph
 from strandline.operators import intervals as I
 from strandline.operators import ranking as R
 from strandline.operators import segmentation as G
 from strandline.operators import selection as S
+from strandline.operators import series
+from strandline.operators import tables as T
 from strandline.operators import vectors as E
 from strandline.plans.base import CLIPS_SQL, FRAMES_SQL, SCORES_SQL, VIDEOS_SQL, clips, frames, query, scores, t, videos
 
 V, C, SC, FR = (f"WITH {x}" for x in (VIDEOS_SQL, CLIPS_SQL, SCORES_SQL, FRAMES_SQL))
 
 
-@query("e8_merge_owners", "SELECT CASE WHEN label = 9 THEN 0 ELSE label END AS owner, count(*) AS n, round(sum(list_sum(embedding)), 2) AS total FROM embeddings GROUP BY 1")
+@query("e8_merge_owners", """WITH m AS (SELECT vec_id, embedding, label, CASE WHEN label = 9 THEN 0 WHEN label = 7 THEN 2 ELSE label END AS owner, 'c' || (vec_id % 6) AS channel FROM embeddings)
+  SELECT owner, count(*) AS n, round(sum(list_sum(embedding)), 2) AS total, len(list_distinct(list(channel)))::BIGINT AS channels, CASE WHEN owner IN (0, 2) THEN 'pending' ELSE 'done' END AS review FROM m GROUP BY owner""")
 def e8(spark, d):
-    v = t(spark, d, "embeddings").withColumn("owner", F.when(F.col("label") == 9, 0).otherwise(F.col("label")))
-    c = E.centroids(v, "owner", "embedding")
-    return c.select("owner", "n", F.round(F.aggregate("total", F.lit(0.0), lambda s, x: s + x), 2).alias("total"))
+    v = t(spark, d, "embeddings").withColumn("owner", F.col("label").cast("long"))
+    lists = v.groupBy("owner").agg(F.collect_set(F.concat(F.lit("c"), (F.col("vec_id") % 6).cast("string"))).alias("channels"))
+    owners = E.centroids(v, "owner", "embedding").join(lists, "owner").withColumn("review", F.lit("done"))
+    out = T.merge_owners(owners, spark.createDataFrame([(9, 0), (7, 2)], "owner long, into long"), "owner", "total", "n", ["channels"], "review")
+    return out.select("owner", "n", F.round(F.aggregate("total", F.lit(0.0), lambda s, x: s + x), 2).alias("total"), F.size("channels").cast("long").alias("channels"), "review")
 
 
 @query("u31_vector_totals", "WITH a AS (SELECT i, sum(embedding[i]::DOUBLE) AS x FROM embeddings, range(1, 65) r(i) GROUP BY i) SELECT i - 1 AS pos, round(x, 4) AS total FROM a")
@@ -36,15 +42,20 @@ def b9(spark, d):
     return R.breakdown(scores(spark, d), ["split", "generator"], F.col("label") == 0).select("dim", "value", F.round("auc", 6).alias("auc"))
 
 
-@query("g9_split_registry", "SELECT CASE WHEN h < 60 THEN 'train' WHEN h < 75 THEN 'validation' ELSE 'test' END AS split, count(*) AS rows FROM (SELECT ('0x' || substr(sha256(c_custkey::VARCHAR), 1, 8))::BIGINT % 100 AS h FROM customer) GROUP BY 1")
+@query("g9_split_registry", f"""{SC}, g AS (SELECT speaker_id, CASE WHEN h < 60 THEN 'train' WHEN h < 75 THEN 'validation' ELSE 'test' END AS split FROM (SELECT DISTINCT speaker_id, ('0x' || substr(sha256(speaker_id::VARCHAR), 1, 8))::BIGINT % 100 AS h FROM scores))
+  SELECT g.split, count(DISTINCT speaker_id) AS groups, count(*) AS rows, list_sort(list_distinct(list(speaker_id)))::VARCHAR AS members FROM scores JOIN g USING (speaker_id) GROUP BY g.split""")
 def g9(spark, d):
-    h = S.stable_int(F.col("c_custkey").cast("string")) % 100
-    return t(spark, d, "customer").groupBy(F.when(h < 60, "train").when(h < 75, "validation").otherwise("test").alias("split")).agg(F.count("*").alias("rows"))
+    h = S.stable_int(F.col("speaker_id").cast("string")) % 100
+    rows = scores(spark, d)
+    groups = rows.select("speaker_id").distinct().withColumn("split", F.when(h < 60, "train").when(h < 75, "validation").otherwise("test"))
+    out = graph.split_registry(groups, rows.drop("split"), "speaker_id", "split")
+    return out.select("split", "groups", "rows", F.concat(F.lit("["), F.array_join(F.transform("members", lambda x: x.cast("string")), ", "), F.lit("]")).alias("members"))
 
 
-@query("q5_evaluation_lock", "SELECT o_orderstatus, count(DISTINCT md5(o_orderpriority)) AS stamps, count(DISTINCT md5(o_orderpriority)) > 1 AS refused FROM orders GROUP BY o_orderstatus")
+@query("q5_evaluation_lock", "SELECT o_orderstatus, o_orderkey, md5(o_orderpriority) = first_value(md5(o_orderpriority)) OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) AS accepted FROM orders")
 def q5(spark, d):
-    return t(spark, d, "orders").groupBy("o_orderstatus").agg(F.countDistinct(F.md5("o_orderpriority")).alias("stamps")).withColumn("refused", F.col("stamps") > 1)
+    runs = t(spark, d, "orders").withColumn("stamp", F.md5("o_orderpriority"))
+    return T.held_locks(runs, "o_orderstatus", ["o_orderdate", "o_orderkey"], "stamp").select("o_orderstatus", "o_orderkey", "accepted")
 
 
 @query("q4_frozen_settings", "SELECT p_partkey, sha256('{\"a\":\"' || p_brand || '\",\"b\":' || p_size || '}') = sha256('{\"a\":\"' || p_brand || '\",\"b\":' || (p_size % 40) || '}') AS same FROM part")
@@ -60,15 +71,19 @@ def u13(spark, d):
     return clips(spark, d).select("clip_id", name.alias("name"), F.concat_ws(",", F.when(F.col("duration_s") > 6, "long"), F.when(F.col("decision") == "pending", "pending")).alias("flags"))
 
 
-@query("u17_clean_pool", f"{V} SELECT batch, count(*) FILTER (starts_with(reason, '1') OR starts_with(reason, '2')) AS deleted, count(*) FILTER (NOT (starts_with(reason, '1') OR starts_with(reason, '2'))) AS waiting FROM videos WHERE status <> 'F' GROUP BY batch")
+@query("u17_clean_pool", f"""{V}, {CLIPS_SQL}, l AS (SELECT v.batch, CASE WHEN v.reason LIKE '1%' OR v.reason LIKE '2%' THEN 'drive:raw' ELSE 'local' END AS location FROM clips c JOIN videos v USING (video_id) WHERE c.decision <> 'keep')
+  SELECT batch, count(*) FILTER (starts_with(location, 'drive:')) AS deleted, count(*) FILTER (NOT starts_with(location, 'drive:')) AS waiting FROM l GROUP BY batch""")
 def u17(spark, d):
     stored = F.col("reason").startswith("1") | F.col("reason").startswith("2")
-    return videos(spark, d).filter("status != 'F'").groupBy("batch").agg(F.count_if(stored).alias("deleted"), F.count_if(~stored).alias("waiting"))
+    raw = videos(spark, d).select("video_id", "batch", F.when(stored, "drive:raw").otherwise("local").alias("location"))
+    leftovers = clips(spark, d).filter("decision != 'keep'").join(raw, "video_id")
+    return T.conditional_rollup(leftovers, ["batch"], {}, {"deleted": F.col("location").startswith("drive:"), "waiting": ~F.col("location").startswith("drive:")}).select("batch", "deleted", "waiting")
 
 
-@query("u18_ordered_needs", f"{SC} SELECT speaker_id, array_to_string(list_sort(list_distinct(list(generator))), ',') AS needs FROM scores WHERE label = 1 GROUP BY speaker_id")
+@query("u18_ordered_needs", f"{SC}, f AS (SELECT speaker_id, generator, min(sample_id) AS o FROM scores WHERE label = 1 GROUP BY ALL) SELECT speaker_id, string_agg(generator, ',' ORDER BY o) AS needs FROM f GROUP BY speaker_id")
 def u18(spark, d):
-    return scores(spark, d).filter("label = 1").groupBy("speaker_id").agg(F.array_join(F.sort_array(F.collect_set("generator")), ",").alias("needs"))
+    needs = T.ordered_distinct(scores(spark, d).filter("label = 1"), ["speaker_id"], ["sample_id"], "generator", "needs")
+    return needs.select("speaker_id", F.array_join("needs", ",").alias("needs"))
 
 
 @query("u22_phrase_choice", f"{FR}, r AS (SELECT sample_id, frame, row_number() OVER (PARTITION BY sample_id ORDER BY sha256('5:' || frame::VARCHAR), frame) AS n FROM frames WHERE valid) SELECT sample_id, frame FROM r WHERE n = 1")
@@ -76,19 +91,20 @@ def u22(spark, d):
     return S.first_of_each(frames(spark, d).filter("valid").select("sample_id", "frame"), ["sample_id"], [S.seeded(5, "frame"), "frame"])
 
 
-@query("u24_metrics_by_part", f"{SC} SELECT generator, count(*) FILTER (label = 1) AS fakes, round(count(*) FILTER (label = 1 AND score >= 0.3) / greatest(1, count(*) FILTER (label = 1)), 6) AS recall, (SELECT count(*) FROM scores WHERE label = 0) AS reals FROM scores GROUP BY generator")
+@query("u24_metrics_by_part", f"""{SC}, d AS (SELECT unnest([struct_pack(dim := 'generator', value := generator), struct_pack(dim := 'cell', value := cell), struct_pack(dim := 'split', value := split)]) AS g, score FROM scores WHERE label = 1),
+  f AS (SELECT g.dim AS dim, g.value AS value, count(*) AS fakes, count(*) FILTER (score >= 0.3) AS tp FROM d GROUP BY ALL), r AS (SELECT count(*) AS reals, count(*) FILTER (score >= 0.3) AS fp FROM scores WHERE label = 0)
+  SELECT dim, value, tp, fakes - tp AS fn, fp, reals - fp AS tn, round(tp / greatest(1, fakes), 6) AS recall, round(tp / greatest(1, tp + fp), 6) AS precision, round(fp / greatest(1, reals), 6) AS false_alarm, round((tp + reals - fp) / greatest(1, fakes + reals), 6) AS accuracy FROM f, r""")
 def u24(spark, d):
-    s = scores(spark, d)
-    reals = s.filter("label = 0").agg(F.count("*").alias("reals"))
-    fake = F.col("label") == 1
-    g = s.groupBy("generator").agg(F.count_if(fake).alias("fakes"), F.round(F.count_if(fake & (F.col("score") >= 0.3)) / F.greatest(F.lit(1), F.count_if(fake)), 6).alias("recall"))
-    return g.crossJoin(F.broadcast(reals))
+    out = R.confusion_by(scores(spark, d), ["generator", "cell", "split"], 0.3)
+    return out.select("dim", "value", "tp", "fn", "fp", "tn", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "false_alarm", "accuracy")])
 
 
-@query("u26_flat_metrics", f"{SC} SELECT split, name, round(avg(v), 6) AS mean FROM (SELECT split, 'score' AS name, score AS v FROM scores UNION ALL SELECT split, 'score2', score2 FROM scores UNION ALL SELECT split, 'score3', score3 FROM scores) GROUP BY ALL")
+@query("u26_flat_metrics", f"""{SC}, m AS (SELECT split, cell, count(*) AS n, avg(score) AS mean, avg((score >= 0.3)::INT) AS rate FROM scores GROUP BY ALL)
+  SELECT split, cell, name, round(value, 6) AS value FROM (SELECT split, cell, 'n' AS name, n::DOUBLE AS value FROM m UNION ALL SELECT split, cell, 'mean', mean FROM m UNION ALL SELECT split, cell, 'rate', rate FROM m)""")
 def u26(spark, d):
-    flat = F.explode(F.create_map(F.lit("score"), "score", F.lit("score2"), "score2", F.lit("score3"), "score3")).alias("name", "v")
-    return scores(spark, d).select("split", flat).groupBy("split", "name").agg(F.round(F.avg("v"), 6).alias("mean"))
+    per = scores(spark, d).groupBy("split", "cell").agg(F.create_map(F.lit("n"), F.count("*").cast("double"), F.lit("mean"), F.avg("score"), F.lit("rate"), F.avg((F.col("score") >= 0.3).cast("double"))).alias("m"))
+    nested = per.groupBy("split").agg(F.map_from_entries(F.collect_list(F.struct("cell", "m"))).alias("report"))
+    return R.flattened(nested, ["split"], "report", ["cell", "name"]).select("split", "cell", "name", F.round("value", 6).alias("value"))
 
 
 @query("u29_secondary_features", f"{FR} SELECT count(*) AS frames, count(*) FILTER (g.frame IS NULL) AS missing FROM frames f LEFT JOIN (SELECT sample_id, frame FROM frames WHERE valid) g USING (sample_id, frame)")
@@ -98,15 +114,18 @@ def u29(spark, d):
     return f.join(other, ["sample_id", "frame"], "left").agg(F.count("*").alias("frames"), F.count_if(F.col("there").isNull()).alias("missing"))
 
 
-@query("u11_scene_changes", f"{FR} SELECT sample_id, count(*) AS changes FROM (SELECT sample_id, abs(value - lag(value) OVER (PARTITION BY sample_id ORDER BY frame)) AS jump FROM frames) WHERE jump > 60 GROUP BY sample_id")
+@query("u11_scene_changes", """WITH f AS (SELECT vec_id % 9 AS k, vec_id // 9 AS f, [abs(x)::DOUBLE for x in embedding] AS h FROM embeddings), s AS (SELECT k, f, [x - list_avg(h) for x in h] AS h FROM f WHERE f % 2 = 0),
+  p AS (SELECT *, lag(h) OVER (PARTITION BY k ORDER BY f) AS q FROM s) SELECT k, f, round(list_dot_product(h, q) / sqrt(list_dot_product(h, h) * list_dot_product(q, q)), 5) AS similarity FROM p WHERE q IS NOT NULL AND list_dot_product(h, q) / sqrt(list_dot_product(h, h) * list_dot_product(q, q)) < 0.05""")
 def u11(spark, d):
-    jump = F.abs(F.col("value") - F.lag("value").over(Window.partitionBy("sample_id").orderBy("frame")))
-    return frames(spark, d).withColumn("jump", jump).filter("jump > 60").groupBy("sample_id").agg(F.count("*").alias("changes"))
+    e = t(spark, d, "embeddings").select((F.col("vec_id") % 9).alias("k"), F.floor(F.col("vec_id") / 9).alias("f"), F.transform("embedding", lambda x: F.abs(x)).alias("h"))
+    return series.scene_changes(e, "k", "f", "h", 2, 0.05).select("k", "f", F.round("similarity", 5).alias("similarity"))
 
 
-@query("x6_run_states", "SELECT l_suppkey AS run, max(l_linenumber)::BIGINT AS epochs, bool_and(l_linestatus = 'F') AS complete FROM lineitem GROUP BY l_suppkey")
+@query("x6_run_states", "SELECT l_suppkey AS run, bool_and(l_linestatus = 'F') AS complete, max(l_linenumber)::BIGINT AS epochs, max(l_tax) AS best, arg_max(l_orderkey, struct_pack(a := l_linenumber, b := l_orderkey)) AS last FROM lineitem GROUP BY l_suppkey")
 def x6(spark, d):
-    return t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("run")).agg(F.max("l_linenumber").cast("long").alias("epochs"), F.bool_and(F.col("l_linestatus") == "F").alias("complete"))
+    at = F.struct("l_linenumber", "l_orderkey")
+    state = F.struct(F.bool_and(F.col("l_linestatus") == "F").alias("complete"), F.max("l_linenumber").cast("long").alias("epochs"), F.max("l_tax").alias("best"), F.max_by("l_orderkey", at).alias("last"))
+    return t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("run")).agg(state.alias("state")).select("run", "state.*")
 
 
 @query("x13_work_by_parent", f"{SC} SELECT source_clip_id, count(*) AS jobs, count(DISTINCT generator) AS generators FROM scores GROUP BY source_clip_id")

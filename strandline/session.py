@@ -30,7 +30,7 @@ def get_session(app: str = "strandline", cores: str = "*", partitions: int | Non
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on a local master alone, one of our own where that is unset."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if found:
@@ -38,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     jvm_dir = sc._jsc.sc().getCheckpointDir()
     if jvm_dir.isDefined():
         return jvm_dir.get().rstrip("/")
+    if not sc.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="strandline-checkpoint-")
     sc.setCheckpointDir(own)
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
