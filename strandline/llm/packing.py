@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import table
 from strandline.llm.tokens import piece_ids, tokenizer_path
-from strandline.session import batch_rows, discard, materialize
+from strandline.session import discard, materialize
 
 CAPACITY = 2048
 #: Pieces below 1 / TINY of the capacity go into crates where a sequence would get more than KEEP of them.
@@ -51,15 +51,20 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, pat
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = piece_ids(path)
+        known = piece_ids(path)
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = ids_of.encode(text.as_py()) + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    for column, value in zip(rows, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part))):
-                        column.append(value)
+            docs_ = batch.column(0).to_pylist()
+            for first, ids, bounds in known.encode_many(batch.column(1)):
+                bounds = bounds.tolist()
+                for doc, a, b in zip(docs_[first:], bounds, bounds[1:]):
+                    for piece, at in enumerate(range(0, b - a + 1, capacity)):
+                        length = min(capacity, b - a + 1 - at)
+                        crc = zlib.crc32(ids[a + at : min(b, a + at + length)])
+                        if at + length > b - a:
+                            crc = zlib.crc32(end, crc)
+                        for column, value in zip(rows, (doc, piece, at, length, crc)):
+                            column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
@@ -107,8 +112,7 @@ def _crates(tiny: DataFrame, width: int) -> DataFrame:
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """`pieces` (with a column length between 1 and the capacity) with sequence_id and offset."""
     spark = pieces.sparkSession
-    with batch_rows(spark, 1000):
-        pieces = materialize(pieces.withColumn("_id", F.monotonically_increasing_id()), "pieces")
+    pieces = materialize(pieces.withColumn("_id", F.monotonically_increasing_id()), "pieces")
     size = F.col("length").cast("int").alias("size")
     width = max(1, capacity // TINY)
     short = (F.col("length") < width) & (F.col("length") < capacity)

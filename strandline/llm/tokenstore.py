@@ -107,16 +107,19 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 1, tokenizer: str | N
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=[c.split()[0] for c in BLOCKS.split(", ")])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, doc_ids, ids, size, block, part = piece_ids(tokenizer), [], [], 0, 0, 0
+        known, doc_ids, ids, size, block, part = piece_ids(tokenizer), [], [], 0, 0, 0
         for batch in batches:
             part = batch.column(2)[0].as_py() if batch.num_rows else part
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                doc_ids.append(doc)
-                ids.append(ids_of.encode(text.as_py()) + end)
-                size += len(ids[-1]) // 4
-                if size >= block_tokens:
-                    yield pack(part, block, doc_ids, ids)
-                    doc_ids, ids, size, block = [], [], 0, block + 1
+            docs_ = batch.column(0).to_pylist()
+            for first, coded, bounds in known.encode_many(batch.column(1)):
+                bounds = bounds.tolist()
+                for doc, a, b in zip(docs_[first:], bounds, bounds[1:]):
+                    doc_ids.append(doc)
+                    ids.append(coded[a:b].tobytes() + end)
+                    size += b - a + 1
+                    if size >= block_tokens:
+                        yield pack(part, block, doc_ids, ids)
+                        doc_ids, ids, size, block = [], [], 0, block + 1
         if ids:
             yield pack(part, block, doc_ids, ids)
 
