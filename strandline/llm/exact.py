@@ -90,8 +90,9 @@ def drop_exact_copies(docs: DataFrame, id_col="doc_id", text_col="text") -> Data
     gone = maybe_broadcast(gone.distinct())
     kept = keyed.join(gone, same(gone), "left_anti")
     if not dropped.filter("__repeat").isEmpty():
-        once = kept.join(maybe_broadcast(repeats), same(repeats), "left_semi").dropDuplicates([id_col, "__own_digest"])
-        kept = kept.join(maybe_broadcast(repeats), same(repeats), "left_anti").unionByName(once)
+        own = F.xxhash64(F.to_json(F.struct(*names)))  # of rows that repeat id and text the same one stays in every run
+        once = kept.join(maybe_broadcast(repeats), same(repeats), "left_semi").groupBy(id_col, "__own_digest").agg(F.min_by(F.struct(*names), own).alias("__one"))
+        kept = kept.join(maybe_broadcast(repeats), same(repeats), "left_anti").select(*names).unionByName(once.select("__one.*"))
     return kept.select(*names)
 
 

@@ -393,7 +393,9 @@ def keep_one(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     repeats = judged.filter("__row = __first AND __times > 1").select("__row")
     if not repeats.isEmpty():
         repeats = maybe_broadcast(repeats)
-        kept = kept.join(repeats, "__row", "left_anti").unionByName(kept.join(repeats, "__row", "left_semi").dropDuplicates(["__row"]))
+        whole = F.xxhash64(F.to_json(F.struct(*docs.columns)))
+        once = kept.join(repeats, "__row", "left_semi").groupBy("__row").agg(F.min_by(F.struct(*docs.columns), whole).alias("__one")).select("__one.*")
+        kept = kept.join(repeats, "__row", "left_anti").select(*docs.columns).unionByName(once)
     return kept.select(*docs.columns)
 
 
