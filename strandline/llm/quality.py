@@ -2,16 +2,19 @@
 
 A document's own evidence comes from logistic models over the shape of its
 text and the presence of telling words (hashed), fitted on a bounded sample of
-labelled rows (MAX_LABELLED, by hash of the id).  All documents are scored.
-Grouped sums of the scores then give each host a posterior rate, shrunk toward
-the rate of the whole corpus, and each path of a host a rate shrunk toward its
-host's; how strongly follows from how much hosts, and paths, differ (moments).
-A document's final odds are its evidence times the odds of its path without
-the document itself, relative to the corpus.  Sparse sites thus stay near the
-corpus rate, and large ones speak for themselves.
-
-Rejected are documents with a final probability of bad quality, or a
-probability of toxic content, above THRESHOLD.
+labelled rows (MAX_LABELLED ids, by hash of the id; of rows that share an id
+the one with the least text hash).  All documents are scored, for bad quality
+and for toxic content.  For either, grouped sums of the scores then give each
+host a posterior rate, shrunk toward the rate of the whole corpus, and each
+path of a host a rate shrunk toward its host's; how strongly follows from how
+much hosts, and paths, differ (moments).  A document's final odds are its
+evidence times the odds of its path without the document itself, relative to
+the corpus.  Sparse sites thus stay near the corpus rate, and large ones speak
+for themselves.  The test tables name no host or path of a document; there
+`source` is the host and `lang` the path.
+
+Rejected are documents with a final probability of bad quality, or of toxic
+content, above THRESHOLD.
 
 Defined results: a null text counts as empty and is scored by its shape; null
 hosts and paths are groups of their own; without labels of both kinds a model
@@ -33,10 +36,10 @@ from pyspark.sql import functions as F
 from strandline.llm import words
 from strandline.llm.common import maybe_broadcast, table
 from strandline.llm.mixing import key_hash
-from strandline.session import materialize
+from strandline.session import batch_rows, materialize
 
-#: Labelled rows that the models are fitted on, at most.
-MAX_LABELLED = 20_000
+#: Labelled rows that the models are fitted on, at most; texts that go to a Python worker at once.
+MAX_LABELLED, _ROWS = 20_000, 1000
 #: Words are hashed to 2**HASH_BITS; of these at most TELLING are in a model.
 HASH_BITS, TELLING = 18, 256
 THRESHOLD = 0.5
@@ -132,8 +135,10 @@ def fit_models(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="te
     """Models of bad quality (label quality 0) and of toxic content (label toxic 1), from at most `most` labelled rows."""
     sample = labels.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
     sample = sample.groupBy("_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")).orderBy(key_hash("_id"), "_id").limit(most)
-    rows = docs.join(F.broadcast(sample), F.col(id_col) == F.col("_id")).select("quality", "toxic", F.col(text_col).alias("text"))
-    got = rows.mapInArrow(_features, "quality int, toxic int, shape array<double>, buckets array<int>").limit(2 * most).toArrow()
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).groupBy("_id", "quality", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    with batch_rows(docs.sparkSession, _ROWS):
+        got = rows.select("quality", "toxic", "text").mapInArrow(_features, "quality int, toxic int, shape array<double>, buckets array<int>").toArrow()
     if not got.num_rows:
         return Model(0.01), Model(0.01)
     shape = np.stack(got["shape"].to_numpy())
@@ -146,18 +151,19 @@ def fit_models(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="te
     return tuple(models)
 
 
-SCORED = "doc_id long, tag long, host string, path string, bad double, toxic double"
+SCORED = "doc_id long, tag long, host string, path string, bad double, ill double"
+#: What is judged: the column of its evidence (log odds), and the names of its final probability and rates.
+KINDS = (("bad", "bad", ""), ("ill", "toxic", "toxic_"))
 
 
 def _score(models):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        quality, toxic = models.value
         for batch in batches:
             for first, w in words.slices(batch.column(4), lower=True):
                 shape, buckets = describe(w)
-                bad, ill = (np.clip(m.logits(shape, buckets), -30, 30) for m in (quality, toxic))
+                odds = [pa.array(np.clip(m.logits(shape, buckets), -30, 30)) for m in models.value]
                 columns = [batch.column(i).slice(first, len(shape)) for i in range(4)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(bad), pa.array(1 / (1 + np.exp(-ill)))], names=[c.split()[0] for c in SCORED.split(", ")])
+                yield pa.RecordBatch.from_arrays([*columns, *odds], names=[c.split()[0] for c in SCORED.split(", ")])
 
     return run
 
@@ -167,9 +173,13 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def _strength(groups: DataFrame, center: str) -> float:
-    """Pseudo-count of a prior, from the spread of group rates (columns n, s) round their centers beyond chance."""
-    rate = F.col("s") / F.col("n")
+def _expit(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
+def _strength(groups: DataFrame, kind: str, center: str) -> float:
+    """Pseudo-count of a prior, from the spread of group rates (columns n, s_kind) round their centers beyond chance."""
+    rate = F.col(f"s_{kind}") / F.col("n")
     chance = F.col(center) * (1 - F.col(center))
     row = groups.agg(F.sum(F.col("n") * (rate - F.col(center)) ** 2), F.sum(chance), F.sum(F.col("n") * chance), F.count("*"), F.sum("n")).first()
     spread, noise, scaled, k, n = (float(x or 0) for x in row)
@@ -177,32 +187,43 @@ def _strength(groups: DataFrame, center: str) -> float:
     return min(1e6, max(1.0, scaled / n / between - 1)) if between > 1e-12 else 1e6
 
 
+def posteriors(scored: DataFrame) -> DataFrame:
+    """`scored` (host, path, and log odds under each of KINDS) with the shrunk rates of host and path, and the final probability, of each kind."""
+    sums = [F.sum(_expit(F.col(k))).alias(f"s_{k}") for k, *_ in KINDS]
+    paths = materialize(scored.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), *sums), "paths")
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), *[F.sum(f"s_{k}").alias(f"s_{k}") for k, *_ in KINDS])
+    total = hosts.agg(F.sum("n"), *[F.sum(f"s_{k}") for k, *_ in KINDS]).first()
+    centers = {k: min(1 - 1e-6, max(1e-6, (total[i] or 0.0) / total[0])) if total[0] else 0.5 for i, (k, *_) in enumerate(KINDS, 1)}
+    hosts = hosts.select(F.col("host").alias("h"), F.col("n").alias("host_n"), *[F.col(f"s_{k}").alias(f"host_s_{k}") for k, *_ in KINDS], *[F.lit(c).alias(f"center_{k}") for k, c in centers.items()])
+    hosts = materialize(hosts, "hosts")
+    by_host = hosts.select(F.col("host_n").alias("n"), *[F.col(f"host_s_{k}").alias(f"s_{k}") for k, *_ in KINDS], *[f"center_{k}" for k in centers])
+    strong = {k: _strength(by_host, k, f"center_{k}") for k in centers}
+    for k, c in centers.items():
+        hosts = hosts.withColumn(f"host_rate_{k}", (F.col(f"host_s_{k}") + strong[k] * c) / (F.col("host_n") + strong[k]))
+    sites = materialize(paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h"), "sites")
+    firm = {k: _strength(sites, k, f"host_rate_{k}") for k in centers}
+    own = [c for c in sites.columns if c not in ("host", "path")]
+    sites = maybe_broadcast(sites.select(F.col("host").alias("h"), F.col("path").alias("q"), *own))
+    out = scored.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")))
+    for k, name, prefix in KINDS:
+        p, c = _expit(F.col(k)), F.lit(centers[k])
+        others = (F.col(f"host_s_{k}") - p + strong[k] * c) / (F.col("host_n") - 1 + strong[k])
+        rate = (F.col(f"s_{k}") - p + firm[k] * others) / (F.col("n") - 1 + firm[k])
+        out = out.withColumns({f"{prefix}host_rate": F.col(f"host_rate_{k}"), f"{prefix}path_rate": rate, f"_final_{name}": _expit(F.col(k) + _logit(rate) - _logit(c))})
+    rates = [f"{prefix}{x}_rate" for _, _, prefix in KINDS for x in ("host", "path")]
+    return out.select(*[c for c in scored.columns if c not in centers], *[F.col(k).alias(f"{prefix}evidence") for k, _, prefix in KINDS], *rates, *[F.col(f"_final_{name}").alias(name) for _, name, _ in KINDS])
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", host: Column | None = None, path: Column | None = None) -> DataFrame:
-    """One row per input row: doc_id, tag, evidence, host_rate, path_rate, bad (final probability), toxic, keep."""
+    """One row per input row: doc_id, tag, host, path, evidence (log odds) and shrunk rates, bad and toxic (final probabilities), keep."""
     spark = docs.sparkSession
     models = spark.sparkContext.broadcast(fit_models(docs, labels, id_col, text_col))
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tag"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col(text_col).alias("text"))
-    scored = materialize(rows.mapInArrow(_score(models), SCORED), "scored")
-    p = 1 / (1 + F.exp(-F.col("bad")))
-    paths = materialize(scored.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum(p).alias("s")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    total = hosts.agg(F.sum("n"), F.sum("s")).first()
-    center = min(1 - 1e-6, max(1e-6, (total[1] or 0.0) / total[0])) if total[0] else 0.5
-    hosts = hosts.withColumn("center", F.lit(center))
-    host_strength = _strength(hosts, "center")
-    hosts = materialize(hosts.select(F.col("host").alias("h"), F.col("n").alias("host_n"), F.col("s").alias("host_s"), ((F.col("s") + host_strength * center) / (F.col("n") + host_strength)).alias("host_rate")), "hosts")
-    sites = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h")
-    path_strength = _strength(sites, "host_rate")
-    sites = sites.select(F.col("host").alias("h"), F.col("path").alias("q"), "n", "s", "host_n", "host_s", "host_rate")
-    sites = maybe_broadcast(materialize(sites, "sites"))
-    out = scored.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")))
-    others_host = (F.col("host_s") - p + host_strength * center) / (F.col("host_n") - 1 + host_strength)
-    path_rate = (F.col("s") - p + path_strength * others_host) / (F.col("n") - 1 + path_strength)
-    final = 1 / (1 + F.exp(-(F.col("bad") + _logit(path_rate) - _logit(F.lit(center)))))
-    out = out.select("doc_id", "tag", F.col("bad").alias("evidence"), "host_rate", path_rate.alias("path_rate"), final.alias("bad"), "toxic")
-    return out.withColumn("keep", (F.col("bad") <= THRESHOLD) & (F.col("toxic") <= THRESHOLD))
+    with batch_rows(spark, _ROWS):
+        scored = materialize(rows.mapInArrow(_score(models), SCORED), "scored")
+    return posteriors(scored).withColumn("keep", (F.col("bad") <= THRESHOLD) & (F.col("toxic") <= THRESHOLD))
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
@@ -214,4 +235,4 @@ def drop_rejected(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col=
 
 def op9_quality(spark, sf_dir):
     out = score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "evidence", "host_rate", "path_rate", "bad", "toxic", "keep")
+    return out.select("doc_id", "evidence", "host_rate", "path_rate", "bad", "toxic_evidence", "toxic_host_rate", "toxic_path_rate", "toxic", "keep")

@@ -312,6 +312,30 @@ def test_sharding(docs, spark):
         sharding.fill_table(names, 10_000)
 
 
+def test_sharding_by_an_independent_hash(docs, empty, spark):
+    import xxhash
+
+    rows, df = docs
+    slots, names = 101, ["a", "b", "c"]
+    orders = []
+    for n in names:
+        digest = hashlib.sha256(n.encode()).digest()
+        start, step = int.from_bytes(digest[:8], "little") % slots, int.from_bytes(digest[8:16], "little") % (slots - 1) + 1
+        orders.append([(start + i * step) % slots for i in range(slots)])
+    owner, turn = {}, 0
+    while len(owner) < slots:
+        owner[next(x for x in orders[turn % 3] if x not in owner)] = turn % 3
+        turn += 1
+    assert sharding.fill_table(names, slots) == [owner[i] for i in range(slots)]
+    out = sharding.assign_shards(df, names=names, slots=slots)
+    assert len(out.columns) == len(set(out.columns)) == len(df.columns) + 1 and out.count() == len(rows)
+    for r in out.select("doc_id", "slot", "shard").collect():
+        key = 42 if r["doc_id"] is None else xxhash.xxh64_intdigest(r["doc_id"].to_bytes(8, "little", signed=True), 42)
+        key -= (key >> 63) << 64
+        assert r["slot"] == key % slots and r["shard"] == owner[r["slot"]]
+    assert sharding.assign_shards(empty).count() == 0
+
+
 def test_counts(docs, empty):
     from sentencepiece import SentencePieceProcessor
 
@@ -447,29 +471,154 @@ def test_quality(spark, empty):
     assert quality.score_documents(empty, known).count() == 0
 
 
-def test_site_rates_shrink(spark):
-    """A host with one document stays near the corpus rate; a large one speaks for itself."""
-    rows, labels = quality_rows(400)
-    rows = [(i, t, "big" if i % 2 else f"tiny{i}", l) for i, t, _, l in rows]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
-    out = quality.score_documents(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
-    rates = [r["host_rate"] for r in out]
-    assert 0 < min(rates) and max(rates) < 1
+def brute_posteriors(rows):
+    """Rates and final probabilities of rows (host, path, log odds), recomputed one by one."""
+    p = [1 / (1 + np.exp(-x)) for *_, x in rows]
+    center = sum(p) / len(p)
+
+    def strength(groups):  # (n, sum, center) of each
+        n = sum(g[0] for g in groups)
+        between = sum(g[0] * (g[1] / g[0] - g[2]) ** 2 for g in groups) - sum(g[2] * (1 - g[2]) for g in groups)
+        if len(groups) < 2 or between / n <= 1e-12:
+            return 1e6
+        return min(1e6, max(1.0, sum(g[0] * g[2] * (1 - g[2]) for g in groups) / between - 1))
+
+    def sums(keys):
+        out = {}
+        for k, x in zip(keys, p):
+            n, s = out.get(k, (0, 0.0))
+            out[k] = (n + 1, s + x)
+        return out
+
+    hosts, paths = sums([h for h, *_ in rows]), sums([(h, q) for h, q, _ in rows])
+    strong = strength([(n, s, center) for n, s in hosts.values()])
+    rate = {h: (s + strong * center) / (n + strong) for h, (n, s) in hosts.items()}
+    firm = strength([(n, s, rate[h]) for (h, _), (n, s) in paths.items()])
+    logit = lambda x: np.log(x / (1 - x))
+    out = []
+    for (h, q, x), own in zip(rows, p):
+        others = (hosts[h][1] - own + strong * center) / (hosts[h][0] - 1 + strong)
+        path = (paths[h, q][1] - own + firm * others) / (paths[h, q][0] - 1 + firm)
+        out.append((rate[h], path, 1 / (1 + np.exp(-(x + logit(path) - logit(center))))))
+    return center, out
 
 
-def test_pipeline(spark, small_data):
+def test_posteriors_by_brute_force(spark):
+    """Rates shrink toward the host's and the corpus's; a host with one document stays near the corpus rate, a large one speaks for itself."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(400):
+        host = "bad" if i % 4 == 0 else "good" if i % 4 == 1 else None if i % 4 == 2 else f"tiny{i}"
+        shift = {"bad": 3.0, "good": -3.0}.get(host, -1.0)
+        rows.append((i, host, rng.choice(["x", "y", None]), rng.gauss(shift, 1), rng.gauss(-4, 1)))
+    df = spark.createDataFrame(rows, "doc_id long, host string, path string, bad double, ill double")
+    got = {r["doc_id"]: r for r in quality.posteriors(df).collect()}
+    assert len(got) == 400
+    for kind, names in ((3, ("host_rate", "path_rate", "bad")), (4, ("toxic_host_rate", "toxic_path_rate", "toxic"))):
+        center, want = brute_posteriors([(r[1], r[2], r[kind]) for r in rows])
+        for row, values in zip(rows, want):
+            assert [got[row[0]][n] for n in names] == pytest.approx(list(values), rel=1e-6), (row, names)
+        if kind == 3:
+            own = np.mean([1 / (1 + np.exp(-r[3])) for r in rows if r[1] == "bad"])
+            assert all(abs(got[r[0]]["host_rate"] - own) < 0.05 for r in rows if r[1] == "bad")
+            lone = [r for r in rows if r[1] and r[1].startswith("tiny")]
+            assert all(abs(got[r[0]]["host_rate"] - center) < abs(1 / (1 + np.exp(-r[3])) - center) + 1e-9 for r in lone)
+
+
+def test_quality_with_clashing_names_and_repeats(spark):
+    rows, labels = quality_rows(300)
+    schema = "doc_id long, text string, source string, lang string, quality int, toxic int, bad double, host string, path string, h string, n int, tag int, _id int"
+    wide = [(*r, 1, 2, 3.0, "h", "p", "q", 4, 5, 6) for r in rows] + [(0, rows[1][1], "s", "en", 1, 2, 3.0, "h", "p", "q", 4, 5, 6)] * 30
+    df, known = spark.createDataFrame(wide, schema), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    first, second = ({(r["doc_id"], r["tag"]): r["bad"] for r in quality.score_documents(df.repartition(k), known).collect()} for k in (2, 5))
+    assert first.keys() == second.keys() and all(first[k] == pytest.approx(second[k]) for k in first)
+    left = quality.drop_rejected(df, known)
+    assert left.columns == df.columns and 0 < left.count() < len(wide)
+
+
+def brute_mix(rows):
+    """(row index, copies) of rows (id, source, text) by sorting each source by hash."""
+    size = [len(WORD.findall(t or "")) for _, _, t in rows]
+    names = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(n for (_, x, _), n in zip(rows, size) if x == s) for s in names}
+    weight, capped = {s: (5.0, 2.0, 1.0)[i % 3] for i, s in enumerate(names)}, set()
+    while True:
+        free = [s for s in names if s not in capped]
+        rest = sum(total.values()) - sum(3 * total[s] for s in capped)
+        level = rest / sum(weight[s] for s in free) if free else 0.0
+        more = {s for s in free if weight[s] * level > 3 * total[s]}
+        if not more:
+            break
+        capped |= more
+    target = {s: 3.0 * total[s] if s in capped else weight[s] * level for s in names}
+    hashed = lambda d: int(hashlib.sha256(("" if d is None else str(d)).encode()).hexdigest()[:15], 16)
+    copies = {}
+    for s in names:
+        whole = int(target[s] // total[s]) if total[s] else 0
+        budget, below = target[s] - whole * total[s], 0
+        groups = {}
+        for i, (d, x, _) in enumerate(rows):
+            if x == s:
+                groups.setdefault(hashed(d), []).append(i)
+        for h in sorted(groups):
+            mass = sum(size[i] for i in groups[h])
+            extra = below <= budget and (below + mass <= budget or below + mass - budget < budget - below)
+            for i in groups[h]:
+                copies[i] = whole + int(extra and size[i] > 0 and mass > 0)
+            below += mass
+    return copies
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """run() on a fixture with nulls, empty texts, repeats and extra columns, each stage against brute force on what the one before kept."""
     import corpus_pipeline
 
-    docs = common.table(spark, small_data, "documents")
+    rows, labels = quality_rows(250)
+    body = corpus(5, 40)
+    rows = [(i, t, s, l) for i, t, s, l in rows] + [(500 + i, t, s, l) for i, (_, t, s, l, *_) in enumerate(body)]
+    rows += [(rows[3][0], rows[3][1], "host1", "en"), (None, rows[4][1], "host1", None), (None, None, None, "en"), (900, rows[5][1].upper(), "host2", "en"), (901, rows[6][1] + " tail", "host2", "en")]
+    rows = [(*r, 1, "x") for r in rows]
+    schema = "doc_id long, text string, source string, lang string, quality int, sequence_id string"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, stages = common.table(spark, str(tmp_path), "documents"), []
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = docs.columns
-        docs = stage(spark, docs, small_data)
-        assert docs.columns == before, name
-        docs = spark.createDataFrame(docs.collect(), docs.schema)
-        if name == "exact dedup":
-            texts = [(r["text"] or "").translate(LOWER) for r in docs.collect()]
-            assert len(set(texts)) == len(texts)
-        if name == "near-duplicate join":
-            found = brute_components([tuple(r) for r in docs.select("doc_id", "text").collect()])
-            assert all(d == c for d, _, c in found)
-    assert corpus_pipeline.run(spark, small_data).agg(F.max("length")).first()[0] <= 2048
+        had = [tuple(r) for r in docs.collect()]
+        after = stage(spark, docs, str(tmp_path))
+        assert after.columns == docs.columns, name
+        docs = spark.createDataFrame(after.collect(), docs.schema)
+        stages.append((name, had, [tuple(r) for r in docs.collect()]))
+    by = {name: (had, left) for name, had, left in stages}
+    had, left = by["quality classifier"]
+    verdict = {(r["doc_id"], r["tag"]): r["keep"] for r in quality.score_documents(common.table(spark, str(tmp_path), "documents"), common.table(spark, str(tmp_path), "labels")).collect()}
+    tags = {(r["doc_id"], r["text"]): r["t"] for r in common.table(spark, str(tmp_path), "documents").select("doc_id", "text", F.xxhash64("text").alias("t")).collect()}
+    assert sorted(left, key=str) == sorted((r for r in had if verdict[r[0], tags[r[0], r[1]]]), key=str) and len(left) < len(had)
+    had, left = by["exact dedup"]
+    groups = {}
+    for r in had:
+        groups.setdefault((r[1] or "").translate(LOWER), []).append(r)
+    want = sorted((max((-1 if r[0] is None else r[0] for r in g)), t) for t, g in groups.items())
+    assert sorted((-1 if r[0] is None else r[0], (r[1] or "").translate(LOWER)) for r in left) == want
+    had, left = by["near-duplicate join"]
+    kept = sorted({c for _, n, c in brute_components(had) if n and c is not None})
+    assert sorted(r[0] for r in left if WORD.findall(r[1] or "") and r[0] is not None) == kept
+    had, left = by["mixing sources"]
+    want = sorted(str(had[i]) for i, k in brute_mix([(r[0], r[2], r[1]) for r in had]).items() for _ in range(k))
+    assert sorted(map(str, left)) == want
+    last = [tuple(r) for r in left]
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    pieces = sorted((str(d), i // 2048, min(2048, len(ids) - i), zlib.crc32(np.array(ids[i : i + 2048], "<u4").tobytes())) for d, t, *_ in last for ids in [encode(t) + [0]] for i in range(0, len(ids), 2048))
+    assert sorted((str(r["doc_id"]), r["piece"], r["length"], r["ids_crc32"]) for r in packed) == pieces
+    room = {}
+    for r in sorted(packed, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == room.get(r["sequence_id"], 0)
+        room[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(room.values()) <= 2048 and len(room) <= 1.1 * -(-sum(p[2] for p in pieces) // 2048) + 2
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
