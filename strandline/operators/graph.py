@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.session import discard, materialize
@@ -56,6 +56,27 @@ def identity_edges(df: DataFrame, key: str, identities: dict) -> DataFrame:
     return df.select(own.alias("src"), F.explode(F.array_compact(nodes)).alias("dst"))
 
 
+#: Identities within a data set and across all: kind -> columns that hold one, or a list of them.
+SCOPED = {"source": ("source_id", "parent_ids"), "speaker": ("speaker_id", "speaker_ids"), "locked_group": ("group_id",)}
+GLOBAL = {"media_sha256": ("sha256",), "source_sha256": ("source_sha256",), "duplicate": ("duplicate_group_id",), "speaker": ("global_speaker_ids",)}
+
+
+def identity_nodes(df: DataFrame, dataset: str = "dataset") -> Column:
+    """The distinct typed identities (scope, kind, id) of a row, of those columns that the table has; columns named _ids hold lists."""
+
+    def typed(ids: Column, scope: Column, kind: str) -> Column:
+        return F.transform(ids, lambda x: F.struct(scope.alias("scope"), F.lit(kind).alias("kind"), x.alias("id")))
+
+    lists = []
+    for scope, kinds in ((F.coalesce(F.col(dataset).cast("string"), F.lit("")) if dataset in df.columns else F.lit(""), SCOPED), (F.lit("global"), GLOBAL)):
+        for kind, columns in kinds.items():
+            for c in (c for c in columns if c in df.columns):
+                value = F.col(c).cast("string")
+                ids = identity_list(value) if c.endswith("_ids") else F.array_compact(F.array(F.when(value != "", value)))
+                lists.append(typed(ids, scope, kind))
+    return F.array_distinct(F.concat(*lists))
+
+
 def identity_groups(df: DataFrame, key: str, identities: dict) -> DataFrame:
     """Rows that share an identity, directly or through others, form a group: key, group_id (the smallest key in it)."""
     found = connected_components(identity_edges(df, key, identities))

@@ -139,3 +139,11 @@ def word_spans(df: DataFrame, key: str, at: str, a: str, b: str, low: float, hig
 def frame_targets(df: DataFrame, key: str, kinds: list[str], duration: str, fps: int = 25) -> DataFrame:
     """key, cell (frame), and for each kind of spans the covered share of the frame, -1 where its spans are unknown."""
     return cell_targets(df, key, kinds, duration, 1 / fps)
+
+
+def on_cells(df: DataFrame, key: str, a: str, b: str, step: float) -> DataFrame:
+    """key, cell, covered: each interval (not empty) on the cells of a grid that it meets, and how much of each it covers."""
+    cells = F.sequence(F.floor(F.col(a) / step), F.ceil(F.col(b) / step) - 1)
+    out = df.filter(F.col(b) > F.col(a)).select(key, a, b, F.explode(cells).alias("cell"))
+    covered = F.least(F.col(b), (F.col("cell") + 1) * step) - F.greatest(F.col(a), F.col("cell") * step)
+    return out.select(key, F.col("cell").cast("long").alias("cell"), covered.alias("covered"))

@@ -86,7 +86,7 @@ def curve(df: DataFrame, by: list[str] = (), label: str = "label", score: str =
     by = list(by)
     table = running(by_score(df, by, label, score), by, "score", {"tp": "pos", "fp": "neg"}, descending=True)
     totals = table.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return table.join(F.broadcast(totals), by) if by else table.crossJoin(F.broadcast(totals))
+    return table.join(totals, by) if by else table.crossJoin(F.broadcast(totals))  # one row
 
 
 def average_precision(df: DataFrame, by: list[str] = (), label: str = "label", score: str = "score") -> DataFrame:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.scalars import edited_words
 from strandline.operators.ranking import numbered
 
 
@@ -164,3 +165,16 @@ def take_spread(df: DataFrame, group: str, key: str, start: str, end: str, lengt
         return pd.DataFrame([(name[0], w[2], i, ok) for i, (w, ok) in enumerate(tried)], columns=[group, key, "nth", "taken"])
 
     return df.select(group, key, start, end, length, good).groupBy(group).applyInPandas(run, f"{group} long, {key} long, nth long, taken boolean")
+
+
+def chosen_phrase(df: DataFrame, group: list[str], phrase: str, place: str, swaps: dict[str, str], numbers: list[str], fillers: list[str], seed: int) -> DataFrame:
+    """Of each group's phrases, in a seeded order by `place`, the first that can be edited, with text and kind; if none can, the first, one drawn word of which gives way to a filler."""
+    edit = edited_words(F.col(phrase), swaps, numbers, F.concat(F.lit(f"{seed}:"), place))
+    ranked = df.withColumn("_e", edit).withColumn("_no", F.col("_e.kind").isNull())
+    one = first_of_each(ranked, group, ["_no", seeded(seed, place)])
+    drawn = stable_int(F.concat(F.lit(f"{seed}/"), place))
+    words = F.split(phrase, " ")
+    at = F.pmod(drawn, F.size(words)).cast("int")
+    other = F.array_except(F.array(*[F.lit(f) for f in fillers]), F.array(F.get(words, at)))
+    filled = F.array_join(F.transform(words, lambda w, i: F.when(i == at, F.get(other, F.pmod(drawn, F.greatest(F.size(other), F.lit(1))).cast("int"))).otherwise(w)), " ")
+    return one.withColumns({"text": F.coalesce("_e.text", filled), "kind": F.coalesce("_e.kind", F.lit("replace"))}).drop("_e", "_no")

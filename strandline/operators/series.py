@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,19 +43,43 @@ def fill_gaps(df: DataFrame, key: str, frame: str, value: str, name: str = "fill
     return df.withColumn(name, F.coalesce(line, "_v0", "_v1")).drop("_v0", "_f0", "_v1", "_f1")
 
 
+def surroundings(values: np.ndarray, half: int, skip: int, shift: int = 0) -> np.ndarray:
+    """For each place the values within `half` places, without the one `shift` places on and `skip` each side of it; NaN where there is none."""
+    padded = np.concatenate((np.full(half, np.nan), values, np.full(half, np.nan)))
+    out = np.lib.stride_tricks.sliding_window_view(padded, 2 * half + 1).copy()
+    out[:, max(0, half + shift - skip) : half + shift + skip + 1] = np.nan
+    return out
+
+
+def median_of(rows: np.ndarray, empty: float = np.nan) -> np.ndarray:
+    """Median of each row's known values."""
+    known, n = np.sort(rows, axis=1), np.count_nonzero(~np.isnan(rows), axis=1)  # NaN comes last
+    at, i = np.maximum(n, 1), np.arange(len(rows))
+    return np.where(n > 0, (known[i, (at - 1) // 2] + known[i, at // 2]) / 2, empty)
+
+
+def robust_distance(values: np.ndarray, half: int = 25, skip: int = 1, shift: int = 0, least: int = 5, floor: float = 1e-4) -> np.ndarray:
+    """Distance of the value `shift` places on from the median of a place's surroundings in robust deviations; 0 with fewer than `least` known ones."""
+    near = surroundings(values, half, skip, shift)
+    values = np.concatenate((np.full(max(0, -shift), np.nan), values[max(0, shift) : len(values) + min(0, shift)], np.full(max(0, shift), np.nan)))
+    middle = median_of(near)
+    scale = np.fmax(floor, 1.4826 * median_of(np.abs(near - middle[:, None])))
+    return np.where(np.count_nonzero(~np.isnan(near), axis=1) >= least, (values - middle) / scale, 0.0)
+
+
 def robust_z(df: DataFrame, key: str, frame: str, value: str, half: int = 25, skip: int = 1, name: str = "z") -> DataFrame:
-    """Distance from the median of the surrounding frames (without the centre and `skip` each side) in robust deviations.
+    """key, frame, and the distance from the median of the surrounding frames (without the centre and `skip` each side) in robust deviations.
 
-    1.4826 times the median absolute deviation, at least 1e-4; 0 with fewer than 5 values.
+    1.4826 times the median absolute deviation, at least 1e-4; 0 with fewer
+    than 5 known values.  A sample's series is a unit of work.
     """
-    w = order(key, frame)
-    left, right = F.collect_list(value).over(w.rowsBetween(-half, -skip - 1)), F.collect_list(value).over(w.rowsBetween(skip + 1, half))
-    df = df.withColumn("_near", F.concat(left, right))
-    middle = lambda a: F.when(F.size(a) % 2 == 1, F.element_at(a, ((F.size(a) + 1) / 2).cast("int"))).otherwise((F.element_at(a, (F.size(a) / 2).cast("int")) + F.element_at(a, (F.size(a) / 2 + 1).cast("int"))) / 2)
-    df = df.withColumn("_sorted", F.array_sort("_near")).withColumn("_mid", F.when(F.size("_sorted") >= 5, middle(F.col("_sorted"))))
-    df = df.withColumn("_off", F.array_sort(F.transform("_near", lambda x: F.abs(x - F.col("_mid")))))
-    scale = F.greatest(F.lit(1e-4), 1.4826 * F.when(F.size("_off") >= 5, middle(F.col("_off"))))
-    return df.withColumn(name, F.when(F.size("_near") >= 5, (F.col(value) - F.col("_mid")) / scale).otherwise(F.lit(0.0))).drop("_near", "_sorted", "_mid", "_off")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(frame)
+        return pd.DataFrame({key: rows[key], frame: rows[frame], name: robust_distance(rows[value].to_numpy(float), half, skip)})
+
+    kinds = dict(df.dtypes)
+    return df.select(key, frame, F.col(value).cast("double").alias(value)).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {frame} {kinds[frame]}, {name} double")
 
 
 def refractory(df: DataFrame, key: str, frame: str, hit: Column, pause: int) -> DataFrame:
@@ -170,3 +196,13 @@ def replaced(df: DataFrame, segments: DataFrame, key: str, frame: str, value: st
     out = df.join(segments.select(key, "a", "b", "donor"), key, "left").join(donors, ["donor", frame], "left")
     here = F.col(frame).between(F.col("a"), F.col("b")) & F.col("_v").isNotNull()
     return out.withColumns({"replaced": F.coalesce(here, F.lit(False)), value: F.when(here, F.col("_v")).otherwise(F.col(value))}).drop("a", "b", "donor", "_v")
+
+
+def loudness(df: DataFrame, key: str, at: str, value: str, size: int, below: float = 40.0, floor: float = 1e-6) -> DataFrame:
+    """key, frame, rms and db of each frame of `size` places, and kept: from the first to the last frame above the loudest minus `below`."""
+    f = df.groupBy(key, F.floor(F.col(at) / size).alias("frame")).agg(F.sqrt(F.avg(F.col(value) * F.col(value))).alias("rms"))
+    f = f.withColumn("db", 20 * F.log10(F.greatest("rms", F.lit(floor))))
+    top = f.groupBy(key).agg(F.max("db").alias("_top"))
+    loud = F.when(F.col("db") > F.col("_top") - below, F.col("frame"))
+    ends = f.join(top, key).groupBy(key).agg(F.min(loud).alias("_a"), F.max(loud).alias("_b"))
+    return f.join(ends, key).withColumn("kept", F.col("frame").between(F.col("_a"), F.col("_b"))).drop("_a", "_b")

@@ -6,10 +6,14 @@ A sample's series is a unit of work; samples run in parallel.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strandline.operators.series import median_of, robust_distance, surroundings
 
 _EPS = 1e-6
 
@@ -124,6 +128,119 @@ def overlapped(values: np.ndarray, size: int, step: int, f: Callable) -> np.ndar
     return total / np.maximum(weight, 1e-12)
 
 
+def best_span(level: np.ndarray, below: float, least: int, target: float, room: int) -> tuple[int, int] | None:
+    """(begin, end) of the stretch of sound nearest to `target` frames, the longer and then the earlier of equal ones, of at most `room`; or None.
+
+    It begins after a pause or at the start, and ends before a pause.  A pause
+    is a run of at least `least` frames (fewer at either end of the series)
+    that are not above the loudest minus `below`.
+    """
+    n = len(level)
+    if not n:
+        return None
+    loud = level > level.max() - below
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], ~loud, [False])).astype(np.int8))).reshape(-1, 2)
+    pauses = edges[(edges[:, 1] - edges[:, 0] >= least) | (edges[:, 0] == 0) | (edges[:, 1] == n)]
+    begins = np.concatenate(([0] if loud[0] else [], pauses[pauses[:, 1] < n, 1])).astype(np.int64)
+    ends = pauses[pauses[:, 0] > 0, 0]
+    best = None
+    for o in begins.tolist():  # the nearest end on either side of the target decides, so no pairs are made
+        last = int(np.searchsorted(ends, o + room, side="right"))
+        at = int(np.searchsorted(ends, o + target))
+        for i in (min(at, last - 1), min(at, last) - 1):
+            if 0 <= i < last and ends[i] > o:
+                here = (abs(int(ends[i]) - o - target), o - int(ends[i]), o)
+                best = min(best or here, here)
+    return None if best is None else (best[2], best[2] - best[1])
+
+
+def best_spans(df: DataFrame, key: str, frame: str, level: str, below: float, least: int, target: float, room: int) -> DataFrame:
+    """key, onset, stop of each sample that has such a stretch."""
+
+    def find(values: np.ndarray) -> list[tuple]:
+        found = best_span(values.astype(float), below, least, target, room)
+        return [] if found is None else [found]
+
+    return per_sample(df, key, frame, [level], find, "onset long, stop long")
+
+
+def mel_energies(samples: np.ndarray, rate: int = 16_000, width: int = 400, step: int = 160, size: int = 512, bands: int = 80, low: float = 20.0) -> np.ndarray:
+    """Log energies of each frame in bands even on the mel scale (1127 ln(1 + f / 700)); the mean is taken off, high tones are raised, and the window is Hamming's.  Too short a sound has no frames."""
+    if len(samples) < width:
+        return np.empty((0, bands))
+    mel = lambda f: 1127.0 * np.log1p(np.asarray(f, float) / 700.0)
+    edges = np.linspace(mel(low), mel(rate / 2), bands + 2)
+    place = mel(np.arange(size // 2 + 1) * rate / size)
+    rise = (place - edges[:-2, None]) / (edges[1:-1] - edges[:-2])[:, None]
+    fall = (edges[2:, None] - place) / (edges[2:] - edges[1:-1])[:, None]
+    banks = np.clip(np.minimum(rise, fall), 0.0, None)
+    banks[:, -1] = 0.0
+    x = np.lib.stride_tricks.sliding_window_view(np.asarray(samples, float) * 32768.0, width)[::step]
+    x = x - x.mean(axis=1, keepdims=True)
+    x = x - 0.97 * np.concatenate((x[:, :1], x[:, :-1]), axis=1)
+    power = np.abs(np.fft.rfft(x * np.hamming(width), n=size, axis=1)) ** 2
+    return np.log(np.maximum(power @ banks.T, np.finfo(np.float32).eps))
+
+
+def mel_bands(df: DataFrame, key: str, samples: str) -> DataFrame:
+    """key, frame, energies of each sound (a row with its samples)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, body in zip(batch[key], batch[samples]):
+                rows = mel_energies(np.asarray(body, float))
+                yield pd.DataFrame({key: name, "frame": np.arange(len(rows)), "energies": list(rows)})
+
+    return df.select(F.col(key).cast("long").alias(key), samples).mapInPandas(run, f"{key} long, frame long, energies array<double>")
+
+
+@dataclass(frozen=True)
+class JumpRules:
+    """Thresholds of the jump detector (fixed values, in eye distances, multiples of the background, and robust deviations)."""
+
+    context: int = 25
+    least: float = 0.06
+    ratio: float = 6.0
+    calm: float = 3.0
+    appearance: float = 6.0
+    audio: float = 5.0
+    pause: int = 3
+
+
+def jumps(motion: np.ndarray, appearance: np.ndarray, audio: np.ndarray | None = None, rules: JumpRules = JumpRules()) -> list[tuple[int, str]]:
+    """(frame, level) of cuts inside a series of changes from frame to frame; the first frame has no change and counts nowhere.
+
+    A spike of motion stands `ratio` times above its background (the context
+    without two frames each side) and by calm frames.  With a jump in
+    appearance or sound (of this frame or one beside it) it is confident;
+    alone, or where both jump without it, suspect.  Within `pause` frames of a
+    mark no other is made.
+    """
+    n = len(motion)
+    if n < 2:
+        return []
+    known = lambda x: np.concatenate(([np.nan], np.asarray(x, float)[1:n]))
+    m = known(motion)
+    base = np.fmax(median_of(surroundings(m, rules.context, 2), 0.0), rules.least / rules.ratio)
+    beside = np.nan_to_num(surroundings(m, 2, 0), nan=-np.inf).max(axis=1)
+    spike = (m >= np.maximum(rules.least, rules.ratio * base)) & (beside <= rules.calm * base)
+    seen = robust_distance(known(appearance), rules.context) >= rules.appearance
+    heard = np.zeros(n, bool)
+    if audio is not None and len(audio):
+        heard = np.fmax.reduce([robust_distance(known(audio), rules.context, shift=d) for d in (-1, 0, 1)]) >= rules.audio
+    confident, suspect, out = spike & (seen | heard), spike | (seen & heard), []
+    for t in np.flatnonzero(suspect[1:]).tolist():
+        if not out or t + 1 - out[-1][0] > rules.pause:
+            out.append((t + 1, "confident" if confident[t + 1] else "suspect"))
+    return out
+
+
+def jump_marks(df: DataFrame, key: str, frame: str, motion: str, appearance: str, audio: str | None = None, rules: JumpRules = JumpRules()) -> DataFrame:
+    """key, jump (place in the series), level of each sample."""
+    columns = [motion, appearance] + ([audio] if audio else [])
+    return per_sample(df, key, frame, columns, lambda *x: jumps(*x, rules=rules), "jump long, level string")
+
+
 def deletion_trials(df: DataFrame, key: str, frame: str, value: str, detect: Callable, trials: int = 40, seed: int = 0, fps: int = 25, seconds: tuple[float, float] = (4.0, 7.0), gaps: tuple[float, float] = (0.2, 3.0), near: float = 0.12) -> DataFrame:
     """Try a jump detector on each series: half of the trials leave a stretch whole, half delete one inside it.
 

@@ -27,29 +27,47 @@ def centroids(df: DataFrame, key: str, vector: str) -> DataFrame:
     return out.select(key, total.alias("total"), "n", normalized(total).alias("centroid"))
 
 
-def match(df: DataFrame, key: str, vector: str, registry: DataFrame, owner: str, centroid: str, high: float, low: float, margin: float, most: int = 10_000) -> DataFrame:
+#: Owners of a registry that are broadcast at once; larger registries come block by block.
+OWNERS = 10_000
+
+
+def blocks(registry: DataFrame, owner: str, centroid: str, most: int) -> list[DataFrame]:
+    """The registry (columns _owner, _c) in parts of about `most` owners by hash, each to be broadcast; one part if it is no larger."""
+    r = registry.select(F.col(owner).alias("_owner"), F.col(centroid).alias("_c"))
+    parts = -(-r.count() // most) or 1
+    if parts == 1:
+        return [r]
+    return [r.filter(F.pmod(F.xxhash64("_owner"), F.lit(parts)) == i) for i in range(parts)]
+
+
+def match(df: DataFrame, key: str, vector: str, registry: DataFrame, owner: str, centroid: str, high: float, low: float, margin: float, most: int = OWNERS) -> DataFrame:
     """Best and second owner of each vector by cosine, and a decision.
 
     matched: at least `high` and `margin` above the second; suggested: at least
-    `low`; else new.  The registry is broadcast where it has at most `most`
-    owners; a larger one is shuffled.
+    `low`; else new.  Vectors stay where they are; each block of the registry
+    comes to them, and the best two of every block meet at the end.
     """
     unit = df.select(key, normalized(F.col(vector)).alias("_u"))
-    r = registry.select(F.col(owner).alias("_owner"), F.col(centroid).alias("_c"))
-    r = F.broadcast(r) if r.limit(most + 1).count() <= most else r
-    pairs = unit.join(r, F.size("_u") == F.size("_c")).select(key, "_owner", F.round(dot(F.col("_u"), F.col("_c")), 9).alias("sim"))
-    ranked = pairs.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("sim"), "_owner"))).filter("_r <= 2")
+    nearest, near = Window.partitionBy(key).orderBy(F.desc("sim"), "_owner"), None
+    for part in blocks(registry, owner, centroid, most):
+        pairs = unit.join(F.broadcast(part), F.size("_u") == F.size("_c")).select(key, "_owner", F.round(dot(F.col("_u"), F.col("_c")), 9).alias("sim"))
+        pairs = pairs.withColumn("_r", F.row_number().over(nearest)).filter("_r <= 2").drop("_r")
+        near = pairs if near is None else near.unionByName(pairs)
+    ranked = near.withColumn("_r", F.row_number().over(nearest)).filter("_r <= 2")
     best = ranked.groupBy(key).agg(F.max(F.when(F.col("_r") == 1, F.col("_owner"))).alias("owner"), F.max(F.when(F.col("_r") == 1, F.col("sim"))).alias("sim"), F.max(F.when(F.col("_r") == 2, F.col("sim"))).alias("second"))
     sure = (F.col("sim") >= high) & (F.col("sim") - F.coalesce("second", F.lit(-1.0)) >= margin)
     return best.withColumn("decision", F.when(sure, "matched").when(F.col("sim") >= low, "suggested").otherwise("new"))
 
 
-def same_and_other(df: DataFrame, key: str, vector: str, owner: str, registry: DataFrame, centroid: str) -> DataFrame:
+def same_and_other(df: DataFrame, key: str, vector: str, owner: str, registry: DataFrame, centroid: str, most: int = OWNERS) -> DataFrame:
     """Cosine of each vector with its own centroid, and the best with any other."""
-    unit = df.select(key, F.col(owner).alias("_own"), normalized(F.col(vector)).alias("_u"))
-    pairs = unit.join(F.broadcast(registry.select(F.col(owner).alias("_o"), F.col(centroid).alias("_c"))), F.size("_u") == F.size("_c"))
+    unit, out = df.select(key, F.col(owner).alias("_own"), normalized(F.col(vector)).alias("_u")), None
     sim = dot(F.col("_u"), F.col("_c"))
-    return pairs.groupBy(key, "_own").agg(F.max(F.when(F.col("_o") == F.col("_own"), sim)).alias("same"), F.max(F.when(F.col("_o") != F.col("_own"), sim)).alias("other")).drop("_own")
+    for part in blocks(registry, registry.columns[0] if owner not in registry.columns else owner, centroid, most):
+        pairs = unit.join(F.broadcast(part), F.size("_u") == F.size("_c"))
+        found = pairs.groupBy(key, "_own").agg(F.max(F.when(F.col("_owner") == F.col("_own"), sim)).alias("same"), F.max(F.when(F.col("_owner") != F.col("_own"), sim)).alias("other"))
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy(key).agg(F.max("same").alias("same"), F.max("other").alias("other"))
 
 
 def move(totals: DataFrame, key: str, moves: DataFrame) -> DataFrame:

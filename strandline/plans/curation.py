@@ -46,7 +46,7 @@ def f3(spark, d):
 
 
 @query("f4_chosen_formats", """WITH f AS (SELECT l_orderkey AS k, l_linenumber AS n, l_returnflag <> 'R' AS video, l_linestatus = 'F' AS audio, (l_quantity * 20)::BIGINT AS w, (l_partkey % 1200)::BIGINT AS h, l_tax AS lang FROM lineitem)
-  SELECT k, max(CASE WHEN video THEN least(w, h) END) AS side, coalesce(arg_max(h > w, struct_pack(s := least(w, h), n := -n)) FILTER (video), false) AS vertical, arg_min(n, n) FILTER (video) AS v_first, arg_min(n, n) FILTER (audio) AS a_first,
+  SELECT k, max(CASE WHEN video THEN least(w, h) END) AS side, coalesce(arg_max(h > w, struct_pack(s := least(w, h), n := -n, a := NOT audio, w := -w, h := -h)) FILTER (video), false) AS vertical, arg_min(n, n) FILTER (video) AS v_first, arg_min(n, n) FILTER (audio) AS a_first,
   CASE WHEN count(*) FILTER (audio AND NOT video) > 0 THEN count(DISTINCT lang) FILTER (audio AND NOT video) END AS tracks FROM f GROUP BY k""")
 def f4(spark, d):
     codec = lambda flag, name: F.when(flag, F.lit(name)).otherwise("none")
@@ -289,3 +289,55 @@ def s16(spark, d):
     f = frames(spark, d).filter("valid").select("sample_id", (F.col("frame") * 3).alias("at"), "value")
     b = E.blocks(f, "sample_id", "at", "value", 8)
     return b.select("sample_id", "block", F.round(F.aggregate("samples", F.lit(0.0), lambda s, x: s + x), 3).alias("total"), F.size("samples").alias("size"))
+
+
+# --- joins, sets, identities and sound -------------------------------------------------------------------------------
+
+
+@query("j2_identified_videos", "SELECT o_orderkey AS video_id, c_name AS input FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F' AND o_orderpriority <> '5-LOW'")
+def j2(spark, d):
+    inputs = t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("input"))
+    open_ = t(spark, d, "orders").filter("o_orderstatus = 'F' AND o_orderpriority != '5-LOW'")
+    return open_.join(inputs, "o_custkey").select(F.col("o_orderkey").alias("video_id"), "input")
+
+
+@query("j19_spans_on_cells", f"""{C}, s AS (SELECT clip_id, start_s, end_s, unnest(range(floor(start_s / 5)::BIGINT, ceil(end_s / 5)::BIGINT)) AS cell FROM clips) SELECT clip_id, cell, round(least(end_s, cell * 5 + 5) - greatest(start_s, cell * 5), 4) AS covered FROM s""")
+def j19(spark, d):
+    return I.on_cells(clips(spark, d), "clip_id", "start_s", "end_s", 5.0).select("clip_id", "cell", F.round("covered", 4).alias("covered"))
+
+
+@query("o5_same_ids", "WITH a AS (SELECT DISTINCT o_custkey AS id FROM orders), b AS (SELECT c_custkey AS id FROM customer) SELECT count(*) FILTER (b.id IS NULL) AS only_a, count(*) FILTER (a.id IS NULL) AS only_b, count(*) FILTER (a.id IS NOT NULL AND b.id IS NOT NULL) AS both FROM a FULL JOIN b ON a.id = b.id")
+def o5(spark, d):
+    from strandline.operators.tables import same_ids
+
+    return same_ids(t(spark, d, "orders").select(F.col("o_custkey").alias("id")), t(spark, d, "customer").select(F.col("c_custkey").alias("id")), "id")
+
+
+@query("g2_identity_nodes", """WITH r AS (SELECT l_returnflag AS dataset, l_partkey::VARCHAR AS source_id, l_suppkey::VARCHAR AS s, md5(l_shipdate::VARCHAR) AS sha, l_linestatus FROM lineitem),
+  n AS (SELECT dataset AS scope, 'source' AS kind, source_id AS id FROM r UNION ALL SELECT dataset, 'speaker', s FROM r UNION ALL SELECT dataset, 'speaker', 'x' || s FROM r WHERE l_linestatus = 'O' UNION ALL SELECT 'global', 'media_sha256', sha FROM r) SELECT scope, kind, count(DISTINCT id) AS ids, count(*) AS n FROM n GROUP BY ALL""")
+def g2(spark, d):
+    item = t(spark, d, "lineitem")
+    more = F.when(F.col("l_linestatus") == "O", F.concat(F.col("l_suppkey").cast("string"), F.lit("; x"), F.col("l_suppkey").cast("string"), F.lit(";nan;"))).otherwise(F.col("l_suppkey").cast("string"))
+    rows = item.select(F.col("l_returnflag").alias("dataset"), F.col("l_partkey").alias("source_id"), more.alias("speaker_ids"), F.md5(F.col("l_shipdate").cast("date").cast("string")).alias("sha256"))
+    nodes = rows.select(F.explode(G.identity_nodes(rows)).alias("x")).select("x.*")
+    return nodes.groupBy("scope", "kind").agg(F.countDistinct("id").alias("ids"), F.count("*").alias("n"))
+
+
+@query("u7_frame_loudness", f"""{FR}, f AS (SELECT sample_id, frame // 4 AS frame, sqrt(avg(pow(CASE WHEN valid THEN value ELSE 0.01 END, 2))) AS rms FROM frames GROUP BY 1, 2), d AS (SELECT *, 20 * log10(greatest(rms, 1e-6)) AS db FROM f), m AS (SELECT *, db > max(db) OVER (PARTITION BY sample_id) - 6 AS loud FROM d)
+  SELECT sample_id, frame, round(rms, 4) AS rms, round(db, 4) AS db, frame BETWEEN min(frame) FILTER (loud) OVER (PARTITION BY sample_id) AND max(frame) FILTER (loud) OVER (PARTITION BY sample_id) AS kept FROM m""")
+def u7(spark, d):
+    f = frames(spark, d).withColumn("x", F.when(F.col("valid"), F.col("value")).otherwise(0.01))
+    return E.loudness(f, "sample_id", "frame", "x", 4, 6.0).select("sample_id", "frame", F.round("rms", 4).alias("rms"), F.round("db", 4).alias("db"), "kept")
+
+
+@query("u6_video_targets", f"{SC} SELECT sample_id, label AS ai, (cell IN ('video', 'audio') AND kind = 'F')::INT AS visual, (cell = 'audio')::INT AS audio, (cell = 'sham')::INT AS mismatch FROM scores")
+def u6(spark, d):
+    s = scores(spark, d)
+    visual, audio, mismatch = F.col("cell").isin("video", "audio") & (F.col("kind") == "F"), F.col("cell") == "audio", F.when(F.col("cell") == "sham", F.array(F.struct(F.lit(0.0).alias("a"), F.lit(1.0).alias("b"))))
+    return s.select("sample_id", *[X.target(k, F.col("label"), visual, audio, mismatch).cast("int").alias(k) for k in ("ai", "visual", "audio", "mismatch")])
+
+
+@query("ts19_mel_bands")
+def ts19(spark, d):
+    series = frames(spark, d).groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "value"))), lambda x: x["value"] / 1000).alias("samples"))
+    return Y.mel_bands(series.withColumn("samples", F.flatten(F.array_repeat("samples", 20))), "sample_id", "samples").select("sample_id", "frame", F.transform("energies", lambda x: F.round(x, 4)).alias("energies"))

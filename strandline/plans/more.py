@@ -14,6 +14,7 @@ from strandline.operators import selection as S
 from strandline.operators import series
 from strandline.operators import tables as T
 from strandline.operators import vectors as E
+from strandline.operators.sync import best_spans
 from strandline.plans.base import CLIPS_SQL, FRAMES_SQL, SCORES_SQL, VIDEOS_SQL, clips, frames, query, scores, t, videos
 
 V, C, SC, FR = (f"WITH {x}" for x in (VIDEOS_SQL, CLIPS_SQL, SCORES_SQL, FRAMES_SQL))
@@ -86,9 +87,20 @@ def u18(spark, d):
     return needs.select("speaker_id", F.array_join("needs", ",").alias("needs"))
 
 
-@query("u22_phrase_choice", f"{FR}, r AS (SELECT sample_id, frame, row_number() OVER (PARTITION BY sample_id ORDER BY sha256('5:' || frame::VARCHAR), frame) AS n FROM frames WHERE valid) SELECT sample_id, frame FROM r WHERE n = 1")
+@query("u22_phrase_choice", f"""{FR}, w AS (SELECT sample_id, frame, event_type AS word, sum(value) OVER (PARTITION BY sample_id ORDER BY frame ROWS UNBOUNDED PRECEDING) - value AS a, sum(value) OVER (PARTITION BY sample_id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS b FROM frames),
+  x AS (SELECT p.sample_id, p.frame AS first, q.frame AS last FROM w p JOIN w q ON p.sample_id = q.sample_id AND p.frame <= q.frame AND round(q.b - p.a, 6) BETWEEN 50 AND 120),
+  y AS (SELECT x.sample_id, first, last, bool_or(word = 'click') AS ok FROM x JOIN w ON w.sample_id = x.sample_id AND w.frame BETWEEN first AND last GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY NOT ok, sha256('5:' || sample_id || '/' || first || '/' || last)) AS n FROM y) SELECT sample_id, first, last, CASE WHEN ok THEN 'swap:click->tap' ELSE 'replace' END AS kind FROM r WHERE n = 1""")
 def u22(spark, d):
-    return S.first_of_each(frames(spark, d).filter("valid").select("sample_id", "frame"), ["sample_id"], [S.seeded(5, "frame"), "frame"])
+    w = Window.partitionBy("sample_id").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
+    f = frames(spark, d).withColumn("b", F.sum("value").over(w)).withColumn("a", F.col("b") - F.col("value"))
+    spans = I.word_spans(f, "sample_id", "frame", "a", "b", 50 - 5e-7, 120 + 5e-7).select("sample_id", "first", "last")
+    words = f.select(F.col("sample_id").alias("_s"), F.col("frame").alias("_f"), F.col("event_type").alias("word"))
+    inside = (F.col("sample_id") == F.col("_s")) & F.col("_f").between(F.col("first"), F.col("last"))
+    phrases = spans.join(words, inside).groupBy("sample_id", "first", "last").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_f", "word"))), lambda x: x["word"]), " ").alias("phrase"))
+    place = F.concat_ws("/", *[F.col(c).cast("string") for c in ("sample_id", "first", "last")])
+    chosen = S.chosen_phrase(phrases.withColumn("place", place), ["sample_id"], "phrase", "place", {"click": "tap"}, ["one", "two"], ["well", "so"], 5)
+    return chosen.select("sample_id", "first", "last", "kind")
 
 
 @query("u24_metrics_by_part", f"""{SC}, d AS (SELECT unnest([struct_pack(dim := 'generator', value := generator), struct_pack(dim := 'cell', value := cell), struct_pack(dim := 'split', value := split)]) AS g, score FROM scores WHERE label = 1),
@@ -156,15 +168,12 @@ def ts20(spark, d):
     return f.join(n, "sample_id").select("sample_id", "frame", F.least(F.col("n") - 1, F.greatest(F.lit(0).cast("long"), at)).alias("source"))
 
 
-@query("ts18_best_span", f"""{FR}, o AS (SELECT sample_id, frame, value, lag(value) OVER w AS p FROM frames WINDOW w AS (PARTITION BY sample_id ORDER BY frame)), b AS (SELECT sample_id, frame FROM o WHERE value > 60 AND coalesce(p, 0) <= 60), e AS (SELECT sample_id, frame FROM o WHERE value <= 60 AND coalesce(p, 0) > 60),
-  x AS (SELECT b.sample_id, b.frame AS a, e.frame AS z FROM b JOIN e ON e.sample_id = b.sample_id AND e.frame > b.frame AND e.frame - b.frame <= 20) SELECT sample_id, arg_min(a, struct_pack(d := abs(z - a - 8), a := a, z := z)) AS onset, min(abs(z - a - 8)) AS error FROM x GROUP BY sample_id""")
+@query("ts18_best_span", f"""{FR}, l AS (SELECT sample_id, frame, value > max(value) OVER (PARTITION BY sample_id) - 40 AS loud, max(frame) OVER (PARTITION BY sample_id) + 1 AS n FROM frames), q AS (SELECT *, frame - row_number() OVER (PARTITION BY sample_id ORDER BY frame) AS g FROM l WHERE NOT loud),
+  p AS (SELECT sample_id, min(frame) AS s, max(frame) + 1 AS t, any_value(n) AS n FROM q GROUP BY sample_id, g), k AS (SELECT * FROM p WHERE t - s >= 2 OR s = 0 OR t = n), o AS (SELECT sample_id, t AS o FROM k WHERE t < n UNION SELECT sample_id, 0 FROM l WHERE frame = 0 AND loud), e AS (SELECT sample_id, s AS e FROM k WHERE s > 0),
+  x AS (SELECT sample_id, o, e FROM o JOIN e USING (sample_id) WHERE o < e AND e <= o + 20) SELECT sample_id, arg_min(o, struct_pack(d := abs(e - o - 8), l := o - e, o := o)) AS onset, arg_min(e, struct_pack(d := abs(e - o - 8), l := o - e, o := o)) AS stop FROM x GROUP BY sample_id""")
 def ts18(spark, d):
-    f = frames(spark, d).withColumn("p", F.coalesce(F.lag("value").over(Window.partitionBy("sample_id").orderBy("frame")), F.lit(0.0)))
-    b = f.filter("value > 60 AND p <= 60").select("sample_id", F.col("frame").alias("a"))
-    e = f.filter("value <= 60 AND p > 60").select("sample_id", F.col("frame").alias("z"))
-    off = F.abs(F.col("z") - F.col("a") - 8)
-    x = b.join(e, "sample_id").filter("z > a AND z - a <= 20")
-    return x.groupBy("sample_id").agg(F.min_by("a", F.struct(off, F.col("a"), F.col("z"))).alias("onset"), F.min(off).alias("error"))
+    spans = best_spans(frames(spark, d), "sample_id", "frame", "value", 40.0, 2, 8, 20)
+    return spans.select("sample_id", "onset", "stop")
 
 
 @query("m25_by_condition", f"{SC} SELECT cell, round(avg((score >= 0.3)::INT), 6) AS rate, (SELECT round(avg((score >= 0.3)::INT), 6) FROM scores WHERE cell = 'real') AS real_rate FROM scores GROUP BY cell")

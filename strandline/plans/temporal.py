@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators import intervals as I
 from strandline.operators import series as S
+from strandline.operators.sync import JumpRules, jump_marks
 from strandline.session import materialize
 from strandline.plans.base import CLIPS_SQL, FRAMES_SQL, clips, frames, query, t
 
@@ -226,8 +227,8 @@ def ts1(spark, d):
 
 @query("ts2_spikes")
 def ts2(spark, d):
-    z = materialize(S.robust_z(frames(spark, d), "sample_id", "frame", "value").select("sample_id", "frame", "z"), "z")
-    return S.refractory(z, "sample_id", "frame", F.col("z") > 2, 3)
+    f = frames(spark, d).withColumns({"motion": F.abs(F.col("value") - F.lag("value").over(Window.partitionBy("sample_id").orderBy("frame"))) / 100, "look": F.col("score"), "sound": F.col("value")})
+    return jump_marks(f.na.fill(0.0, ["motion"]), "sample_id", "frame", "motion", "look", "sound", JumpRules(ratio=1.2, calm=4.0, appearance=1.0, audio=1.0))
 
 
 @query("ts7_fill_gaps", f"""{FR}, k AS (SELECT sample_id, frame, CASE WHEN valid THEN value END AS v FROM frames), n AS (SELECT *, last_value(v IGNORE NULLS) OVER b AS v0, last_value(CASE WHEN v IS NOT NULL THEN frame END IGNORE NULLS) OVER b AS f0, first_value(v IGNORE NULLS) OVER a AS v1, first_value(CASE WHEN v IS NOT NULL THEN frame END IGNORE NULLS) OVER a AS f1

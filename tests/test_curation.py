@@ -370,3 +370,36 @@ def test_edited_words(spark):
 def test_pandas_is_the_only_unit_of_identification():
     clips = pd.DataFrame({"clip": [2, 1], "input": [1, 1], "face": [axis(0).tolist(), axis(0).tolist()], "voice": [None, None], "channel": [None, None], "single": [False, False]})
     assert N.identify(clips, N.Rules())["speaker"].tolist() == [0, 0]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_jumps_against_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    n, rules = 90, Y.JumpRules(context=8, ratio=2.0, calm=2.5, appearance=2.0, audio=2.0)
+    motion, look, sound = (np.abs(rng.normal(size=n)) * 0.05 for _ in range(3))
+    for t in rng.integers(3, n - 3, 6):
+        motion[t] += 0.5
+        look[t] += rng.choice([0, 0.5])
+        sound[t] += rng.choice([0, 0.5])
+    motion[0] = look[0] = 0
+
+    def z(x, t, lo, hi):
+        near = [x[i] for i in range(lo, hi) if abs(i - t) > 1]
+        if len(near) < 5:
+            return 0.0
+        middle = np.median(near)
+        return (x[t] - middle) / max(np.median(np.abs(near - middle)) * 1.4826, 1e-4)
+
+    want, last = [], -10
+    for t in range(1, n):
+        lo, hi = max(1, t - 8), min(n, t + 9)
+        base = max(np.median([motion[i] for i in range(lo, hi) if abs(i - t) > 2]), 0.06 / 2)
+        calm = max(motion[i] for i in range(max(1, t - 2), min(n, t + 3)) if i != t) <= 2.5 * base
+        spike = motion[t] >= max(0.06, 2 * base) and calm
+        seen, heard = z(look, t, lo, hi) >= 2, max(z(sound, u, lo, hi) for u in range(max(1, t - 1), min(n, t + 2))) >= 2
+        level = "confident" if spike and (seen or heard) else "suspect" if spike or (seen and heard) else None
+        if level and t - last > 3:
+            want.append((t, level))
+            last = t
+    assert Y.jumps(motion, look, sound, rules) == want and want
+    assert Y.jumps(motion[:1], look[:1]) == []
