@@ -372,6 +372,35 @@ def test_token_store(docs, empty, spark, tmp_path):
     assert tokenstore.read_tokens(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_long_pieces_of_text_and_small_slices(monkeypatch):
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice(["word", "Naïve,", "x1.", "\n", "", "日本!"]) + str(rng.randint(0, 99)) for _ in range(n)) for n in (0, 1, 400, 3000)] + [None, "a" * 3000]
+    ids = tokens.PieceIds(tokens.tokenizer_path("word_bpe_49k.json"))
+    monkeypatch.setattr(tokens, "SLICE", 2000)
+    monkeypatch.setattr(tokens, "STRETCH", 700)
+    assert [np.frombuffer(ids.encode(t), "<u4").tolist() for t in texts] == [encode(t) for t in texts]
+
+
+def test_very_long_texts_at_default_sizes(spark, tmp_path):
+    from sentencepiece import SentencePieceProcessor
+
+    rng = random.Random(12)
+    word = lambda: rng.choice(["river", "Naïve,", "x1.", "\n\n", "日本語テキスト", "🙂", "   ", "open%"]) + str(rng.randint(0, 999))
+    rows = [(1, " ".join(word() for _ in range(60_000)), "s", "en"), (2, "z" * 150_000, "s", "en"), (3, None, None, None), (4, "short", "s", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    model = SentencePieceProcessor(model_file=tokens.tokenizer_path("piece_bpe_32k.model"))
+    got = {r["doc_id"]: r for r in counting.count_tokens(df).collect()}
+    assert {d: (r["n_bytes"], r["n_tokens"]) for d, r in got.items()} == {d: (len((t or "").encode()), len(model.encode(t or ""))) for d, t, *_ in rows}
+    assert got[1]["chunks"] > 1
+    tokenstore.write_tokens(df, str(tmp_path / "t"))
+    read = {r["doc_id"]: r["ids_crc32"] for r in tokenstore.read_tokens(spark, str(tmp_path / "t")).collect()}
+    assert read == {d: zlib.crc32(np.array(encode(t) + [1], "<u4").tobytes()) for d, t, *_ in rows}
+    known = spark.createDataFrame([(4, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert quality.score_documents(df, known).count() == 4
+    pieces = packing.pack(packing.token_pieces(df)).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in pieces} == {d: len(encode(t)) + 1 for d, t, *_ in rows}
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for values in (np.array([0]), np.array([5, 5, 5]), np.sort(rng.integers(0, 10**7, 3000)), np.arange(1, 1000), np.array([2**40])):
