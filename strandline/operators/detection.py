@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.ranking import auc, highest_after, running
@@ -43,15 +43,23 @@ def match_proposals(proposals: DataFrame, truth: DataFrame, thresholds: list[flo
     return own(proposals).groupBy(key).cogroup(own(truth).groupBy(key)).applyInPandas(run, schema)
 
 
+def _interpolated(hits: DataFrame, key: str) -> DataFrame:
+    """One row: _sum (the envelope's precision, summed over the hits of the global ranking) and _hits; beyond what one task takes, ranges carry the sums."""
+    ranked = running(hits.select(ranked_score(key).alias("_at"), F.col("hit").cast("int").alias("_tp"), F.lit(1).alias("_one")), [], "_at", {"tp": "_tp", "n": "_one"}, descending=True)
+    later = highest_after(ranked.select("_at", "_tp", (F.col("tp") / F.col("n")).alias("_p")), "_at", "_p")
+    return later.agg(F.coalesce(F.sum(F.when(F.col("_tp") == 1, F.col("_top"))), F.lit(0.0)).alias("_sum"), F.sum(F.col("_tp").cast("long")).alias("_hits"))
+
+
 def temporal_ap(hits: DataFrame, truths: int, key: str = "sample_id") -> DataFrame:
     """Average precision under the precision envelope, per threshold; 0 without proposals, null without truth."""
     if not truths:
         return hits.select("threshold").distinct().withColumn("ap", F.lit(None).cast("double"))
-    w = Window.partitionBy("threshold").orderBy(F.desc("score"), key, "seq").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = hits.withColumns({"tp": F.sum(F.col("hit").cast("int")).over(w), "n": F.count("*").over(w)}).withColumn("precision", F.col("tp") / F.col("n"))
-    ahead = Window.partitionBy("threshold").orderBy(F.desc("score"), key, "seq").rowsBetween(0, Window.unboundedFollowing)
-    ranked = ranked.withColumn("envelope", F.max("precision").over(ahead))
-    return ranked.groupBy("threshold").agg((F.sum(F.when(F.col("hit"), F.col("envelope")).otherwise(0.0)) / truths).alias("ap"), F.sum(F.col("hit").cast("long")).alias("matched"))
+    hits, out = materialize(hits, "hits"), None
+    for (threshold,) in hits.select("threshold").distinct().orderBy("threshold").collect():  # the thresholds asked for
+        one = _interpolated(hits.filter(F.col("threshold") == threshold), key)
+        one = one.select(F.lit(threshold).alias("threshold"), (F.col("_sum") / truths).alias("ap"), F.col("_hits").alias("matched"))
+        out = one if out is None else out.unionByName(one)
+    return hits.sparkSession.createDataFrame([], "threshold double, ap double, matched long") if out is None else out
 
 
 def average_recall(proposals: DataFrame, truth: DataFrame, at: tuple[int, ...] = (1, 5, 10), key: str = "sample_id") -> DataFrame:
@@ -121,10 +129,7 @@ def temporal_report(proposals: DataFrame, truth: DataFrame, threshold: float, ke
     own = lambda df: df.select(F.col(key).alias(key), *[F.col(c).cast("double").alias(c) for c in df.columns if c != key])
     hits = materialize(own(proposals).groupBy(key).cogroup(own(truth).groupBy(key)).applyInPandas(run, schema), "hits")
     total = truth.filter("a IS NOT NULL").agg(F.count("*").alias("segments"), F.count_if(F.col("b") - F.col("a") <= short).alias("_short"))
-    ranked = running(hits.select(ranked_score(key).alias("_at"), F.col("hit").cast("int").alias("_tp"), F.lit(1).alias("_one")), [], "_at", {"tp": "_tp", "n": "_one"}, descending=True)
-    precision = ranked.select("_at", "_tp", (F.col("tp") / F.col("n")).alias("_p"))
-    later = highest_after(precision, "_at", "_p")
-    ap = later.agg(F.sum(F.when(F.col("_tp") == 1, F.col("_top")).otherwise(0.0)).alias("_sum"))
+    ap = _interpolated(hits, key).select("_sum")
     means = hits.agg(F.count_if("hit").alias("matched"), F.avg("tiou").alias("mean_tiou"), F.avg("start_error").alias("start_mae"), F.avg("end_error").alias("end_mae"), F.count_if(F.col("hit") & F.col("short")).alias("_hits"))
     out = total.crossJoin(F.broadcast(ap)).crossJoin(F.broadcast(means))
     return out.select("segments", F.when(F.col("segments") > 0, F.coalesce("_sum", F.lit(0.0)) / F.col("segments")).alias("ap"), "matched", "mean_tiou", "start_mae", "end_mae", F.when(F.col("_short") > 0, F.col("_hits") / F.col("_short")).alias("short_recall"))
