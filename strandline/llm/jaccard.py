@@ -242,7 +242,7 @@ class _Join:
         self.docs, self.size, self.percent = docs, size, percent
         spark = docs.sparkSession
         with batch_rows(spark, _ROWS):
-            described = materialize(docs.mapInArrow(_describe(size), DESCRIBED), "described")
+            described = materialize(docs.mapInArrow(words.frugal(_describe(size)), DESCRIBED), "described")
         self.rows = described.filter("token IS NULL").select("doc_id", "n", "node")
         nodes = described.filter("node IS NOT NULL").groupBy("node")
         self.nodes = materialize(nodes.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("map").alias("map"), F.count("*").alias("copies")), "nodes")
@@ -262,7 +262,7 @@ class _Join:
         """
         spark = self.docs.sparkSession
         with batch_rows(spark, _ROWS):
-            keyed = materialize(self.docs.mapInArrow(_keys(self.size, self.percent, self.listed), KEYED), "keyed")
+            keyed = materialize(self.docs.mapInArrow(words.frugal(_keys(self.size, self.percent, self.listed)), KEYED), "keyed")
         several = maybe_broadcast(self.nodes.filter("copies > 1").select("node", "rep"))
         once = keyed.join(several, "node", "left").filter(F.col("rep").isNull() | F.col("doc_id").eqNullSafe(F.col("rep")))
         flat = once.select("node", "n", "score", F.explode(F.arrays_zip("keys", "reaches")).alias("k")).select(F.col("k.keys").alias("key"), "node", "n", "score", F.col("k.reaches").alias("reach"))
@@ -283,18 +283,18 @@ class _Join:
         meta = lambda x: self.nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("map").alias(f"m{x}"))
         judged = pairs.join(meta("a"), "a").join(meta("b"), "b").select("a", "b", "na", "nb", "ma", "mb")
         with batch_rows(spark, 2000):
-            judged = materialize(judged.mapInArrow(_by_maps(self.percent), "a long, b long"), "survivors")
+            judged = materialize(judged.mapInArrow(words.frugal(_by_maps(self.percent)), "a long, b long"), "survivors")
         if judged.isEmpty():
             return False
         wanted = judged.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = materialize(wanted.join(self.nodes, "node").select("node", F.col("rep").alias("id")), "wanted")
         ids = maybe_broadcast(wanted.select("id"))
         texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
-        sets = texts.mapInArrow(_sets(self.size), SETS).join(maybe_broadcast(wanted.select("node")), "node", "left_semi").dropDuplicates(["node"])
+        sets = texts.mapInArrow(words.frugal(_sets(self.size)), SETS).join(maybe_broadcast(wanted.select("node")), "node", "left_semi").dropDuplicates(["node"])
         side = lambda x: sets.select(F.col("node").alias(x), F.col("members").alias(f"s{x}"))
         whole = judged.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
         with batch_rows(spark, 64):  # two whole sets a row
-            found = materialize(whole.mapInArrow(_by_sets(self.percent), "a long, b long"), "links")
+            found = materialize(whole.mapInArrow(words.frugal(_by_sets(self.percent)), "a long, b long"), "links")
         del whole, sets, texts
         release(spark)
         if found.isEmpty():

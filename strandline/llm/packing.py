@@ -35,9 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.llm import words
 from strandline.llm.common import table
-from strandline.llm.tokens import piece_ids, tokenizer_path
-from strandline.session import discard, materialize
+from strandline.llm.tokens import SLICE, piece_ids, tokenizer_path
+from strandline.session import batch_rows, discard, materialize
 
 CAPACITY = 2048
 #: Pieces below 1 / TINY of the capacity go into crates where a sequence would get more than KEEP of them.
@@ -52,7 +53,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, pat
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = piece_ids(path)
-        for batch in batches:
+        for batch in words.gathered(batches, 1, SLICE):
             rows: list[list] = [[], [], [], [], []]
             docs_ = batch.column(0).to_pylist()
             for first, ids, bounds in known.encode_many(batch.column(1)):
@@ -68,7 +69,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, pat
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(words.frugal(cut), PIECES)
 
 
 def sweep(state: DataFrame) -> DataFrame:
@@ -112,7 +113,8 @@ def _crates(tiny: DataFrame, width: int) -> DataFrame:
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """`pieces` (with a column length between 1 and the capacity) with sequence_id and offset."""
     spark = pieces.sparkSession
-    pieces = materialize(pieces.withColumn("_id", F.monotonically_increasing_id()), "pieces")
+    with batch_rows(spark, 1000):
+        pieces = materialize(pieces.withColumn("_id", F.monotonically_increasing_id()), "pieces")
     size = F.col("length").cast("int").alias("size")
     width = max(1, capacity // TINY)
     short = (F.col("length") < width) & (F.col("length") < capacity)

@@ -138,7 +138,7 @@ def fit_models(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="te
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
     rows = texts.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).groupBy("_id", "quality", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     with batch_rows(docs.sparkSession, _ROWS):
-        got = rows.select("quality", "toxic", "text").mapInArrow(_features, "quality int, toxic int, shape array<double>, buckets array<int>").toArrow()
+        got = rows.select("quality", "toxic", "text").mapInArrow(words.frugal(_features), "quality int, toxic int, shape array<double>, buckets array<int>").toArrow()
     if not got.num_rows:
         return Model(0.01), Model(0.01)
     shape = np.stack(got["shape"].to_numpy())
@@ -222,7 +222,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_co
     path = F.col("lang") if path is None else path
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tag"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col(text_col).alias("text"))
     with batch_rows(spark, _ROWS):
-        scored = materialize(rows.mapInArrow(_score(models), SCORED), "scored")
+        scored = materialize(rows.mapInArrow(words.frugal(_score(models)), SCORED), "scored")
     return posteriors(scored).withColumn("keep", (F.col("bad") <= THRESHOLD) & (F.col("toxic") <= THRESHOLD))
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are worked on in slices of about so many bytes, and a longer text in stretches of so many characters, cut at a space.
-SLICE, STRETCH = 16 << 20, 1 << 21
+SLICE, STRETCH = 5 << 20, 1 << 21
 #: So many pieces are encoded in one call.
 CALL = 4096
 _TAIL = ".,;:!?#$%&*"
@@ -35,7 +35,7 @@ _LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
 def _bounds(texts: pa.Array) -> np.ndarray:
-    return np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
 
 
 def _body(texts: pa.Array) -> np.ndarray:
@@ -59,7 +59,7 @@ def _parts(pieces: pa.Array) -> tuple[pa.Array, pa.Array]:
     apart = (kept > 0) & _LETTER[body[np.maximum(ends - 1, 0)]] if len(body) else np.zeros(len(pieces), bool)
     sizes = np.where(apart, bounds[1:] - ends, 0)
     tails = _spread(body, ends, sizes)
-    tails = pa.LargeStringArray.from_buffers(len(pieces), pa.py_buffer(np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)), pa.py_buffer(tails.tobytes()))
+    tails = pa.StringArray.from_buffers(len(pieces), pa.py_buffer(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.py_buffer(tails.tobytes()))
     stems = pc.if_else(pa.array(apart), stems, pieces)
     plain = pc.and_(pc.string_is_ascii(stems), pc.invert(pc.match_substring(stems, "<|")))
     return pc.if_else(plain, pc.ascii_lower(stems), stems), tails
@@ -85,42 +85,49 @@ class PieceIds:
             cuts.append(total + np.searchsorted(np.array([a for a, _ in coded.offsets], np.int64), first))
             flat.append(np.array(coded.ids, "<u4").tobytes())
             total += len(flat[-1]) // 4
-        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(pieces), [None, pa.py_buffer(4 * np.concatenate(cuts)), pa.py_buffer(b"".join(flat))])
+        return pa.BinaryArray.from_buffers(pa.binary(), len(pieces), [None, pa.py_buffer((4 * np.concatenate(cuts)).astype(np.int32)), pa.py_buffer(b"".join(flat))])
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts one after the other, and where each text's begin (and the last one's end)."""
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        heads = split.offsets.to_numpy()
         words = split.flatten().dictionary_encode()
+        del split
         stems, tails = (x.dictionary_encode() for x in _parts(words.dictionary))
         coded = self._encode(stems.dictionary.to_pylist() + tails.dictionary.to_pylist())
         tail = pc.add(tails.indices, len(stems.dictionary))
-        distinct = pc.binary_join_element_wise(coded.take(stems.indices), coded.take(tail), pa.scalar(b"", pa.large_binary()))
-        out = distinct.take(words.indices)
-        heads = split.offsets.to_numpy()
-        return _body(out).view("<u4")[_bounds(out)[0] >> 2 :], (_bounds(out) >> 2)[heads - heads[0]]
+        distinct = pc.binary_join_element_wise(coded.take(stems.indices), coded.take(tail), pa.scalar(b"", pa.binary()))
+        which = words.indices
+        del words, stems, tails, coded, tail
+        out = distinct.take(which)
+        bounds = _bounds(out)[heads - heads[0]].astype(np.int64) >> 2
+        pa.default_memory_pool().release_unused()
+        return _body(out).view("<u4"), bounds
 
     def _long(self, text: str) -> np.ndarray:
         out, at = [np.empty(0, "<u4")], 0
         while at < len(text):
             cut = text.find(" ", at + STRETCH)
             end = len(text) if cut < 0 else cut
-            out.append(self._slice(pa.array([text[at:end]], pa.large_string()))[0])
+            out.append(self._slice(pa.array([text[at:end]], pa.string()))[0])
             at = end
         return np.concatenate(out)
 
-    def encode_many(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(index of the first text, ids one after the other, where each text's begin and the last one's end) for slices of the texts; null counts as empty."""
+    def encode_many(self, texts: pa.Array, size: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(index of the first text, ids one after the other, where each text's begin and the last one's end) for slices of the texts (of about `size` bytes, SLICE if none is given); null counts as empty."""
+        size = size or SLICE
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
-        texts = pc.fill_null(texts, "").cast(pa.large_string())
-        bounds, at = _bounds(texts), 0
+        texts = pc.fill_null(texts, "")
+        ends, at = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64), 0
         while at < len(texts):
-            stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + SLICE, side="right")) - 1)
-            if stop == at + 1 and bounds[stop] - bounds[at] > SLICE:
+            before = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
+            if stop == at + 1 and ends[at] - before > size:
                 ids = self._long(texts[at].as_py())
                 yield at, ids, np.array([0, len(ids)])
             else:
-                yield at, *self._slice(texts.slice(at, stop - at))
+                yield at, *self._slice(texts.slice(at, stop - at).cast(pa.string()))
             at = stop
 
     def encode(self, text: str | None) -> bytes:

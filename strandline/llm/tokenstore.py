@@ -30,11 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.llm import words
 from strandline.llm.common import table
 from strandline.llm.tokens import piece_ids, tokenizer_path
-from strandline.session import scratch_path
+from strandline.session import batch_rows, scratch_path
 
 BLOCK_TOKENS = 1 << 20
+#: Bytes of text that a task encodes at once: larger slices repeat fewer pieces.
+SLICE = 12 << 20
 SAMPLE = 64
 BLOCKS = "part int, block int, n_docs long, n_tokens long, width int, doc_ids array<long>, ids binary, low_bits int, low binary, high binary, samples binary"
 
@@ -108,10 +111,10 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 1, tokenizer: str | N
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, doc_ids, ids, size, block, part = piece_ids(tokenizer), [], [], 0, 0, 0
-        for batch in batches:
+        for batch in words.gathered(batches, 1, SLICE):
             part = batch.column(2)[0].as_py() if batch.num_rows else part
             docs_ = batch.column(0).to_pylist()
-            for first, coded, bounds in known.encode_many(batch.column(1)):
+            for first, coded, bounds in known.encode_many(batch.column(1), SLICE):
                 bounds = bounds.tolist()
                 for doc, a, b in zip(docs_[first:], bounds, bounds[1:]):
                     doc_ids.append(doc)
@@ -124,7 +127,8 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 1, tokenizer: str | N
             yield pack(part, block, doc_ids, ids)
 
     ranged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id")
-    ranged.sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id()).mapInArrow(blocks, BLOCKS).write.parquet(path)
+    with batch_rows(docs.sparkSession, 1000):
+        ranged.sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id()).mapInArrow(words.frugal(blocks), BLOCKS).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

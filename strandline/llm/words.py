@@ -9,7 +9,8 @@ per-byte arrays are still made in blocks of BLOCK bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -148,3 +149,40 @@ def shingle_sets(w: Words, size: int) -> list[np.ndarray]:
         else:
             out.append(np.empty(0, U))
     return out
+
+
+def give_back() -> None:
+    """Return memory that is free to the system; workers wait for their next task for a while, and others need it meanwhile."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def frugal(run: Callable) -> Callable:
+    """A function over the batches of a task that gives memory back at its end."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches with about `size` bytes of the column, from smaller ones."""
+    held, amount = [], 0
+    for batch in batches:
+        held.append(batch)
+        amount += batch.column(column).nbytes
+        if amount >= size:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else batch
+            del batch
+            held, amount = [], 0
+            yield whole
+            del whole
+    if any(b.num_rows for b in held):
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
