@@ -114,8 +114,13 @@ class Model:
         w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
         penalty[0] = 1e-6
         for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            step = np.linalg.solve((x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
+            gram, slope = np.diag(penalty), penalty * w
+            for part in range(0, len(x), 2048):  # in parts, so that nothing as large as x is made again
+                some = x[part : part + 2048]
+                p = 1 / (1 + np.exp(-np.clip(some @ w, -30, 30)))
+                gram += (some * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ some
+                slope += some.T @ (p - y[part : part + 2048])
+            step = np.linalg.solve(gram, slope)
             w -= step
             if np.abs(step).max() < 1e-6:
                 break
@@ -141,13 +146,15 @@ def fit_models(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="te
         got = rows.select("quality", "toxic", "text").mapInArrow(words.frugal(_features), "quality int, toxic int, shape array<double>, buckets array<int>").toArrow()
     if not got.num_rows:
         return Model(0.01), Model(0.01)
-    shape = np.stack(got["shape"].to_numpy())
+    shape = np.asarray(got["shape"].combine_chunks().flatten()).reshape(got.num_rows, SHAPE)
     buckets = [np.asarray(b.values) for b in got["buckets"]]
     models = []
     for name, hit in (("quality", 0), ("toxic", 1)):
         value = got[name].to_pylist()
         at = [i for i, v in enumerate(value) if v is not None]
         models.append(Model.fit(shape[at], [buckets[i] for i in at], np.array([int(value[i] == hit) for i in at])) if at else Model(0.01))
+    del got, shape, buckets
+    words.give_back()
     return tuple(models)
 
 
