@@ -37,26 +37,28 @@ from pyspark.sql import functions as F
 
 from strandline.llm import words
 from strandline.llm.common import table
-from strandline.llm.tokens import SLICE, piece_ids, tokenizer_path
+from strandline.llm.tokens import piece_ids, tokenizer_path
 from strandline.session import batch_rows, discard, materialize
 
 CAPACITY = 2048
 #: Pieces below 1 / TINY of the capacity go into crates where a sequence would get more than KEEP of them.
 TINY, KEEP = 32, 12
+#: Bytes of text that a task encodes at once: larger slices repeat fewer pieces and take more memory.
+SLICE = 16 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, path: str | None = None, id_col="doc_id", text_col="text") -> DataFrame:
-    """Encode each whole text, close it with end_id, and cut what is longer than the capacity."""
+def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, path: str | None = None, id_col="doc_id", text_col="text", slice_bytes: int = SLICE) -> DataFrame:
+    """Encode each whole text, close it with end_id, and cut what is longer than the capacity; slice_bytes of text are encoded at once."""
     path = path or tokenizer_path("word_bpe_49k.json")
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = piece_ids(path)
-        for batch in words.gathered(batches, 1, SLICE):
+        for batch in words.gathered(batches, 1, slice_bytes):
             rows: list[list] = [[], [], [], [], []]
             docs_ = batch.column(0).to_pylist()
-            for first, ids, bounds in known.encode_many(batch.column(1)):
+            for first, ids, bounds in known.encode_many(batch.column(1), slice_bytes):
                 bounds = bounds.tolist()
                 for doc, a, b in zip(docs_[first:], bounds, bounds[1:]):
                     for piece, at in enumerate(range(0, b - a + 1, capacity)):

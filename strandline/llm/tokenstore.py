@@ -37,7 +37,7 @@ from strandline.session import batch_rows, scratch_path
 
 BLOCK_TOKENS = 1 << 20
 #: Bytes of text that a task encodes at once: larger slices repeat fewer pieces.
-SLICE = 12 << 20
+SLICE = 24 << 20
 SAMPLE = 64
 BLOCKS = "part int, block int, n_docs long, n_tokens long, width int, doc_ids array<long>, ids binary, low_bits int, low binary, high binary, samples binary"
 
