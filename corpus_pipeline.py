@@ -13,6 +13,10 @@ from strandline.llm.common import table
 from strandline.session import materialize
 
 
+#: Bytes of text that a packing task encodes at once; executors that ran the other stages have less room than fresh ones.
+SLICE = 5 << 20
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     return quality.drop_rejected(docs, table(spark, sf_dir, "labels"))
@@ -35,7 +39,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of the mix, packed into sequences."""
-    packed = packing.pack(packing.token_pieces(docs))
+    packed = packing.pack(packing.token_pieces(docs, slice_bytes=SLICE))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
