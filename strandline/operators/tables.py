@@ -13,6 +13,16 @@ def conditional_rollup(df: DataFrame, by: list[str], sums: dict[str, Column], hi
     return df.groupBy(*by).agg(F.count("*").alias("rows"), *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in sums.items()], *[F.count_if(c).alias(n) for n, c in hits.items()])
 
 
+def sums_in_order(df: DataFrame, by: list[str], sums: dict[str, Column], order: list[str]) -> DataFrame:
+    """Sums of each group whose rows are added one by one in the order of these columns, which must tell all rows apart.
+
+    Sums of floats depend on that order; partial sums of tasks are added as they arrive.  A sum over nothing is null.
+    """
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = df.select(*by, F.struct(*order).alias("_place"), *[F.sum(c).over(w).alias(n) for n, c in sums.items()])
+    return running.groupBy(*by).agg(*[F.max_by(n, "_place").alias(n) for n in sums])
+
+
 def counts_by_dimension(df: DataFrame, dims: list[str]) -> DataFrame:
     """Counts of each value of each dimension in one pass over the rows: dim, value, rows."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("dim"), F.col(c).cast("string").alias("value")) for c in dims]))
