@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm import exact, jaccard, mixing, packing, quality
 from strandline.llm.common import table
-from strandline.session import materialize
+from strandline.session import materialize, release
 
 
 #: Bytes of text that a packing task encodes at once; executors that ran the other stages have less room than fresh ones.
@@ -19,26 +19,31 @@ SLICE = 5 << 20
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    release(spark)
     return quality.drop_rejected(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays."""
+    release(spark)
     return exact.drop_exact_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates (five words, 0.8) the document with the smallest id stays."""
+    release(spark)
     return jaccard.keep_one(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stand as often as the mix takes them."""
+    release(spark)
     return mixing.take_mixed(docs)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of the mix, packed into sequences."""
+    release(spark)
     packed = packing.pack(packing.token_pieces(docs, slice_bytes=SLICE))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from strandline.llm import words
 from strandline.llm.common import table
 from strandline.llm.tokens import piece_ids, tokenizer_path
-from strandline.session import batch_rows, discard, materialize
+from strandline.session import batch_rows, discard, materialize, trim
 
 CAPACITY = 2048
 #: Pieces below 1 / TINY of the capacity go into crates where a sequence would get more than KEEP of them.
@@ -147,6 +147,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         if left and longest > widest:  # what no gap can hold now, none will
             tokens, large = swept.filter(loose & (F.col("size") > widest)).agg(F.sum("size"), F.count_if(F.col("size") * 2 > capacity)).first()
             opening = max(-(-tokens // capacity), large)
+        trim(spark)  # plans of many rounds
         state = swept.filter(loose | (F.col("gap") & (room >= F.lit(rest)))).select("id", F.when(F.col("gap"), room).otherwise(F.col("size")).alias("size"), "gap")
     whole = pieces.filter(F.col("length") >= capacity).select(F.col("_id").alias("id"), (F.col("_id") * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     if placed is not None:

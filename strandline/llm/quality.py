@@ -36,12 +36,14 @@ from pyspark.sql import functions as F
 from strandline.llm import words
 from strandline.llm.common import maybe_broadcast, table
 from strandline.llm.mixing import key_hash
-from strandline.session import batch_rows, materialize
+from strandline.session import batch_rows, materialize, release
 
 #: Labelled rows that the models are fitted on, at most; texts that go to a Python worker at once.
 MAX_LABELLED, _ROWS = 20_000, 1000
 #: Words are hashed to 2**HASH_BITS; of these at most TELLING are in a model.
 HASH_BITS, TELLING = 18, 256
+#: Rows of the sample that a model's fit works on at once.
+PART = 2048
 THRESHOLD = 0.5
 _CLASSES = (b"!\"#$%&'()*+-/:;<=>?@[\\]^_`{|}~", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n", b".,", b"|#$%&*{}<>")
 _MEMBER = np.zeros((len(_CLASSES), 256), np.float32)
@@ -80,20 +82,21 @@ class Model:
     def __init__(self, rate: float, mean=None, scale=None, telling=None, weights=None) -> None:
         self.rate, self.mean, self.scale, self.telling, self.weights = rate, mean, scale, telling, weights
 
-    def _matrix(self, shape: np.ndarray, buckets: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(shape), 1 + SHAPE + len(self.telling)))
-        out[:, 0] = 1
-        out[:, 1 : 1 + SHAPE] = np.clip((shape - self.mean) / self.scale, -8, 8)
+    def _hits(self, buckets: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(buckets), len(self.telling)), bool)
         if len(self.telling):
             for row, b in zip(out, buckets):
                 at = np.minimum(np.searchsorted(self.telling, b), len(self.telling) - 1)
-                row[1 + SHAPE + at[self.telling[at] == b]] = 1
+                row[at[self.telling[at] == b]] = True
         return out
 
+    def _matrix(self, shape: np.ndarray, hits: np.ndarray) -> np.ndarray:
+        return np.concatenate((np.ones((len(shape), 1)), np.clip((shape - self.mean) / self.scale, -8, 8), hits), axis=1)
+
     def logits(self, shape: np.ndarray, buckets: list[np.ndarray]) -> np.ndarray:
         if self.weights is None:
             return np.full(len(shape), math.log(self.rate / (1 - self.rate)))
-        return self._matrix(shape, buckets) @ self.weights
+        return self._matrix(shape, self._hits(buckets)) @ self.weights
 
     @classmethod
     def fit(cls, shape: np.ndarray, buckets: list[np.ndarray], label: np.ndarray, ridge: float = 0.3) -> Model:
@@ -102,24 +105,28 @@ class Model:
         if not good or not bad:
             return cls(0.01)
         size = 1 << HASH_BITS
-        a = np.bincount(np.concatenate([b for b, y in zip(buckets, label) if y] or [np.empty(0, np.int32)]), minlength=size)
-        b = np.bincount(np.concatenate([b for b, y in zip(buckets, label) if not y] or [np.empty(0, np.int32)]), minlength=size)
+        a, b = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for part in range(0, len(buckets), PART):  # in parts, here and below, so that nothing as large as the whole sample is made again
+            for into, kind in ((a, label[part : part + PART] == 1), (b, label[part : part + PART] == 0)):
+                if kind.any():
+                    into += np.bincount(np.concatenate([x for x, y in zip(buckets[part : part + PART], kind) if y]), minlength=size)
         both, all_ = (a + b) / (good + bad), good + bad
         term = lambda seen, wanted: np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(wanted, 1e-12)), 0.0)
         g = 2 * (term(a, bad * both) + term(b, good * both) + term(bad - a, bad * (1 - both)) + term(good - b, good * (1 - both)))
         found = np.flatnonzero((g >= 24) & (a + b >= 8) & (a + b < all_))
         telling = np.sort(found[np.argsort(-g[found], kind="stable")][:TELLING]).astype(np.int32)
         model = cls(bad / (good + bad), shape.mean(axis=0), shape.std(axis=0) + 1e-6, telling, None)
-        x, y = model._matrix(shape, buckets), label.astype(np.float64)
-        w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+        hits, y = model._hits(buckets), label.astype(np.float64)
+        wide = 1 + SHAPE + len(telling)
+        w, penalty = np.zeros(wide), np.full(wide, ridge)
         penalty[0] = 1e-6
         for _ in range(30):
             gram, slope = np.diag(penalty), penalty * w
-            for part in range(0, len(x), 2048):  # in parts, so that nothing as large as x is made again
-                some = x[part : part + 2048]
+            for part in range(0, len(y), PART):
+                some = model._matrix(shape[part : part + PART], hits[part : part + PART])
                 p = 1 / (1 + np.exp(-np.clip(some @ w, -30, 30)))
                 gram += (some * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ some
-                slope += some.T @ (p - y[part : part + 2048])
+                slope += some.T @ (p - y[part : part + PART])
             step = np.linalg.solve(gram, slope)
             w -= step
             if np.abs(step).max() < 1e-6:
@@ -155,6 +162,7 @@ def fit_models(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="te
         models.append(Model.fit(shape[at], [buckets[i] for i in at], np.array([int(value[i] == hit) for i in at])) if at else Model(0.01))
     del got, shape, buckets
     words.give_back()
+    release(docs.sparkSession)
     return tuple(models)
 
 
