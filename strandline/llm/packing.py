@@ -18,7 +18,11 @@ Rounds repeat until no piece is left; where none finds a gap, sequences are
 opened for the rest.  A round places one piece a sequence, so that the number of
 rounds is that of pieces in a sequence.  It is bounded for any input: of pieces
 shorter than 1 / TINY of the capacity all beyond KEEP a sequence are first laid
-into crates of at most twice that size, which are packed as pieces are.
+into crates of at most twice that size, which are packed as pieces are.  What
+finds no gap later is short pieces for few sequences as a rule: all beyond LOOSE
+a sequence (the second time, all) of those up to 1 / SHORT of the capacity are
+laid into crates again, one a sequence where nothing longer is left, and the
+others fill up what the crates leave.
 
 Defined results: a null or empty text is the closing id alone; a text longer
 than the capacity is cut into full pieces and a rest; rows with the same id
@@ -43,6 +47,8 @@ from strandline.session import batch_rows, discard, materialize, trim
 CAPACITY = 2048
 #: Pieces below 1 / TINY of the capacity go into crates where a sequence would get more than KEEP of them.
 TINY, KEEP = 32, 12
+#: Of pieces that found no gap, those up to 1 / SHORT of the capacity go into crates where a new sequence would get more than LOOSE of them.
+SHORT, LOOSE = 8, 2
 #: Bytes of text that a task encodes at once: larger slices repeat fewer pieces and take more memory.
 SLICE = 16 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -100,7 +106,7 @@ def sweep(state: DataFrame) -> DataFrame:
 
 
 def _crates(tiny: DataFrame, width: int) -> DataFrame:
-    """Lay short pieces (id, size) side by side: id, crate, place (offset in the crate); a crate is shorter than twice the width."""
+    """Lay short pieces (id, size) side by side: id, crate, place (offset in the crate); a crate is shorter than the width and its longest piece together."""
     order = ["size", "id"]
     ranged = tiny.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     ranged = materialize(ranged.withColumn("_part", F.shiftright("_at", 33).cast("int")), "tiny")
@@ -123,15 +129,22 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     tokens, tiny, large = pieces.filter(F.col("length") < capacity).agg(F.sum("length"), F.count_if(short), F.count_if(F.col("length") * 2 > capacity)).first()
     opening = max(-(-(tokens or 0) // capacity), large or 0)
     items = pieces.filter(F.col("length") < capacity).select(F.col("_id").alias("id"), size)
-    laid = None
+    laid, crates = [], 0
+
+    def crated(short: DataFrame, width: int, most: int) -> DataFrame:
+        """The crates (id, size) of short pieces, numbered below all others; they are at most so many."""
+        nonlocal crates
+        rows = materialize(_crates(short, width).withColumn("crate", F.col("crate") + crates), "crates")
+        laid.append(rows)
+        crates += most
+        return rows.groupBy("crate").agg(F.sum("size").cast("int").alias("size")).select((-F.col("crate") - 1).alias("id"), "size")
+
     if tiny > KEEP * opening:
         share = F.lit(round(KEEP * opening / tiny * 2**20))
         loose = (F.col("size") >= width) | (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share)
-        laid = materialize(_crates(items.filter(~loose), width), "crates")
-        crates = laid.groupBy("crate").agg(F.sum("size").cast("int").alias("size")).select((-F.col("crate") - 1).alias("id"), "size")
-        items = items.filter(loose).unionByName(crates)
+        items = items.filter(loose).unionByName(crated(items.filter(~loose), width, tiny))
     state = items.withColumn("gap", F.lit(False))
-    opened, placed = 0, None
+    opened, placed, again = 0, None, False
     left, rest = items.agg(F.count("*"), F.min("size")).first()
     while left:
         if opening:
@@ -143,19 +156,30 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         placed = pairs if placed is None else placed.unionByName(pairs)
         loose = ~F.col("gap") & ~matched
         left, rest, longest, widest = swept.agg(F.count_if(loose), F.min(F.when(loose, F.col("size"))), F.max(F.when(loose, F.col("size"))), F.max(F.when(F.col("gap"), room))).first()
-        opening = 0
+        opening, wide, boxed = 0, 0, F.lit(False)
         if left and longest > widest:  # what no gap can hold now, none will
-            tokens, large = swept.filter(loose & (F.col("size") > widest)).agg(F.sum("size"), F.count_if(F.col("size") * 2 > capacity)).first()
-            opening = max(-(-tokens // capacity), large)
+            stuck, short = loose & (F.col("size") > widest), F.col("size") * SHORT <= capacity
+            fit = range(1, SHORT + 1)  # of pieces longer than 1 / (k + 1) of the capacity a sequence holds k
+            over = [F.count_if(F.col("size") * (k + 1) > capacity) for k in fit]
+            tokens, n, n_short, longest, *over = swept.filter(stuck).agg(F.sum("size"), F.count("*"), F.count_if(short), F.max(F.when(short, F.col("size"))), *over).first()
+            opening = max(-(-tokens // capacity), *[-(-m // k) for k, m in zip(fit, over)])
+            few, again = (0 if again else LOOSE) * opening, True  # a second rest is small
+            if n_short > few:
+                boxed = stuck & short & (F.pmod(F.xxhash64("id", F.lit(opened)), F.lit(1 << 20)) >= F.lit(round(few / n_short * 2**20)))
+                tokens = swept.filter(boxed).agg(F.coalesce(F.sum("size"), F.lit(1))).first()[0]
+                wide = min(capacity - longest + 1, -(-tokens // opening)) if n == n_short else capacity * 2 // SHORT - longest + 1
         trim(spark)  # plans of many rounds
-        state = swept.filter(loose | (F.col("gap") & (room >= F.lit(rest)))).select("id", F.when(F.col("gap"), room).otherwise(F.col("size")).alias("size"), "gap")
+        kept = (loose & ~boxed) | (F.col("gap") & (room >= F.lit(rest)))
+        state = swept.filter(kept).select("id", F.when(F.col("gap"), room).otherwise(F.col("size")).alias("size"), "gap")
+        if wide:
+            state = state.unionByName(crated(swept.filter(boxed).select("id", "size"), wide, tokens // wide + 1).withColumn("gap", F.lit(False)))
     whole = pieces.filter(F.col("length") >= capacity).select(F.col("_id").alias("id"), (F.col("_id") * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     if placed is not None:
-        placed = placed.select("id", (F.col("sequence") * 2 + 1).alias("sequence_id"), "offset")
-        whole = whole.unionByName(placed.filter("id >= 0"))
-        if laid is not None:
-            inside = placed.filter("id < 0").select((-F.col("id") - 1).alias("crate"), "sequence_id", "offset")
-            whole = whole.unionByName(laid.join(inside, "crate").select("id", "sequence_id", (F.col("offset") + F.col("place")).alias("offset")))
+        for rows in reversed(laid):  # crates may stand in later crates
+            outer = placed.filter("id < 0").select((-F.col("id") - 1).alias("crate"), "sequence", F.col("offset").alias("_offset"))
+            inside = rows.join(outer, "crate").select("id", "sequence", (F.col("_offset") + F.col("place")).alias("offset"))
+            placed = placed.unionByName(materialize(inside, "inside"))
+        whole = whole.unionByName(placed.filter("id >= 0").select("id", (F.col("sequence") * 2 + 1).alias("sequence_id"), "offset"))
     return pieces.join(whole.withColumnRenamed("id", "_id"), "_id").drop("_id")
 
 
